@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,21 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete tables of write_shared() that no later step reads, and let go of finished shuffles.
+
+    Spark removes shuffle files when the driver's JVM collects what refers to them, which may be much later; asking for
+    that here keeps a many-step operator's disk at its largest step, not at the sum of all.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if path is not None:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def id_bucket(col: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)

@@ -1,8 +1,9 @@
 """Benchmark decontamination: spaced-seed hashing with fixed masks.
 
 A mask says which token positions of a span count; the others may hold any token. Masked hashes of the test items are
-joined with those of every position of every document, and around each hit an aligned window is compared token by
-token, which tolerates substitutions. All of it is built-in expressions: one scan, two generators and one join.
+joined with those of every position of every document. Hits are summed by document, item and diagonal (the offset
+between both), and along each diagonal aligned windows are compared token by token, which tolerates substitutions. All
+of it is built-in expressions. Only ids, positions and hashes are exploded; token lists are read again for hits alone.
 """
 
 from __future__ import annotations
@@ -25,46 +26,50 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(df: DataFrame, keep: tuple[str, ...], masks=MASKS) -> DataFrame:
-    """keep, toks, pos (0-based), seed (one of each mask that fits from pos on), mask. Spans never leave the text."""
+    """keep, pos (0-based) and seed: the hash of each mask at each position of column toks. Lists shorter than the shortest mask give none."""
     n, least = F.size("toks"), min(map(len, masks))
-    rows = df.where(n >= least).select(*keep, "toks", F.explode(F.sequence(F.lit(0), n - least)).alias("pos"))
-    made = [
-        F.when(F.col("pos") + len(m) <= F.size("toks"), F.xxhash64(F.lit(i), *[F.get("toks", F.col("pos") + j) for j, c in enumerate(m) if c == "1"]))
-        for i, m in enumerate(masks)
-    ]
-    return rows.select(*keep, "toks", "pos", F.explode(F.array(*made)).alias("seed"))
+
+    def at(k: int, mask: str):
+        return lambda i: F.xxhash64(F.lit(k), *[F.get("toks", i + j) for j, c in enumerate(mask) if c == "1"])
+
+    every = F.concat(*[F.transform(F.sequence(F.lit(0), n - least), at(k, m)) for k, m in enumerate(masks)])
+    rows = df.where(n >= least).select(*keep, (n - least + 1).alias("__m"), every.alias("__s"))
+    rows = rows.select(*keep, "__m", F.posexplode("__s").alias("__p", "seed"))
+    return rows.select(*keep, F.pmod("__p", F.col("__m")).alias("pos"), "seed")
 
 
 def matches(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """Pairs of a document and a test item that overlap: (doc_id, item_id, matched, compared, doc_pos, item_pos).
 
-    docs has doc_id and text, items item_id and text. A pair counts if some aligned stretch of `window` tokens of the
-    item (all of it, if it is shorter) agrees in at least `share` of its tokens and has a mask's hit in it. matched
-    is the largest number of equal tokens in such a stretch, compared its length, doc_pos and item_pos the least
-    positions where it begins. Texts with fewer tokens than the shortest mask match nothing, nor do null texts. A null
-    id is an id of its own; rows that share an id count as one. No bound on hits: all are compared.
+    docs has doc_id and text, items item_id and text. A pair counts if some stretch of `window` tokens of the item (all
+    of it, if it is shorter) agrees with the document at one offset in at least `share` of its tokens, and a mask hits
+    at that offset. matched is the largest number of equal tokens in such a stretch, compared its length, doc_pos and
+    item_pos the least positions where it begins (doc_pos is negative if the document begins within the stretch). Texts
+    with fewer tokens than the shortest mask match nothing, nor do null texts. A null id is an id of its own; rows that
+    share an id count as one. All hits are compared, whatever their number.
     """
-    bench = items.select("item_id", tokens(F.col("text")).alias("toks"))
-    hashes = seeds(bench, ("item_id",), masks).where("seed IS NOT NULL").select("seed", "item_id", F.col("pos").alias("item_at"), F.col("toks").alias("item_toks"))
-    hashes = hashes.dropDuplicates(["seed", "item_id", "item_at"])
-    if hashes.count() <= BROADCAST_ROWS:
-        hashes = F.broadcast(hashes)
-    hits = seeds(docs.select("doc_id", tokens(F.col("text")).alias("toks")), ("doc_id",), masks).join(hashes, "seed")
+    bench = items.select("item_id", tokens(F.col("text")).alias("item_toks"))
+    hashes = seeds(bench.withColumnRenamed("item_toks", "toks"), ("item_id",), masks).withColumnRenamed("pos", "item_at").distinct()
+    small = hashes.count() <= BROADCAST_ROWS
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    found = seeds(keyed.select("row_key", tokens(F.col("text")).alias("toks")), ("row_key",), masks)
+    hits = found.join(F.broadcast(hashes) if small else hashes, "seed")
+    lines = hits.groupBy("row_key", "item_id", (F.col("pos") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits"))
+    # Documents with a hit are few; their texts meet the hits by key.
+    rows = keyed.join(lines, "row_key").select("doc_id", "item_id", "shift", tokens(F.col("text")).alias("toks"))
+    bench = bench.withColumnRenamed("item_id", "__item")
+    rows = rows.join(F.broadcast(bench) if small else bench, F.col("item_id").eqNullSafe(F.col("__item")))
     length = F.least(F.lit(window), F.size("item_toks"))
-    hits = hits.select("doc_id", "item_id", "toks", "item_toks", "pos", "item_at", length.alias("compared"))
-    last = F.least("item_at", F.size("item_toks") - F.col("compared"))
-    starts = F.sequence(F.least(last, F.greatest(F.lit(0), F.col("item_at") + min(map(len, masks)) - F.col("compared"))), last)
-
-    def equal(at: Column) -> Column:
-        same = F.aggregate(
-            F.sequence(F.lit(0), F.col("compared") - 1), F.lit(0),
-            lambda n, i: n + F.coalesce((F.get("item_toks", at + i) == F.when(at + i + F.col("pos") >= F.col("item_at"), F.get("toks", at + i + F.col("pos") - F.col("item_at")))).cast("int"), F.lit(0)),
-        )
-        return F.struct(same.alias("matched"), (-(at + F.col("pos") - F.col("item_at"))).alias("p"), (-at).alias("q"))
-
-    best = F.array_max(F.transform(starts, equal))
-    found = hits.select("doc_id", "item_id", "compared", best.alias("best")).where(F.col("best.matched") >= F.ceil(F.col("compared") * share))
-    out = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("best", "compared")).alias("x"))
+
+    def equal(i: Column) -> Column:
+        at = i + F.col("shift")
+        return F.coalesce((F.get("item_toks", i) == F.when(at >= 0, F.get("toks", at))).cast("int"), F.lit(0))
+
+    rows = rows.select("doc_id", "item_id", "shift", length.alias("compared"), F.transform(F.sequence(F.lit(0), F.size("item_toks") - 1), equal).alias("same"))
+    starts = F.sequence(F.lit(0), F.size("same") - F.col("compared"))
+    sums = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("compared")), F.lit(0), lambda n, x: n + x).alias("matched"), (-(i + F.col("shift"))).alias("p"), (-i).alias("q")))
+    rows = rows.select("doc_id", "item_id", "compared", F.array_max(sums).alias("best")).where(F.col("best.matched") >= F.ceil(F.col("compared") * share))
+    out = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("best", "compared")).alias("x"))
     return out.select("doc_id", "item_id", F.col("x.best.matched").alias("matched"), F.col("x.compared").alias("compared"), (-F.col("x.best.p")).alias("doc_pos"), (-F.col("x.best.q")).alias("item_pos"))
 
 

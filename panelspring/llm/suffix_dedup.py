@@ -7,10 +7,11 @@ strings lie in zones with equal cores, at one place. The corpus dictionary count
 
 * a core that stands once in the corpus settles its zone: nothing is repeated in it;
 * a zone that stands more than once settles it too: all of it is repeated;
-* for the rest (edges of repeated regions) one occurrence of each distinct zone compares its strings one by one.
+* for the rest (edges of repeated regions) one occurrence of each distinct zone is cut into parts of 8 starts, which are
+  settled the same way by their own cores and zones; of parts still open, strings are compared one by one.
 
-Only positions near triggers (about 1 in 75 bytes) are shuffled, plus the strings of unsettled zones. Copies of a zone,
-however many, count as one entry of the dictionary. Groups by core or string are joins and sums, never one task's.
+Only zones (about 1 for 75 bytes) are shuffled, plus the parts and strings of unsettled ones. Copies of a zone, however
+many, count as one entry of the dictionary. Groups by core or string are joins and sums, never one task's.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, slices, span_hash, write_shared
+from .common import drop_shared, mix, prefix_hash, slices, span_hash, write_shared
 
 LENGTH = 200
 #: Bytes of the rolling window, and starts among which the trigger is chosen.
 ROLL, SPAN = 16, 150
+#: Starts in a part of a zone, and a bound on the parts of one.
+PART, PARTS = 8, 32
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
 
 
 def dictionary_entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row_key, at, core, zone): each zone's trigger (bytes from the text's start) and hashes, from docs (row_key, text)."""
+    """(row_key, at, core, zone, need): each zone's trigger (bytes from the text's start) and hashes, from docs (row_key, text)."""
     core = length - min(SPAN, length - ROLL) + 1
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -71,42 +74,109 @@ def dictionary_entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0).take(pa.array(doc)),
-                        pa.array((trigger - offsets[doc]).astype(np.int32)),
+                        pa.array(trigger - offsets[doc]),
                         pa.array(span_hash(prefix, trigger, trigger + core).view(np.int64)),
                         pa.array(span_hash(prefix, lo, hi + length).view(np.int64)),
+                        pa.array(np.ones(len(doc), bool)),
                     ],
-                    ["row_key", "at", "core", "zone"],
+                    ["row_key", "at", "core", "zone", "need"],
                 )
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, at int, core long, zone long")
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, at long, core long, zone long, need boolean")
 
 
-def _strings(candidates: DataFrame, length: int) -> DataFrame:
-    """(row_key, start, string, need) of the zones to compare string by string; need: the zone itself is not settled."""
+def _parts_of(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zone number, part) of the parts of zones. Part b holds the starts from PART * b to PART * b + PART - 1 bytes before the trigger."""
+    first, last = (trigger - hi) // PART, (trigger - lo) // PART
+    n = last - first + 1
+    zone = np.repeat(np.arange(len(trigger)), n)
+    return zone, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def _wanted(values: list | None, own: np.ndarray) -> np.ndarray:
+    return np.isin(own, np.asarray(values if values is not None else [], np.int64))
+
+
+def _part_entries(candidates: DataFrame, length: int) -> DataFrame:
+    """(row_key, at, core, zone, need) of the parts of zones to compare; at is PARTS * trigger + part.
+
+    core is the hash of what all strings of the part share, zone that of what they cover, as far as the text goes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            wanted, needs = batch.column("compare").to_pylist(), batch.column("need").to_pylist()
+            compare, need = batch.column("compare").to_pylist(), batch.column("need").to_pylist()
             base = 0
             for rows, data, offsets in slices(batch, "text"):
                 prefix, doc, trigger, lo, hi = parse(data, offsets, length)
-                pick = np.zeros(len(doc), np.int8)
                 bounds = np.searchsorted(doc, np.arange(len(offsets)))
+                pick, needed = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
                 for i in range(len(offsets) - 1):
-                    a, b = bounds[i], bounds[i + 1]
-                    own = trigger[a:b] - offsets[i]
-                    pick[a:b] = np.isin(own, np.asarray(wanted[base + i], np.int64)).astype(np.int8) + np.isin(own, np.asarray(needs[base + i], np.int64))
+                    own = slice(bounds[i], bounds[i + 1])
+                    pick[own] = _wanted(compare[base + i], trigger[own] - offsets[i])
+                    needed[own] = _wanted(need[base + i], trigger[own] - offsets[i])
                 base += rows.num_rows
                 z = np.flatnonzero(pick)
-                n = hi[z] - lo[z] + 1
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo[z], n)
-                d = np.repeat(doc[z], n)
+                k, part = _parts_of(trigger[z], lo[z], hi[z])
+                z = z[k]
+                d = doc[z]
+                late = trigger[z] - PART * part  # the last start, were it in the zone
+                early = late - (PART - 1)
+                left, right = np.maximum(early, offsets[d]), np.minimum(late + length, offsets[d + 1])
+                cut = ((left - early) * 4096 + (late + length - right)).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(rows.schema.get_field_index("row_key")).take(pa.array(d)),
-                        pa.array((start - offsets[d]).astype(np.int32)),
+                        pa.array((trigger[z] - offsets[d]) * PARTS + part),
+                        pa.array(mix(span_hash(prefix, late, early + length) + part.astype(np.uint64)).view(np.int64)),
+                        pa.array(mix(span_hash(prefix, left, right) + cut).view(np.int64)),
+                        pa.array(needed[z]),
+                    ],
+                    ["row_key", "at", "core", "zone", "need"],
+                )
+
+    return candidates.select("row_key", "text", "compare", "need").mapInArrow(run, "row_key long, at long, core long, zone long, need boolean")
+
+
+def _starts(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, index of the mark of each) for marks PARTS * trigger + part; all count from the text's start."""
+    at, part = marks // PARTS, marks % PARTS
+    z = np.searchsorted(trigger, at)
+    late = np.minimum(at - PART * part, hi[z])
+    early = np.maximum(at - PART * part - (PART - 1), lo[z])
+    n = late - early + 1
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - early, n), np.repeat(np.arange(len(marks)), n)
+
+
+def _strings(candidates: DataFrame, length: int) -> DataFrame:
+    """(row_key, start, string, need) of the strings that start in the parts to compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            compare, need = batch.column("compare").to_pylist(), batch.column("need").to_pylist()
+            base = 0
+            for rows, data, offsets in slices(batch, "text"):
+                prefix, doc, trigger, lo, hi = parse(data, offsets, length)
+                bounds = np.searchsorted(doc, np.arange(len(offsets)))
+                start, row, needed = [], [], []
+                for i in range(len(offsets) - 1):
+                    marks = np.asarray(compare[base + i] or [], np.int64)
+                    if len(marks):
+                        own, at = slice(bounds[i], bounds[i + 1]), offsets[i]
+                        s, k = _starts(trigger[own] - at, lo[own] - at, hi[own] - at, marks)
+                        start.append(s + at)
+                        row.append(np.full(len(s), i))
+                        needed.append(_wanted(need[base + i], marks)[k])
+                base += rows.num_rows
+                if not start:
+                    continue
+                start, row, needed = map(np.concatenate, (start, row, needed))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(rows.schema.get_field_index("row_key")).take(pa.array(row)),
+                        pa.array((start - offsets[row]).astype(np.int32)),
                         pa.array(span_hash(prefix, start, start + length).view(np.int64)),
-                        pa.array(np.repeat(pick[z] == 2, n)),
+                        pa.array(needed),
                     ],
                     ["row_key", "start", "string", "need"],
                 )
@@ -115,26 +185,27 @@ def _strings(candidates: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(candidates: DataFrame, length: int) -> DataFrame:
-    """(row_key, n_bytes, n_removed, spans, kept) of docs with settled zones (whole) and single repeated starts."""
+    """(row_key, n_bytes, n_removed, spans, kept) of texts with repeated zones (whole), parts and single starts."""
     schema = "row_key long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            whole, single = batch.column("whole"), batch.column("starts")
+            whole, parts, single = (batch.column(c) for c in ("whole", "parts", "starts"))
             base = 0
             for rows, data, offsets in slices(batch, "text"):
                 _, doc, trigger, lo, hi = parse(data, offsets, length)
                 bounds = np.searchsorted(doc, np.arange(len(offsets)))
                 size, removed, spans, kept = [], [], [], []
                 for i in range(len(offsets) - 1):
-                    text = data[offsets[i] : offsets[i + 1]]
-                    a, b = bounds[i], bounds[i + 1]
-                    z = a + np.flatnonzero(np.isin(trigger[a:b] - offsets[i], np.asarray(whole[base + i].as_py() or [], np.int64)))
-                    s = np.asarray(single[base + i].as_py() or [], np.int64)
+                    text, own, at = data[offsets[i] : offsets[i + 1]], slice(bounds[i], bounds[i + 1]), offsets[i]
+                    t, a, b = trigger[own] - at, lo[own] - at, hi[own] - at
+                    z = np.flatnonzero(_wanted(whole[base + i].as_py(), t))
+                    s, _ = _starts(t, a, b, np.asarray(parts[base + i].as_py() or [], np.int64))
+                    s = np.concatenate((s, np.asarray(single[base + i].as_py() or [], np.int64)))
                     edge = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(edge, lo[z] - offsets[i], 1)
-                    np.add.at(edge, hi[z] - offsets[i] + length, -1)
+                    np.add.at(edge, a[z], 1)
+                    np.add.at(edge, b[z] + length, -1)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + length, -1)
                     gone = np.cumsum(edge[:-1]) > 0
@@ -149,7 +220,31 @@ def _cut(candidates: DataFrame, length: int) -> DataFrame:
                     ["row_key", "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    return candidates.select("row_key", "text", "whole", "starts").mapInArrow(run, schema)
+    return candidates.select("row_key", "text", "whole", "parts", "starts").mapInArrow(run, schema)
+
+
+def _settle(entries: DataFrame) -> DataFrame:
+    """Entries (row_key, at, core, zone, need) of which the core is repeated, summed by text: (row_key, whole, compare, need).
+
+    whole: places whose zone is repeated. compare: one place of each distinct zone, where a core has several. need:
+    places to compare for their own sake, as their zone stands once. entries is a shared table.
+    """
+    cores = entries.groupBy("core").agg(F.count("*").alias("n"), F.min("zone").alias("lo"), F.max("zone").alias("hi")).where("n > 1")
+    several = write_shared(entries.join(cores.select("core", (F.col("lo") != F.col("hi")).alias("varied")), "core"), "several")
+    place = F.xxhash64("row_key", "at")
+    varied = several.where("varied").drop("varied")
+    zones = varied.groupBy("core", "zone").agg(F.count("*").alias("copies"), F.min(place).alias("first")).withColumnRenamed("core", "c").withColumnRenamed("zone", "z")
+    marked = varied.join(zones, (F.col("core") == F.col("c")) & (F.col("zone") == F.col("z")))
+    marked = marked.select("row_key", "at", "need", (F.col("copies") > 1).alias("settled"), (F.col("first") == place).alias("listed"))
+    marked = marked.unionByName(several.where("NOT varied").select("row_key", "at", "need", F.lit(True).alias("settled"), F.lit(False).alias("listed")))
+    out = marked.where("(settled AND need) OR listed").groupBy("row_key").agg(
+        F.array_distinct(F.collect_list(F.when(F.col("settled") & F.col("need"), F.col("at")))).alias("whole"),
+        F.array_distinct(F.collect_list(F.when(F.col("listed"), F.col("at")))).alias("compare"),
+        F.array_distinct(F.collect_list(F.when(~F.col("settled") & F.col("need"), F.col("at")))).alias("need"),
+    )
+    out = write_shared(out, "marks")
+    drop_shared(several)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -166,24 +261,21 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.select("row_key", "text")
     entries = write_shared(dictionary_entries(docs, length), "entries")
-    cores = entries.groupBy("core").agg(F.count("*").alias("n"), F.min("zone").alias("lo"), F.max("zone").alias("hi")).where("n > 1")
-    several = write_shared(entries.join(cores.select("core", (F.col("lo") != F.col("hi")).alias("varied")), "core"), "several")
-    place = F.xxhash64("row_key", "at")
-    zones = several.groupBy("core", "zone").agg(F.count("*").alias("copies"), F.min(place).alias("first")).withColumnRenamed("core", "c").withColumnRenamed("zone", "z")
-    marked = several.join(zones, (F.col("core") == F.col("c")) & (F.col("zone") == F.col("z"))).select(
-        "row_key", "at", (F.col("copies") > 1).alias("settled"), (F.col("varied") & (F.col("first") == place)).alias("listed")
-    )
-    marks = marked.where("settled OR listed").groupBy("row_key").agg(
-        F.array_distinct(F.collect_list(F.when(F.col("settled"), F.col("at")))).alias("whole"),
-        F.array_distinct(F.collect_list(F.when(F.col("listed"), F.col("at")))).alias("compare"),
-        F.array_distinct(F.collect_list(F.when(~F.col("settled"), F.col("at")))).alias("need"),
-    )
-    candidates = write_shared(docs.join(marks, "row_key"), "candidates")
-    strings = write_shared(_strings(candidates.where(F.size("compare") > 0), length), "strings")
+    marks = _settle(entries)
+    drop_shared(entries)
+    zoned = write_shared(docs.join(marks, "row_key"), "zoned")
+    drop_shared(marks)
+    entries = write_shared(_part_entries(zoned.where(F.size("compare") > 0), length), "part_entries")
+    parts = _settle(entries)
+    drop_shared(entries)
+    parted = write_shared(zoned.select("row_key", "text", "whole").join(parts.withColumnRenamed("whole", "parts"), "row_key", "left"), "parted")
+    drop_shared(zoned, parts)
+    strings = write_shared(_strings(parted.where(F.size("compare") > 0), length), "strings")
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     starts = strings.where("need").join(twice, "string").groupBy("row_key").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
-    out = _cut(candidates.join(starts, "row_key", "left"), length).where("n_removed > 0")
-    return out
+    starts = write_shared(starts, "starts")
+    drop_shared(strings)
+    return _cut(parted.join(starts, "row_key", "left"), length).where("n_removed > 0")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -191,15 +283,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character of which a part is cut goes whole. Rows with a null text stay as they are.
     """
-    base = keyed(docs)
-    found = repeated(base, length).select("row_key", "kept").dropDuplicates(["row_key"])
+    key = F.xxhash64("doc_id", "text")
+    found = repeated(docs.select(key.alias("row_key"), "text"), length).select("row_key", "kept").dropDuplicates(["row_key"])
 
     def decode(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())], ["row_key", "kept"])
 
     texts = found.mapInArrow(decode, "row_key long, kept string")
-    joined = base.join(texts, "row_key", "left")
-    text = F.coalesce("kept", "text")
-    out = {"text": text} | ({"n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    joined = docs.select(key.alias("row_key"), F.struct("*").alias("doc")).join(texts, "row_key", "left")
+    out = {"text": F.coalesce("kept", "doc.text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return joined.select(*[out.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns])
