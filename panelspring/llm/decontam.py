@@ -33,9 +33,10 @@ def seeds(df: DataFrame, keep: tuple[str, ...], masks=MASKS) -> DataFrame:
         return lambda i: F.xxhash64(F.lit(k), *[F.get("toks", i + j) for j, c in enumerate(mask) if c == "1"])
 
     every = F.concat(*[F.transform(F.sequence(F.lit(0), n - least), at(k, m)) for k, m in enumerate(masks)])
-    rows = df.where(n >= least).select(*keep, (n - least + 1).alias("__m"), every.alias("__s"))
-    rows = rows.select(*keep, "__m", F.posexplode("__s").alias("__p", "seed"))
-    return rows.select(*keep, F.pmod("__p", F.col("__m")).alias("pos"), "seed")
+    # No filter and an outer generator: Catalyst would copy the token expression into a filter's lambdas otherwise.
+    rows = df.select(*keep, (n - least + 1).alias("__m"), F.when(n >= least, every).alias("__s"))
+    rows = rows.select(*keep, "__m", F.posexplode_outer("__s").alias("__p", "seed"))
+    return rows.select(*keep, F.when(F.col("__p").isNotNull(), F.pmod("__p", F.greatest(F.col("__m"), F.lit(1)))).alias("pos"), "seed")
 
 
 def matches(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -49,7 +50,7 @@ def matches(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW
     share an id count as one. All hits are compared, whatever their number.
     """
     bench = items.select("item_id", tokens(F.col("text")).alias("item_toks"))
-    hashes = seeds(bench.withColumnRenamed("item_toks", "toks"), ("item_id",), masks).withColumnRenamed("pos", "item_at").distinct()
+    hashes = seeds(bench.withColumnRenamed("item_toks", "toks"), ("item_id",), masks).withColumnRenamed("pos", "item_at").where("seed IS NOT NULL").distinct()
     small = hashes.count() <= BROADCAST_ROWS
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     found = seeds(keyed.select("row_key", tokens(F.col("text")).alias("toks")), ("row_key",), masks)
@@ -68,8 +69,9 @@ def matches(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW
     rows = rows.select("doc_id", "item_id", "shift", length.alias("compared"), F.transform(F.sequence(F.lit(0), F.size("item_toks") - 1), equal).alias("same"))
     starts = F.sequence(F.lit(0), F.size("same") - F.col("compared"))
     sums = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("compared")), F.lit(0), lambda n, x: n + x).alias("matched"), (-(i + F.col("shift"))).alias("p"), (-i).alias("q")))
-    rows = rows.select("doc_id", "item_id", "compared", F.array_max(sums).alias("best")).where(F.col("best.matched") >= F.ceil(F.col("compared") * share))
-    out = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("best", "compared")).alias("x"))
+    rows = rows.select("doc_id", "item_id", "compared", F.array_max(sums).alias("best"))
+    # Filtered after the sum, not before: see seeds(). All lines of an item have one `compared`.
+    out = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("best", "compared")).alias("x")).where(F.col("x.best.matched") >= F.ceil(F.col("x.compared") * share))
     return out.select("doc_id", "item_id", F.col("x.best.matched").alias("matched"), F.col("x.compared").alias("compared"), (-F.col("x.best.p")).alias("doc_pos"), (-F.col("x.best.q")).alias("item_pos"))
 
 
