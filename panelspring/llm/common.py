@@ -145,8 +145,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.n
     wh, first = word_hashes(data, offsets)
     k = powers(width)[0]
     total = np.zeros(len(wh), np.uint64)
-    for j in range(width):
-        total[: len(wh) - j if j else None] += wh[j:] * k[j]
+    for j in range(min(width, len(wh))):
+        total[: len(wh) - j] += wh[j:] * k[j]
     total = mix(total)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

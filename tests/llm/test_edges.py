@@ -102,7 +102,7 @@ def test_fingerprints(spark, docs, empty):
 
 def test_sketch_algebra():
     rng = np.random.default_rng(3)
-    a, b = rng.integers(0, 2**63, 4000, dtype=np.uint64), rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    a, b = rng.integers(0, 2**64, 4000, dtype=np.uint64), rng.integers(0, 2**64, 1000, dtype=np.uint64)
     x, y = fingerprint.sketch(np.concatenate((a, b))), fingerprint.sketch(b)
     assert np.array_equal(fingerprint.merge(fingerprint.sketch(a), y), x)
     assert abs(fingerprint.resemblance(x, y) - 0.2) < 0.1 and fingerprint.containment(y, x) > 0.7 and abs(fingerprint.distinct(x) / 5000 - 1) < 0.25
@@ -194,7 +194,7 @@ def test_quality(spark, docs, empty):
 def test_hinge_descent_matches_its_dual():
     x = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))]
     w = quality.hinge_dual_descent(x, np.array([1.0, -1.0]), 2, np.array([10.0, 10.0]), 500)
-    assert w[0] - w[1] == pytest.approx(2.0, abs=1e-3) and w[0] + w[2] == pytest.approx(1.0, abs=1e-2)
+    assert w[0] - w[1] == pytest.approx(2.0, abs=1e-2) and w[0] + w[2] == pytest.approx(1.0, abs=1e-2)
 
 
 def test_tokens(spark, docs, empty):
