@@ -82,7 +82,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6}
+    return {"op6_mixing": OP6, "op7_decontamination": OP7, "op10_minhash": OP10}
 
 
 OP6 = r"""
@@ -113,3 +113,35 @@ SELECT p.doc_id, p.size, t.source_size, t.target,
                     + CAST(CAST(2 * (2 * t.source_size + p.before) + p.size AS DOUBLE) <= 2 * t.target AS BIGINT)) AS BIGINT) AS taken
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
+
+# The same masks, spelled out as token positions.
+OP7 = r"""
+WITH masks(k, o) AS (VALUES (0, [0, 2, 3, 4, 5]), (1, [0, 1, 2, 5, 6]), (2, [0, 1, 4, 6, 8]), (3, [0, 1, 4, 7, 10])),
+docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
+dpos AS (SELECT r, t, unnest(range(0, len(t) - 5)) AS p FROM docs WHERE len(t) >= 6),
+ipos AS (SELECT item_id, t, unnest(range(0, len(t) - 5)) AS p FROM items WHERE len(t) >= 6),
+dseed AS (SELECT r, p, concat_ws('|', k, t[p + o[1] + 1], t[p + o[2] + 1], t[p + o[3] + 1], t[p + o[4] + 1], t[p + o[5] + 1]) AS seed FROM dpos CROSS JOIN masks),
+iseed AS (SELECT item_id, p, concat_ws('|', k, t[p + o[1] + 1], t[p + o[2] + 1], t[p + o[3] + 1], t[p + o[4] + 1], t[p + o[5] + 1]) AS seed FROM ipos CROSS JOIN masks),
+hits AS (SELECT DISTINCT d.r, i.item_id, d.p - i.p AS shift FROM dseed d JOIN iseed i USING (seed)),
+lines AS (SELECT d.doc_id, i.item_id, shift, least(16, len(i.t)) AS n,
+  list_transform(range(0, len(i.t)), lambda j: CASE WHEN j + shift >= 0 AND i.t[j + 1] = d.t[j + shift + 1] THEN 1 ELSE 0 END) AS same
+  FROM hits h JOIN docs d ON d.r = h.r JOIN items i ON i.item_id IS NOT DISTINCT FROM h.item_id),
+stretches AS (SELECT doc_id, item_id, n, shift, s, list_sum(same[s + 1 : s + n]) AS matched FROM (SELECT *, unnest(range(0, len(same) - n + 1)) AS s FROM lines))
+SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS compared, CAST(s + shift AS INTEGER) AS doc_pos, CAST(s AS INTEGER) AS item_pos
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, s + shift, s) AS k FROM stretches) WHERE k = 1 AND matched >= ceil(n * 0.75)
+"""
+
+OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS sh FROM w),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM reach JOIN links ON node = a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) c USING (doc_id)
+"""
