@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,29 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 400_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once an application, as a small archive that the driver serves."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        here = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="panelspring-")) / "panelspring-llm.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            z.write(here.parent / "__init__.py", "panelspring/__init__.py")
+            for f in sorted(here.glob("*.py")):
+                z.write(f, f"panelspring/llm/{f.name}")
+        context.addPyFile(str(archive))
+
+
+def arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

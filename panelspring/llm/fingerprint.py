@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shingles, slices
+from .common import arrow, shingles, slices
 
 K = 256
 _RANGE = float(1 << 48)
@@ -84,7 +84,7 @@ def fingerprint(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = K
                 got = [sketch(h, k) for h in shingles(data, offsets)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array([to_text(g) for g in got], pa.string()), pa.array([distinct(g, k) for g in got], pa.float64())], [*rows.schema.names[:-1], "fingerprint", "n_distinct"])
 
-    return kept.mapInArrow(run, out)
+    return arrow(kept, run, out)
 
 
 def with_next(docs: DataFrame, chars_per_range: int = 8_000_000) -> DataFrame:
@@ -167,4 +167,4 @@ def edited_pairs(docs: DataFrame, k: int = K, run_chars: int = 1_000_000) -> Dat
         if len(rows) > 1:
             yield flush(rows)[0]
 
-    return with_next(docs).mapInArrow(run, schema)
+    return arrow(with_next(docs), run, schema)

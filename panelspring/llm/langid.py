@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, mix, powers
+from .common import arrow, batch_of, mix, powers
 
 UNKNOWN = "und"
 CHUNK_CHARS = 200_000
@@ -123,7 +123,7 @@ def fit_language_model(train: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bi
         c, h = np.nonzero(total)
         yield batch_of(schema, **{"class": c.astype(np.int32), "bucket": h.astype(np.int32), "n": total[c, h]})
 
-    rows = picked.mapInArrow(count, "class int, bucket int, n long").groupBy("class", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = arrow(picked, count, "class int, bucket int, n long").groupBy("class", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(langs), 1 << bits), alpha)
     counts[rows["class"], rows["bucket"]] += rows["n"]
     logp = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
@@ -150,4 +150,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
             rest = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [batch.schema.names[i] for i in rest] + ["lang_pred", "score"])
 
-    return kept.mapInArrow(score, out)
+    return arrow(kept, score, out)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, slices, write_shared
+from .common import arrow, mix, shingles, slices, write_shared
 from .graph import components
 
 BANDS, ROWS = 25, 5
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def set_digest(u: np.ndarray) -> bytes:
@@ -94,7 +94,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = [np.unique(h) for h in shingles(data, offsets)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_digest(u) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], ["digest", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, shingles binary").select(F.xxhash64("digest").alias("id"), "shingles")
+    return arrow(docs.select("text"), run, "digest binary, shingles binary").select(F.xxhash64("digest").alias("id"), "shingles")
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -115,7 +115,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return arrow(both.select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
 def _across(pdf: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:

@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hash, slices, span_hash, words
+from .common import arrow, mix, powers, prefix_hash, ship, slices, span_hash, words
 
 BITS = 17
 _CHAR_ORDERS = (1, 2, 3, 4)
+#: Word n-grams of one word repeated: indicators of at least so many in a row, whatever the word.
+_REPEATS = np.array([2, 3, 4, 6, 8, 12, 16, 24])
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """Distinct buckets of each text: words, word pairs and byte n-grams, none across documents."""
+    """Distinct buckets of each text: words, word pairs, repeats of a word and byte n-grams, none across documents."""
     size = 1 << bits
     shift = np.uint64(64 - bits)
     start, end, first = words(data, offsets)
@@ -29,6 +31,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np
     wh = span_hash(prefix, start, end)
     wb = (mix(wh + np.uint64(11)) >> shift).astype(np.int32)
     pair = (mix(wh[:-1] * powers(3)[0][1] + wh[1:] + np.uint64(13)) >> shift).astype(np.int32) if len(wh) > 1 else wb[:0]
+    index = np.arange(len(wh))
+    fresh = np.ones(len(wh), bool)
+    fresh[1:] = wh[1:] != wh[:-1]
+    fresh[first[:-1][first[:-1] < len(wh)]] = True
+    run = index - np.maximum.accumulate(np.where(fresh, index, 0)) + 1 if len(wh) else index
+    repeat = (mix(_REPEATS.astype(np.uint64) + np.uint64(17)) >> shift).astype(np.int32)
     chars = []
     p = powers(8)[0]
     wide = data.astype(np.uint64) + np.uint64(1)
@@ -44,6 +52,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np
         parts = [wb[w0:w1], pair[w0 : max(w0, w1 - 1)], *(c[a : max(a, b - n + 1)] for n, c in zip(_CHAR_ORDERS, chars))]
         for x in parts:
             seen[x] = True
+        if w1 > w0:
+            seen[repeat[_REPEATS <= run[w0:w1].max()]] = True
         got = np.flatnonzero(seen)
         seen[got] = False
         out.append(got.astype(np.int32))
@@ -84,7 +94,7 @@ def hinge_dual_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, si
     return w
 
 
-def fit_quality_model(train: DataFrame, label: str = "quality", max_rows: int = 12_000, shards: int = 6, bits: int = BITS, alpha: float = 1.0, cost: float = 1.0) -> QualityModel:
+def fit_quality_model(train: DataFrame, label: str = "quality", max_rows: int = 12_000, shards: int = 6, bits: int = BITS, alpha: float = 1.0, cost: float = 10.0) -> QualityModel:
     """Fit on columns text and `label` (0 or 1). Rows with a null label are skipped; a null text is empty.
 
     max_rows bounds the sample, split evenly between the classes and chosen by a hash of the text; a class with fewer
@@ -114,6 +124,7 @@ def fit_quality_model(train: DataFrame, label: str = "quality", max_rows: int =
         weight = hinge_dual_descent([(f, ratio[f] / np.sqrt(max(1, len(f)))) for f in rows], np.where(y == 1, 1.0, -1.0), size, cost * np.where(y == 1, len(y) / 2 / n1, len(y) / 2 / n0))
         return pd.DataFrame({"w": [(np.append(weight[:-1] * ratio, weight[-1])).astype(np.float32).tobytes()], "n": [len(y)]})
 
+    ship(train.sparkSession)
     got = picked.groupBy("shard").applyInPandas(fit, "w binary, n long").toPandas()
     total = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(got["w"], got["n"])) / got["n"].sum()
     return QualityModel(total[:-1].astype(np.float32), float(total[-1]), bits)
@@ -134,4 +145,4 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] =
                 s = 1 / (1 + np.exp(-np.clip(sharpness * shared.value.margins(data, offsets), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*rows.schema.names[:-1], "score", "predicted"])
 
-    return kept.mapInArrow(score, out)
+    return arrow(kept, score, out)

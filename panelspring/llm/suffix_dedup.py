@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, mix, prefix_hash, slices, span_hash, write_shared
+from .common import arrow, drop_shared, mix, prefix_hash, slices, span_hash, write_shared
 
 LENGTH = 200
 #: Bytes of the rolling window, and starts among which the trigger is chosen.
@@ -82,7 +82,7 @@ def dictionary_entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["row_key", "at", "core", "zone", "need"],
                 )
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, at long, core long, zone long, need boolean")
+    return arrow(docs.select("row_key", "text"), run, "row_key long, at long, core long, zone long, need boolean")
 
 
 def _parts_of(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _part_entries(candidates: DataFrame, length: int) -> DataFrame:
                     ["row_key", "at", "core", "zone", "need"],
                 )
 
-    return candidates.select("row_key", "text", "compare", "need").mapInArrow(run, "row_key long, at long, core long, zone long, need boolean")
+    return arrow(candidates.select("row_key", "text", "compare", "need"), run, "row_key long, at long, core long, zone long, need boolean")
 
 
 def _starts(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def _strings(candidates: DataFrame, length: int) -> DataFrame:
                     ["row_key", "start", "string", "need"],
                 )
 
-    return candidates.select("row_key", "text", "compare", "need").mapInArrow(run, "row_key long, start int, string long, need boolean")
+    return arrow(candidates.select("row_key", "text", "compare", "need"), run, "row_key long, start int, string long, need boolean")
 
 
 def _cut(candidates: DataFrame, length: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _cut(candidates: DataFrame, length: int) -> DataFrame:
                     ["row_key", "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    return candidates.select("row_key", "text", "whole", "parts", "starts").mapInArrow(run, schema)
+    return arrow(candidates.select("row_key", "text", "whole", "parts", "starts"), run, schema)
 
 
 def _settle(entries: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())], ["row_key", "kept"])
 
-    texts = found.mapInArrow(decode, "row_key long, kept string")
+    texts = arrow(found, decode, "row_key long, kept string")
     joined = docs.select(key.alias("row_key"), F.struct("*").alias("doc")).join(texts, "row_key", "left")
     out = {"text": F.coalesce("kept", "doc.text")}
     if "n_chars" in docs.columns:

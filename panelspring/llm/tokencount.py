@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, slices, span_hash, words
+from .common import arrow, prefix_hash, slices, span_hash, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -136,4 +136,4 @@ def count_tokens(docs: DataFrame, pieces: set[bytes], keep: tuple[str, ...] = ("
                 total = np.concatenate(([0], np.cumsum(n)))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(total[first]).astype(np.int64))], [*rows.schema.names[:-1], "n_words", "n_tokens"])
 
-    return kept.mapInArrow(count, out)
+    return arrow(kept, count, out)

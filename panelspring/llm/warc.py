@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records in one file at most: with three a capture, about 2,000 captures.
@@ -134,7 +136,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), types)], names)
 
-    return files.mapInArrow(run, RECORD)
+    return arrow(files, run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
