@@ -12,11 +12,13 @@ P, M1, M2 = 2147483647, 48271, 69621
 
 
 def draw(rep: Column, blk: Column, seed: int) -> Column:
-    """A pseudo-random integer below P from integer arithmetic alone, equal on every engine."""
-    x = (M1 * (rep + 1) + M2 * (blk + 1) + seed) % P
-    for _ in range(4):
-        x = (x * x + M1 * x + M2 * (blk + 1) + rep + 1) % P
-    return x
+    """A pseudo-random integer below P from integer arithmetic alone, equal on every engine.
+
+    The four rounds are a fold, so that the expression stays small: written out, each round would copy the one before twice.
+    """
+    first = (M1 * (rep + 1) + M2 * (blk + 1) + seed) % P
+    rounds = F.array(*[F.lit(0)] * 4)
+    return F.aggregate(rounds, first, lambda x, _: (x * x + M1 * x + M2 * (blk + 1) + rep + 1) % P)
 
 
 def block_starts(df: DataFrame, by: list[str], reps: int, length: int, seed: int = 42) -> DataFrame:
@@ -24,10 +26,7 @@ def block_starts(df: DataFrame, by: list[str], reps: int, length: int, seed: int
     sizes = df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= length)
     rows = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
     rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / length) - 1)))
-    # One expression step at a time keeps the plan small.
-    rows = rows.withColumn("x", (M1 * (F.col("rep") + 1) + M2 * (F.col("blk") + 1) + seed) % P)
-    for _ in range(4):
-        rows = rows.withColumn("x", (F.col("x") * F.col("x") + M1 * F.col("x") + M2 * (F.col("blk") + 1) + F.col("rep") + 1) % P)
+    rows = rows.withColumn("x", draw(F.col("rep"), F.col("blk"), seed))
     return rows.select(*by, "rep", (F.col("x") % (F.col("n") - length + 1)).alias("start"))
 
 
