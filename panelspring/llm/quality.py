@@ -94,21 +94,24 @@ def hinge_dual_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, si
     return w
 
 
-def fit_quality_model(train: DataFrame, label: str = "quality", max_rows: int = 12_000, shards: int = 6, bits: int = BITS, alpha: float = 1.0, cost: float = 10.0) -> QualityModel:
-    """Fit on columns text and `label` (0 or 1). Rows with a null label are skipped; a null text is empty.
+def fit_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 12_000, shards: int = 6, bits: int = BITS, alpha: float = 1.0, cost: float = 10.0) -> QualityModel:
+    """Fit on docs (doc_id, text) with labels (doc_id and `label`, 0 or 1). Null ids and labels are skipped; a null text is empty.
 
-    max_rows bounds the sample, split evenly between the classes and chosen by a hash of the text; a class with fewer
-    rows gives all. Each row counts by its class's share, so that both classes weigh alike. With one class only, or
-    none, the model answers with that class, or 1.
+    max_rows bounds the sample: about that many labels, split evenly between the classes and chosen by a hash of the id; a
+    class with fewer gives all. The bounded sample of labels is broadcast to the texts, which are not shuffled. Each row
+    counts by its class's share, so that both classes weigh alike. With one class only, or none, the model answers with
+    that class, or 1.
     """
-    train = train.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labels = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     size = 1 << bits
     if len(sizes) < 2:
         return QualityModel(np.zeros(size, np.float32), -1.0 if 0 in sizes else 1.0, bits)
     share = F.when(F.col("label") == 1, min(1.0, max_rows / 2 / sizes[1])).otherwise(min(1.0, max_rows / 2 / sizes[0]))
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    picked = train.where(u / float(1 << 30) < share).select("text", "label", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int").alias("shard"))
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = F.broadcast(labels.where(u / float(1 << 30) < share))
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    picked = picked.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf["label"].to_numpy()
@@ -124,8 +127,10 @@ def fit_quality_model(train: DataFrame, label: str = "quality", max_rows: int =
         weight = hinge_dual_descent([(f, ratio[f] / np.sqrt(max(1, len(f)))) for f in rows], np.where(y == 1, 1.0, -1.0), size, cost * np.where(y == 1, len(y) / 2 / n1, len(y) / 2 / n0))
         return pd.DataFrame({"w": [(np.append(weight[:-1] * ratio, weight[-1])).astype(np.float32).tobytes()], "n": [len(y)]})
 
-    ship(train.sparkSession)
+    ship(docs.sparkSession)
     got = picked.groupBy("shard").applyInPandas(fit, "w binary, n long").toPandas()
+    if not len(got):  # no label has a document
+        return QualityModel(np.zeros(size, np.float32), 1.0, bits)
     total = sum(np.frombuffer(w, np.float32).astype(float) * n for w, n in zip(got["w"], got["n"])) / got["n"].sum()
     return QualityModel(total[:-1].astype(np.float32), float(total[-1]), bits)
 

@@ -64,8 +64,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
-    train = docs.where(~held).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return quality.score_quality(docs, quality.fit_quality_model(train)).select("doc_id", held.alias("held_out"), "score", "predicted")
+    model = quality.fit_quality_model(docs, table(spark, sf_dir, "labels").where(~held))
+    return quality.score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,13 +182,13 @@ def test_quality(spark, docs, empty):
     good = [(i, f"the {i} quiet river runs past the old mill and into the sea", 1) for i in range(60)]
     bad = [(100 + i, f"BUY!! NOW!! {i}!! CLICK!! HERE!! $$$ %%%", 0) for i in range(60)]
     train = spark.createDataFrame(good + bad + [(999, None, 1), (998, "x", None)], "doc_id long, text string, quality int")
-    model = quality.fit_quality_model(train)
+    model = quality.fit_quality_model(train, train)
     got = {r["doc_id"]: r for r in quality.score_quality(train, model).collect()}
     assert len(got) == 122 and sum(got[i]["predicted"] == 1 for i in range(60)) > 57 and sum(got[100 + i]["predicted"] == 0 for i in range(60)) > 57
     assert all(0 <= r["score"] <= 1 for r in quality.score_quality(docs, model, ("doc_id", "lang")).collect())
     assert quality.score_quality(empty, model, ("doc_id",)).count() == 0
-    assert {r["predicted"] for r in quality.score_quality(docs.drop("score"), quality.fit_quality_model(train.where("quality = 0"))).collect()} == {0}
-    assert {r["predicted"] for r in quality.score_quality(docs.drop("score"), quality.fit_quality_model(train.where("quality > 5"))).collect()} == {1}
+    assert {r["predicted"] for r in quality.score_quality(docs.drop("score"), quality.fit_quality_model(train, train.where("quality = 0"))).collect()} == {0}
+    assert {r["predicted"] for r in quality.score_quality(docs.drop("score"), quality.fit_quality_model(train, train.where("quality > 5"))).collect()} == {1}
 
 
 def test_hinge_descent_matches_its_dual():
