@@ -16,8 +16,7 @@ from panelspring.llm.common import id_bucket, write_shared
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good; labels of the held-out third are not used."""
     held = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.fit_quality_model(docs.select("doc_id", "text").where(~held).join(labels, "doc_id"))
+    model = quality.fit_quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
     return quality.score_quality(docs, model, tuple(docs.columns)).where("predicted = 1").select(docs.columns)
 
 
