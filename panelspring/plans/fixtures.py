@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,33 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: True while a query of whole texts is built; the other queries take the first 80 characters, as their SQL does.
+_whole = ContextVar("whole", default=False)
+
+
+def whole(fn):
+    """The query fn with whole texts as headlines."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        token = _whole.set(True)
+        try:
+            return fn(spark, sf)
+        finally:
+            _whole.reset(token)
+
+    return run
+
+
+def whole_sql(oracle: str) -> str:
+    """SQL of a query of headlines with whole texts instead."""
+    assert HEADLINE_SQL in oracle
+    return oracle.replace(HEADLINE_SQL, "text AS headline")
+
+
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("headline_id"), F.col("lang").alias("market"), F.col("source").alias("section"), F.substring("text", 1, 80).alias("headline"), F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("doc_id") * 7919) % 2400).cast("int")).alias("date"))
+    text = F.col("text") if _whole.get() else F.substring("text", 1, 80)
+    return d.select(F.col("doc_id").alias("headline_id"), F.col("lang").alias("market"), F.col("source").alias("section"), text.alias("headline"), F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("doc_id") * 7919) % 2400).cast("int")).alias("date"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,6 +171,7 @@ VIEWS = {
       WHERE y IS NOT NULL AND yhat_b IS NOT NULL""",
     "longp": "SELECT market, symbol, date, fold, y, 'A' AS model, yhat_a AS yhat FROM preds UNION ALL SELECT market, symbol, date, fold, y, 'B', yhat_b FROM preds",
 }
+HEADLINE_SQL = "SUBSTRING(text, 1, 80) AS headline"
 NEEDS = {"rets": ["prices"], "feats": ["rets"], "wide": ["indicators"], "sent": ["scores"], "preds": ["rets"], "longp": ["preds"]}
 
 

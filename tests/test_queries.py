@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import duckdb
 import pytest
@@ -165,3 +166,14 @@ def test_claims_and_rounding(spark):
     computed = spark.createDataFrame([("a", 0.8301), ("b", 0.61)], "m string, value double")
     assert {r["m"]: r["verdict"] for r in checks.claims(claimed, computed, ["m"], 2).collect()} == {"a": "ok", "b": "differs", "c": "missing"}
     assert spark.range(1).select(frames.rounded(F.lit(-1e-9)).alias("x")).first()["x"] == 0.0
+
+
+def test_whole_texts_reach_the_news_queries(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sum(len(t or "") > 80 for t in texts.values()) > 100
+    got = {r["headline_id"]: r["headline"] for r in QUERIES["b4_dedup_headlines_whole"](spark, small).collect()}
+    assert all(got[i] == texts[i] for i in got) and {t for t in texts.values() if t} <= set(got.values())
+    counts = {r["headline_id"]: r["n_tokens"] for r in QUERIES["c4_lexicon_scores_whole"](spark, small).collect()}
+    for i, t in texts.items():
+        assert counts[i] == len([w for w in re.split("[^a-zà-ÿ]+", (t or "").lower()) if w])
+    assert QUERIES["c2_tfidf_pca_whole"](spark, small).count() >= QUERIES["c2_tfidf_pca"](spark, small).count() > 0
