@@ -38,7 +38,7 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy that the mix takes, in training order: doc_id, source, size, copy, position, text."""
-    order = mixing.curriculum(mixing.mix(docs))
+    order = mixing.curriculum(mixing.mix(docs), mixing.PHASES)
     return mixing.in_order(order.select("doc_id", "source", "size", "copy", "position"))
 
 

@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: One phase, weights by the rank of a source among the sources by code point, repeated as needed.
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
+#: The schedule of training: most of it at the weights of the mix, then more of the lighter sources, then most of the lightest.
+PHASES = ((0.6, (5, 2, 1)), (0.3, (3, 3, 2)), (0.1, (1, 2, 5)))
 
 
 def n_words(text: Column) -> Column:
@@ -120,6 +122,13 @@ def curriculum(mixed: DataFrame, phases: tuple[tuple[float, tuple[float, ...]],
     return rows.withColumn("position", position).drop("__share", "demand")
 
 
+def whole_order(docs: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...] = PHASES) -> DataFrame:
+    """mix() of docs with a row for each copy and its position, in training order; what is not taken comes first, once, with a null copy and position."""
+    mixed = write_shared(mix(docs), "mixed")
+    left = mixed.where("copies = 0").withColumns({"copy": F.lit(None).cast("int"), "position": F.lit(None).cast("double")})
+    return in_order(curriculum(mixed, phases).unionByName(left))
+
+
 def in_order(positioned: DataFrame) -> DataFrame:
     """Rows range-sorted by position, then by source and id, so that files follow one another in training order."""
     keys = ["position", "source", "doc_id", "copy"]

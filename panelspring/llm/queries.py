@@ -57,6 +57,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.whole_order(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copy", "position")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,7 +81,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_language_id, op2_suffix_dedup, op3_url_filter, op4_fingerprint, op5_warc, op6_mixing, op7_decontamination, op8_quality, op9_token_counts, op10_minhash)
+    ops = (op1_language_id, op2_suffix_dedup, op3_url_filter, op4_fingerprint, op5_warc, op6_mixing, op6_training_order, op7_decontamination, op8_quality, op9_token_counts, op10_minhash)
     return {f.__name__: f for f in ops}
 
 

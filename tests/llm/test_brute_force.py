@@ -5,6 +5,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from panelspring.llm import queries as Q
@@ -104,6 +105,52 @@ def test_op5(spark, small):
         }
 
 
+def order_of(docs, phases, weights=(5, 2, 1), limit=3):
+    """(doc_id, copy) -> position, for docs with distinct ids."""
+    by = defaultdict(list)
+    for d in docs:
+        by[d["source"]].append((hashlib.md5(str(d["doc_id"]).encode()).hexdigest(), d["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or ""))))
+    sources = sorted(by, key=lambda s: (s is None, s))
+    size = {s: sum(n for _, _, n in by[s]) for s in sources}
+    w = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    full = set()
+    while True:
+        free = [s for s in sources if s not in full]
+        level = (sum(size.values()) - sum(limit * size[s] for s in full)) / max(1, sum(w[s] for s in free))
+        if not (more := {s for s in free if limit * size[s] < w[s] * level}):
+            break
+        full |= more
+    times = np.cumsum([0.0] + [length for length, _ in phases])
+    out = {}
+    for i, s in enumerate(sources):
+        target = limit * size[s] if s in full else w[s] * level
+        gains = [length * v[i % len(v)] / sum(v[j % len(v)] for j in range(len(sources))) for length, v in phases]
+        knots = np.cumsum([0.0] + gains) / sum(gains)
+        before = 0
+        for p in range(limit):
+            for _, d, n in sorted(by[s]):
+                if before + n / 2 <= target:
+                    out[d, p] = float(np.interp((before + n / 2) / target if target else 0.0, knots, times / times[-1]))
+                before += n
+    return out
+
+
+def test_op6_training_order(spark, small):
+    from panelspring.llm.mixing import PHASES
+
+    assert len({w for _, w in PHASES}) > 1
+    docs = table(spark, small, "documents")
+    got = rows(spark, "op6_training_order", small)
+    want = order_of(docs, PHASES)
+    taken = [r for r in got if r["copy"] is not None]
+    assert {(r["doc_id"], r["copy"]): pytest.approx(r["position"], abs=1e-9) for r in taken} == want and len(taken) == len(want)
+    assert [r["position"] for r in taken] == sorted(r["position"] for r in taken)
+    rest = [r for r in got if r["copy"] is None]
+    assert all(r["taken"] == 0 and r["position"] is None for r in rest) and sorted({r["doc_id"] for r in got}) == sorted(d["doc_id"] for d in docs)
+    even = order_of(docs, ((1.0, (5, 2, 1)),))
+    assert max(abs(want[k] - even[k]) for k in want) > 0.05
+
+
 def test_op7(spark, small):
     def toks(t):
         return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]

@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import pytest
-from test_brute_force import cut, near, shingle_set
+from test_brute_force import cut, near, order_of, shingle_set
 
 import __spark_entry__
 import corpus_pipeline
@@ -71,5 +71,10 @@ def test_training_order(stages):
     assert len({(r["doc_id"], r["copy"]) for r in stages[5]}) == len(stages[5])
 
 
+def test_training_order_follows_the_schedule(stages):
+    want = order_of(stages[4], corpus_pipeline.mixing.PHASES)
+    assert {(r["doc_id"], r["copy"]): pytest.approx(r["position"], abs=1e-9) for r in stages[5]} == want
+
+
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
