@@ -13,6 +13,18 @@ from panelspring.llm import decontam, minhash, mixing, quality, suffix_dedup
 from panelspring.llm.common import id_bucket, write_shared
 
 
+#: A hash that tells the rows of a stage apart unless they are equal, whatever their ids.
+KEY = "__key"
+
+
+def one_of_each(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """keyed with one row of each KEY, where keys has the KEY of every row. Only rows whose key repeats are shuffled."""
+    again = write_shared(keys.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY), "again")
+    if again.isEmpty():
+        return keyed
+    return keyed.join(again, KEY, "left_anti").unionByName(keyed.join(again, KEY, "left_semi").dropDuplicates([KEY]))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good; labels of the held-out third are not used."""
     held = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
@@ -38,8 +50,12 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy that the mix takes, in training order: doc_id, source, size, copy, position, text."""
-    order = mixing.curriculum(mixing.mix(docs), mixing.PHASES)
-    return mixing.in_order(order.select("doc_id", "source", "size", "copy", "position"))
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "source", "text"))
+    mixed = write_shared(mixing.mix(keyed, keep=(KEY,)), "mixed")
+    order = mixing.curriculum(mixed, mixing.PHASES).select("doc_id", "source", "size", "copy", "position", KEY)
+    texts = one_of_each(keyed.select(KEY, "text"), mixed)
+    # Merged whatever the size of order, so that small runs show the shuffle of texts that large ones need.
+    return mixing.in_order(order.hint("merge").join(texts, KEY).select("doc_id", "source", "size", "copy", "position", "text"))
 
 
 STAGES = [

@@ -45,9 +45,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     return rows.select("source", "source_size", "weight", F.least("cap", F.col("weight") * lam).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, rank): rank is the hexadecimal MD5 of the id as text, the order within a source."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("rank"))
+def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, rank, and keep): rank is the hexadecimal MD5 of the id as text, the order within a source."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("rank"), *keep)
 
 
 def running(rows: DataFrame, per_bucket: int = 20_000) -> DataFrame:
@@ -68,14 +68,14 @@ def running(rows: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     return rows.join(starts, rows.source.eqNullSafe(F.col("__s")) & (rows.bucket == F.col("__b"))).withColumn("before", F.col("start") + F.col("within")).drop("__s", "__b", "start", "within", "bucket")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, source, size, source_size, weight, target, before, copies, taken), one row per row of docs.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, keep, source_size, weight, target, before, copies, taken), one row per row of docs.
 
     Pass p (0, 1, 2 ...) over a source lays its documents end to end from p times its size on; a copy is taken if its
     middle lies at or before the target. taken is copies times size. Null text has size 0; null is a source of its own.
     Empty documents get copies like others and take nothing.
     """
-    rows = write_shared(sized(docs), "sized")
+    rows = write_shared(sized(docs, keep), "sized")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     t = targets.select(F.col("source").alias("__t"), "source_size", "weight", "target")
     out = running(rows)

@@ -76,5 +76,17 @@ def test_training_order_follows_the_schedule(stages):
     assert {(r["doc_id"], r["copy"]): pytest.approx(r["position"], abs=1e-9) for r in stages[5]} == want
 
 
+def test_the_order_has_the_texts(spark, small, stages):
+    whole = {r["doc_id"]: r["text"] for r in stages[4]}
+    assert stages[5] and all(r["text"] == whole[r["doc_id"]] for r in stages[5])
+    rows = [(None, "null one", "a"), (None, "null two words", "a"), (1, "same id", "a"), (1, "same id, other", "b"), (2, "twice", "a"), (2, "twice", "a"), (3, None, None), (4, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.training_order(spark, docs, small).collect()
+    mixed = corpus_pipeline.mixing.mix(docs).collect()
+    assert len(got) == sum(r["copies"] for r in mixed) and {(r["doc_id"], r["text"], r["source"]) for r in got} <= set(rows)
+    assert sum(r["size"] for r in got) == sum(r["taken"] for r in mixed) and all(r["size"] == len((r["text"] or "").split()) for r in got)
+    assert {r["text"] for r in got} >= {"null one", "null two words"} and sum(r["doc_id"] == 2 for r in got) == sum(r["copies"] for r in mixed if r["doc_id"] == 2)
+
+
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
