@@ -33,9 +33,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near-duplicates. Rows that repeat a kept one go too."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row, that with the least id (nulls last), of each group of near-duplicates, rows that repeat it included.
+
+    Rows are judged by their own texts, whatever their ids; null, empty and blank texts have no duplicates and stay.
+    """
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    found = minhash.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("__group"))
+    rows = write_shared(found.join(keyed.select(KEY, "doc_id").distinct(), KEY), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).getField(KEY)
+    groups = rows.groupBy("__group").agg(first.alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    lost = rows.join(groups, "__group").where(F.col(KEY) != F.col("__first")).select(KEY).distinct()
+    return one_of_each(keyed.join(lost, KEY, "left_anti"), rows).select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +53,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows that overlap no benchmark item, each judged by its own text, whatever its id."""
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    found = decontam.matches(keyed.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,5 +88,25 @@ def test_the_order_has_the_texts(spark, small, stages):
     assert {r["text"] for r in got} >= {"null one", "null two words"} and sum(r["doc_id"] == 2 for r in got) == sum(r["copies"] for r in mixed if r["doc_id"] == 2)
 
 
+def test_repeated_rows_and_ids(spark, small):
+    """Repeated rows, null ids and shared ids: one row of each group stays, whole, and others are judged by their own text."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in ("alpha", "beta", "gamma", "delta"))
+    near_c = c.replace("gamma59", "other")
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, b + " "), (2, near_c), (1, c), (2, d), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, docs, small)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert [(i, t and t.strip()) for i, t in got] == sorted([(1, a), (1, c), (2, d), (3, ""), (3, ""), (4, None), (None, b)], key=str)
+    after = {t.strip() for _, t in texts(corpus_pipeline.repeated_strings(spark, kept, small).where("doc_id IS NOT NULL AND text IS NOT NULL").collect())}
+    assert after == {a, c, d, ""}
+
+
+def test_contaminated_rows_go_by_row(spark, small):
+    item = max((r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if r["text"]), key=len)
+    rows = [(None, item), (None, "clean and short"), (1, item), (1, "another clean one"), (2, None)]
+    got = corpus_pipeline.benchmark_overlap(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
+    assert {tuple(r) for r in got} == {(None, "clean and short"), (1, "another clean one"), (2, None)} and len(got) == 3
+
+
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
