@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -201,9 +201,21 @@ def sweep(spark, train: DataFrame, valid: DataFrame, xs: list[str], y: str = "y"
     return spark.createDataFrame(rows, "trial int, params string, loss double")
 
 
-def sweep_curve(trials: DataFrame) -> DataFrame:
-    """trials with best_so_far by trial number."""
-    return trials.withColumn("best_so_far", F.min("loss").over(Window.partitionBy().orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)))
+def sweep_curve(trials: DataFrame, per_range: int = 100_000) -> DataFrame:
+    """trials with best_so_far by trial number.
+
+    In two levels: trials are cut into ranges of about per_range rows, and each range begins with the least loss before it.
+    """
+    k = max(1, -(-trials.count() // per_range))
+    cuts = trials.approxQuantile("trial", [i / k for i in range(1, k)], 0.1 / k) if k > 1 else []
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="trial", outputCol="__range", handleInvalid="keep").transform(trials)
+    ranged = ranged.withColumn("__range", F.when(F.col("trial").isNull(), -1.0).otherwise(F.col("__range")))
+    before = F.min("__least").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("__range").agg(F.min("loss").alias("__least")).select("__range", before.alias("__before"))
+    inside = F.min("loss").over(Window.partitionBy("__range").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0))
+    curve = ranged.withColumn("__inside", inside).join(F.broadcast(starts), "__range")
+    return curve.select(*trials.columns, F.least("__inside", "__before").alias("best_so_far"))
 
 
 def nested_select(inner: DataFrame, by: list[str], candidate: str = "model", score: str = "auc") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.metrics import round_all
 from ..operators import calendar, checks, inference, models, splits
 from . import fixtures as X
 from .fixtures import WO, r6, sql
-from .queries_features import query
+from .queries_features import ORACLES, query
 
 ROLE = "CASE WHEN date < DATE '1999-01-01' THEN 'train' WHEN date < DATE '2000-06-01' THEN 'valid' ELSE 'test' END"
 CUTS = ("1999-01-01", "2000-06-01")
@@ -217,6 +217,12 @@ def _(spark, sf):
     return round_all(models.sweep_curve(trials))
 
 
+#: All events as trials; h22_sweep_curve has the first 150, as its SQL does.
+@query("h22_sweep_curve_all", ORACLES["h22_sweep_curve"].replace(" WHERE event_id < 150", ""))
+def _(spark, sf):
+    return round_all(models.sweep_curve(X.candidates(spark, sf).select(F.col("event_id").alias("trial"), F.col("value").alias("loss"))))
+
+
 @query("h23_refit_train_valid")
 def _(spark, sf):
     d = _ar(spark, sf)

@@ -177,3 +177,16 @@ def test_whole_texts_reach_the_news_queries(spark, small):
     for i, t in texts.items():
         assert counts[i] == len([w for w in re.split("[^a-zà-ÿ]+", (t or "").lower()) if w])
     assert QUERIES["c2_tfidf_pca_whole"](spark, small).count() >= QUERIES["c2_tfidf_pca"](spark, small).count() > 0
+
+
+def test_sweep_curve_reads_all_trials(spark, small):
+    assert QUERIES["h22_sweep_curve_all"](spark, small).count() == spark.read.parquet(f"{small}/events.parquet").count() > 150
+    losses = [(i, ((i * 7919) % 1009) / (1 + i // 300) if i % 11 else None) for i in range(1000)]
+    want, best = {}, None
+    for i, v in losses:
+        best = v if best is None else best if v is None else min(best, v)
+        want[i] = best
+    got = models.sweep_curve(spark.createDataFrame(losses, "trial long, loss double").repartition(3), per_range=60)
+    assert {r["trial"]: r["best_so_far"] for r in got.collect()} == want
+    # No task may take all trials: the large window has the ranges as its partitions.
+    assert all("__range" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line)
