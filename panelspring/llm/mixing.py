@@ -85,18 +85,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
     return out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
-def curriculum(mixed: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...] | None = None) -> DataFrame:
-    """One row for each copy that mix() takes, with copy (0, 1, ...) and position (0 to 1), the time at which it is due.
+def scheduled(mixed: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...] = PHASES) -> DataFrame:
+    """mixed, as from mix(), with positions: for each copy that is taken the time (0 to 1) at which it is due; no copy, no position.
 
     phases: (length, weights by rank of the source) of each phase; lengths are relative, and weights repeat as in mix().
-    A source's demand grows in each phase by length x its share of that phase's weights, scaled so that it ends at its
-    target; position is the time at which the demand reaches the copy's middle. Without phases demand grows evenly.
+    A source's demand is the integral of its share of the weights over time, scaled so that it ends at its target; a
+    copy's position inverts it: the time at which the demand reaches the copy's middle. A null source is a source of its
+    own, rows that repeat are placed one after another, and documents of no words stand where the next one begins.
     """
-    phases = phases or ((1.0, WEIGHTS),)
     whole = sum(length for length, _ in phases)
-    sources = mixed.groupBy("source", "target").agg(F.count("*").alias("__n"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = sources.select("source", rank.alias("r"))
+    ranked = mixed.select("source").distinct().select("source", rank.alias("r"))
     everything = Window.partitionBy()
     gains = []
     for i, (length, weights) in enumerate(phases):
@@ -109,17 +108,39 @@ def curriculum(mixed: DataFrame, phases: tuple[tuple[float, tuple[float, ...]],
         at = at + g
         knots.append(at / total)
         time.append(time[-1] + length / whole)
-    table = ranked.select(F.col("source").alias("__t"), F.array(*knots).alias("demand"))
-    rows = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.join(table, rows.source.eqNullSafe(F.col("__t"))).drop("__t")
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target"))).otherwise(0.0)
-    rows = rows.withColumn("__share", share)
-    position = F.lit(1.0)
-    for i in reversed(range(len(phases))):
-        lo, hi = F.col("demand")[i], F.col("demand")[i + 1]
-        inside = F.lit(time[i]) + (F.col("__share") - lo) / F.greatest(hi - lo, F.lit(1e-300)) * (time[i + 1] - time[i])
-        position = F.when(F.col("__share") <= hi, F.greatest(inside, F.lit(time[i]))).otherwise(position)
-    return rows.withColumn("position", position).drop("__share", "demand")
+    table = ranked.select(F.col("source").alias("__t"), F.array(*knots).alias("__demand"))
+    rows = mixed.join(table, mixed.source.eqNullSafe(F.col("__t"))).drop("__t")
+
+    def due(copy: Column) -> Column:
+        share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (copy * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target"))).otherwise(0.0)
+        position = F.lit(1.0)
+        for i in reversed(range(len(phases))):
+            lo, hi = F.col("__demand")[i], F.col("__demand")[i + 1]
+            inside = F.lit(time[i]) + (share - lo) / F.greatest(hi - lo, F.lit(1e-300)) * (time[i + 1] - time[i])
+            position = F.when(share <= hi, F.greatest(inside, F.lit(time[i]))).otherwise(position)
+        return position
+
+    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("positions", F.transform(copies, due)).drop("__demand")
+
+
+def curriculum(mixed: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...] | None = None) -> DataFrame:
+    """One row for each copy that mix() takes, with copy (0, 1, ...) and position (0 to 1): see scheduled().
+
+    Without phases demand grows evenly. Rows of no copy are left out; an empty table gives an empty one.
+    """
+    rows = scheduled(mixed, phases or ((1.0, WEIGHTS),))
+    return rows.select(*mixed.columns, F.posexplode("positions").alias("copy", "position"))
+
+
+def document_order(docs: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...] = PHASES) -> DataFrame:
+    """mix() of docs, one row per row of docs, with positions, copies and position (that of its first copy), range-sorted by it.
+
+    Documents that the mix does not take have no position and come first.
+    """
+    rows = scheduled(write_shared(mix(docs), "mixed"), phases).withColumn("position", F.get("positions", F.lit(0)))
+    keys = ["position", "source", "doc_id"]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def whole_order(docs: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...] = PHASES) -> DataFrame:
@@ -130,6 +151,9 @@ def whole_order(docs: DataFrame, phases: tuple[tuple[float, tuple[float, ...]],
 
 
 def in_order(positioned: DataFrame) -> DataFrame:
-    """Rows range-sorted by position, then by source and id, so that files follow one another in training order."""
+    """Rows range-sorted by position, then by source, id and copy, nulls first, so that files follow one another in training order.
+
+    All rows and columns stay; rows equal in all four keys may stand in any order.
+    """
     keys = ["position", "source", "doc_id", "copy"]
     return positioned.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -54,7 +54,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.document_order(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position"))
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +111,22 @@ targets AS (
 placed AS (
   SELECT doc_id, source, size,
          coalesce(SUM(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-       CAST(p.size * (CAST(CAST(2 * p.before + p.size AS DOUBLE) <= 2 * t.target AS BIGINT)
-                    + CAST(CAST(2 * (t.source_size + p.before) + p.size AS DOUBLE) <= 2 * t.target AS BIGINT)
-                    + CAST(CAST(2 * (2 * t.source_size + p.before) + p.size AS DOUBLE) <= 2 * t.target AS BIGINT)) AS BIGINT) AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+  FROM sized),
+-- The schedule: three phases that end at 0.6, 0.9 and 1.0; a source's demand at these times, as a share of its target.
+paced AS (
+  SELECT source, 0.6::DOUBLE * [5, 2, 1][r] / SUM([5, 2, 1][r]) OVER () AS g1, 0.3::DOUBLE * [3, 3, 2][r] / SUM([3, 3, 2][r]) OVER () AS g2, 0.1::DOUBLE * [1, 2, 5][r] / SUM([1, 2, 5][r]) OVER () AS g3
+  FROM (SELECT source, ((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1 AS r FROM sizes)),
+demand AS (SELECT source, g1 / (g1 + g2 + g3) AS d1, (g1 + g2) / (g1 + g2 + g3) AS d2 FROM paced),
+counted AS (
+  SELECT p.*, t.source_size, t.target,
+         CAST(CAST(2 * p.before + p.size AS DOUBLE) <= 2 * t.target AS INTEGER)
+         + CAST(CAST(2 * (t.source_size + p.before) + p.size AS DOUBLE) <= 2 * t.target AS INTEGER)
+         + CAST(CAST(2 * (2 * t.source_size + p.before) + p.size AS DOUBLE) <= 2 * t.target AS INTEGER) AS copies,
+         CASE WHEN t.target > 0 THEN least(1.0, (p.before + p.size / 2.0) / t.target) ELSE 0.0 END AS share
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * c.copies AS BIGINT) AS taken, c.copies,
+       CASE WHEN c.copies > 0 THEN round(CASE WHEN share <= d1 THEN 0.6 * share / d1 WHEN share <= d2 THEN 0.6 + 0.3 * (share - d1) / (d2 - d1) ELSE 0.9 + 0.1 * (share - d2) / (1 - d2) END, 9) END AS position
+FROM counted c JOIN demand d ON c.source IS NOT DISTINCT FROM d.source
 """
 
 # The same masks, spelled out as token positions.

@@ -151,6 +151,32 @@ def test_op6_training_order(spark, small):
     assert max(abs(want[k] - even[k]) for k in want) > 0.05
 
 
+def test_op6_mixing(spark, small):
+    """Targets by water-filling step by step, copies and the first copy's position by order_of(), rows in training order."""
+    from panelspring.llm.mixing import PHASES
+
+    docs = table(spark, small, "documents")
+    got = rows(spark, "op6_mixing", small)
+    assert sorted(r["doc_id"] for r in got) == sorted(d["doc_id"] for d in docs)
+    want = order_of(docs, PHASES)
+    source = {d["doc_id"]: d["source"] for d in docs}
+    total, sizes, targets, taken = 0, Counter(), {}, Counter()
+    for r in got:
+        copies = sum((r["doc_id"], p) in want for p in range(3))
+        assert (r["copies"], r["taken"]) == (copies, copies * r["size"]) and r["target"] <= 3 * r["source_size"] + 1e-6
+        assert r["position"] == (pytest.approx(want[r["doc_id"], 0], abs=1e-8) if copies else None)
+        s = source[r["doc_id"]]
+        sizes[s] += r["size"]
+        targets[s] = r["target"]
+        taken[s] += r["taken"]
+        total += r["size"]
+    assert sum(targets.values()) == pytest.approx(total) and all(sizes[source[r["doc_id"]]] == r["source_size"] for r in got)
+    longest = max(r["size"] for r in got)
+    assert all(abs(taken[s] - targets[s]) <= longest for s in targets)
+    at = [r["position"] for r in got if r["position"] is not None]
+    assert at == sorted(at) and max(at) > 0.9 and min(at) < 0.1
+
+
 def test_op7(spark, small):
     def toks(t):
         return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
