@@ -135,11 +135,12 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...
     """Columns `keep` of docs with lang_pred and score, one row per row of docs.
 
     A null text or one without a letter gets `und` and 0.0, as does every text if the model saw no row. Among equal
-    scores the first language by code point wins. score is the posterior probability of lang_pred.
+    scores the first language by code point wins. score is the posterior probability of lang_pred. A kept column named
+    lang_pred or score gives way to these.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*[c for c in keep if c not in ("lang_pred", "score")], F.col("text").alias("__text"))
     fields = [f for f in kept.schema.fields if f.name != "__text"]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 

@@ -198,6 +198,54 @@ def test_op7(spark, small):
     assert {(r["doc_id"], r["item_id"]) for r in rows(spark, "op7_decontamination", small)} == want
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_op8_on_held_out_labels(spark, sf):
+    """Held-out labels (a third, never read by the fit) and the others: nearly all bad ones found, good ones left alone."""
+    import zlib
+
+    label = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels")}
+    got = rows(spark, "op8_quality", sf)
+    assert len(got) == len(table(spark, sf, "documents"))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    for held in (True, False):
+        good = [r["score"] for r in got if r["held_out"] == held and label.get(r["doc_id"]) == 1]
+        bad = [r["score"] for r in got if r["held_out"] == held and label.get(r["doc_id"]) == 0]
+        assert np.mean([x > y for x in good for y in bad]) > 0.97
+        assert np.mean([x >= 0.5 for x in good]) > 0.95 and sum(x < 0.5 for x in bad) >= 0.9 * len(bad)
+
+
+def test_op8_model_against_plain_loops(spark, small):
+    """Ratios from counts over the whole sample, and weights whose duality gap is small, both recomputed by loops."""
+    from panelspring.llm import quality
+    from panelspring.llm.common import id_bucket
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, small, "documents")}
+    labels = spark.read.parquet(f"{small}/labels.parquet").where(id_bucket("doc_id", 3) != 1)
+    model = quality.fit_quality_model(spark.read.parquet(f"{small}/documents.parquet"), labels)
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in docs}
+    got = {d: set(quality.features(np.frombuffer(docs[d], np.uint8), np.array([0, len(docs[d])]))[0].tolist()) for d in y}
+    counts = [defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)]
+    for d, f in got.items():
+        for h in f:
+            counts[y[d]][h] += 1
+    size = 1 << quality.BITS
+    total = [sum(c.values()) + size - len(c) for c in counts]
+    ratio = {h: np.log(counts[1][h] / total[1]) - np.log(counts[0][h] / total[0]) for h in set(counts[0]) | set(counts[1])}
+    n = [sum(v == k for v in y.values()) for k in (0, 1)]
+    w = {h: float(model.weight[h]) / r for h, r in ratio.items() if abs(r) > 1e-9}
+    hinge = 0.0
+    for d, f in got.items():
+        margin = sum(w.get(h, 0.0) * ratio[h] for h in f) / np.sqrt(len(f) or 1) + model.bias
+        hinge += 10.0 * len(y) / 2 / n[y[d]] * max(0.0, 1 - (1 if y[d] else -1) * margin)
+    primal = 0.5 * (sum(v * v for v in w.values()) + model.bias**2) + hinge
+    # At the optimum w is the sum of its support vectors, so |w|^2 / 2 is the dual value less half the multipliers.
+    assert hinge < 0.5 * primal and primal < 10.0 * len(y)
+    one = {r["doc_id"]: r["score"] for r in rows(spark, "op8_quality", small)}
+    for d, f in list(got.items())[:20]:
+        m = sum(float(model.weight[h]) for h in f) / np.sqrt(len(f) or 1) + model.bias
+        assert one[d] == pytest.approx(1 / (1 + np.exp(-2 * m)), abs=1e-4)
+
+
 def test_op9(spark, small):
     from panelspring.llm.tokencount import read_vocabulary
 
