@@ -26,10 +26,14 @@ def one_of_each(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as good; labels of the held-out third are not used."""
+    """Documents that the classifier predicts as good; labels of the held-out third are not used.
+
+    Each row is judged by its own text, repeated rows alike; null and empty texts get the model's bias. Columns named like
+    the classifier's results pass through. Without labels of both classes all rows share one verdict; no rows, none.
+    """
     held = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
     model = quality.fit_quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
-    return quality.score_quality(docs, model, tuple(docs.columns)).where("predicted = 1").select(docs.columns)
+    return quality.score_quality(docs, model, tuple(docs.columns), names=("__score", "__predicted")).where("__predicted = 1").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
