@@ -1,7 +1,9 @@
 """URL filters: rules by host and path first, gradient-boosted trees on lexical features for the rest.
 
 All of it is DataFrame operations and MLlib: features are expressions over the url, suffix statistics are one
-aggregation over the labelled urls, and the trees are fitted on a bounded sample of labelled urls.
+aggregation over the labelled urls, and the trees are fitted on a bounded sample of labelled urls. Every sampled url
+counts twice in the fit: once with the statistics of its suffix, less those of its own host, and once as a url of a
+suffix that was never seen. So the trees have to read the url itself, and hosts of unknown suffixes are judged by that.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import write_shared
+
 #: The rules of the contract, (verdict, rule); the rule is a host and the beginning of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["len", "host_len", "path_len", "depth", "labels", "digits", "digit_ratio", "symbols", "entropy", "params", "fragment", "secure", "longest", "numeric_tail", "suffix_n", "suffix_block"]
+FEATURES = ["len", "host_len", "path_len", "depth", "labels", "digits", "digit_ratio", "symbols", "entropy", "params", "fragment", "secure", "longest", "numeric_tail", "hyphens", "vowels", "suffix_n", "suffix_block"]
 _ENTROPY_OF = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&%#:"
 
 
@@ -67,42 +71,83 @@ def lexical(df: DataFrame) -> DataFrame:
         F.contains(u, F.lit("#")).cast("int").alias("fragment"), F.startswith(low, F.lit("https:")).cast("int").alias("secure"),
         F.coalesce(F.array_max(F.transform(F.split("host", r"\."), F.length)), F.lit(0)).alias("longest"),
         F.length(F.regexp_extract("path", r"(\d+)[^0-9]*$", 1)).alias("numeric_tail"),
+        (F.length("host") - F.length(F.translate("host", "-", ""))).alias("hyphens"),
+        ((bare - F.length(F.translate(low, "aeiou", ""))) / n).alias("vowels"),
     )
 
 
-def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000, trees: int = 8, depth: int = 4, smoothing: float = 5.0, seed: int = 11) -> DataFrame:
+def _with_statistics(rows: DataFrame, n: Column, b: Column, prior: float, smoothing: float) -> DataFrame:
+    """rows with suffix_n and suffix_block from n labelled urls, b of them blocked."""
+    n, b = F.coalesce(n, F.lit(0)), F.coalesce(b, F.lit(0))
+    return rows.withColumn("suffix_n", F.log1p(n.cast("double"))).withColumn("suffix_block", (b + F.lit(smoothing * prior)) / (n + F.lit(smoothing)))
+
+
+class UrlModel:
+    """Trees (None if only one class was seen in the sample), statistics by suffix, and the share of blocks."""
+
+    def __init__(self, trees, stats: DataFrame, prior: float, smoothing: float):
+        self.trees, self.stats, self.prior, self.smoothing = trees, stats, prior, smoothing
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """rows (url, host, path) with score, the probability of block; one row per row."""
+        stats = self.stats.select(F.col("suffix").alias("__suffix"), "__n", "__b")
+        rows = rows.withColumn("__s", suffix(F.col("host"))).join(stats, F.col("__s") == F.col("__suffix"), "left")
+        rows = _with_statistics(lexical(rows), F.col("__n"), F.col("__b"), self.prior, self.smoothing)
+        if self.trees is None:
+            return rows.withColumn("score", F.lit(self.prior))
+        assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
+        return self.trees.transform(assembler.transform(rows)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
+
+
+def fit_url_model(labelled: DataFrame, max_train: int = 20_000, trees: int = 12, depth: int = 4, smoothing: float = 5.0, seed: int = 11, tasks: int = 8) -> UrlModel:
+    """Fit on labelled (url, host, path, label: 1 for block). Other columns are not read; a null url counts as empty.
+
+    max_train bounds the sample for the trees: about that many urls, chosen by a hash of the url, so that rows that repeat
+    go in or stay out together. Statistics by suffix (the last two labels of the host) cover all labelled urls, and in the
+    fit leave out the url's own host. Each split sees half of the features.
+    """
+    labelled = labelled.select("url", "host", "path", F.col("label").cast("int").alias("label"))
+    by_suffix = labelled.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("__n"), F.sum("label").alias("__b"))
+    by_suffix = write_shared(by_suffix, "suffixes")
+    total, blocked = (x or 0 for x in by_suffix.agg(F.sum("__n"), F.sum("__b")).first())
+    prior = blocked / total if total else 0.0
+    if blocked in (0, total):
+        return UrlModel(None, by_suffix, prior, smoothing)
+    take = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < F.lit(int(min(1.0, max_train / total) * (1 << 30)))
+    sample = write_shared(lexical(labelled.where(take)), "urls")
+    hosts = labelled.join(F.broadcast(sample.select("host").distinct()), "host", "left_semi").groupBy("host").agg(F.count("*").alias("__hn"), F.sum("label").alias("__hb"))
+    seen = sample.withColumn("suffix", suffix(F.col("host"))).join(by_suffix, "suffix").join(hosts, "host")
+    seen = _with_statistics(seen, F.col("__n") - F.col("__hn"), F.col("__b") - F.col("__hb"), prior, smoothing)
+    unseen = _with_statistics(sample, F.lit(0), F.lit(0), prior, smoothing)
+    columns = [*FEATURES, "label", "url"]
+    train = write_shared(seen.select(columns).unionByName(unseen.select(columns)), "training").repartition(tasks, "url", "suffix_n")
+    if train.select("label").distinct().count() < 2:
+        return UrlModel(None, by_suffix, prior, smoothing)
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(train).select("features", F.col("label").cast("double").alias("label"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, stepSize=0.3, featureSubsetStrategy="0.5").fit(assembled)
+    model.setThresholds([0.5, 0.5])
+    return UrlModel(model, by_suffix, prior, smoothing)
+
+
+def judge(pages: DataFrame, rules=RULES, **how) -> DataFrame:
     """Every row of pages with host, path, rule, verdict and score (probability of block; 1 or 0 where a rule decides).
 
-    The labelled urls are those that a rule decides. max_train bounds the sample for the trees: about that many labelled
-    urls, chosen by a hash of the url. Suffix statistics (labelled urls of the suffix and its smoothed share of blocks,
-    which leaves the url itself out) cover all labelled urls. If only one class is labelled, it is the verdict of the
-    rest; with none, allow. Columns of pages other than page_id and url are not read.
+    The labelled urls are those that a rule decides; the trees judge the rest: see fit_url_model() for `how`. If only one
+    class is labelled, it is the verdict of the rest; with none, allow. A null url has an empty host and path and is judged
+    like any other. Rows that repeat get equal results, urls of any length are read whole, and an empty table gives an
+    empty one. Columns of pages other than page_id and url are not read.
     """
     host, path = split_url(F.col("url"))
     base = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("suffix", suffix(F.col("host")))
+    base = base.withColumn("rule", rule).withColumn("ruled", verdict)
     block = (F.col("ruled") == "block").cast("int")
-    sizes = {r["ruled"]: r["n"] for r in base.where("ruled IS NOT NULL").groupBy("ruled").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        only = next(iter(sizes), "allow")
-        return base.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(only)).alias("verdict"), (F.coalesce("ruled", F.lit(only)) == "block").cast("double").alias("score"))
-    prior = sizes["block"] / sum(sizes.values())
-    stats = base.groupBy("suffix").agg(F.count("ruled").alias("__n"), F.sum(F.coalesce(block, F.lit(0))).alias("__b"))
-    known = F.col("ruled").isNotNull().cast("int")
-    n, b = F.col("__n") - known, F.col("__b") - F.coalesce(block, F.lit(0))
-    rows = lexical(base.join(stats, "suffix", "left")).withColumn("suffix_n", F.log1p(n.cast("double"))).withColumn("suffix_block", (b + F.lit(smoothing * prior)) / (n + F.lit(smoothing))).withColumn("label", block.cast("double"))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    share = min(1.0, max_train / sum(sizes.values()))
-    sample = rows.where(F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
-    train = assembler.transform(sample).select("features", "label")
-    if train.select("label").distinct().count() < 2:
-        score = F.lit(prior)
-        scored = rows
-    else:
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, stepSize=0.3).fit(train)
-        model.setThresholds([0.5, 0.5])
-        scored = model.transform(assembler.transform(rows))
-        score = F.element_at(vector_to_array("probability"), 2)
-    score = F.when(F.col("ruled").isNull(), score).otherwise(block.cast("double"))
-    return scored.select("page_id", "host", "path", "rule", score.alias("score"), "ruled").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    labelled = base.where("ruled IS NOT NULL").withColumn("label", block)
+    model = fit_url_model(labelled, **how)
+    scored = model.score(base)
+    if model.trees is None:
+        one = model.prior if model.prior in (0.0, 1.0) else round(model.prior)
+        scored = scored.withColumn("score", F.lit(float(one)))
+    score = F.when(F.col("ruled").isNull(), F.col("score")).otherwise(block.cast("double"))
+    scored = scored.select("page_id", "host", "path", "rule", "ruled", score.alias("score"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
