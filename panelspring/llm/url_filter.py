@@ -77,9 +77,12 @@ def lexical(df: DataFrame) -> DataFrame:
 
 
 def _with_statistics(rows: DataFrame, n: Column, b: Column, prior: float, smoothing: float) -> DataFrame:
-    """rows with suffix_n and suffix_block from n labelled urls, b of them blocked."""
+    """rows with suffix_n and suffix_block from n labelled urls, b of them blocked.
+
+    Both are coarse (powers of two, tenths), for exact numbers less those of the own host would tell the host.
+    """
     n, b = F.coalesce(n, F.lit(0)), F.coalesce(b, F.lit(0))
-    return rows.withColumn("suffix_n", F.log1p(n.cast("double"))).withColumn("suffix_block", (b + F.lit(smoothing * prior)) / (n + F.lit(smoothing)))
+    return rows.withColumn("suffix_n", F.floor(F.log2(n + F.lit(1.0))).cast("double")).withColumn("suffix_block", F.round((b + F.lit(smoothing * prior)) / (n + F.lit(smoothing)), 1))
 
 
 class UrlModel:
@@ -99,7 +102,7 @@ class UrlModel:
         return self.trees.transform(assembler.transform(rows)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
 
 
-def fit_url_model(labelled: DataFrame, max_train: int = 20_000, trees: int = 12, depth: int = 4, smoothing: float = 5.0, seed: int = 11, tasks: int = 8) -> UrlModel:
+def fit_url_model(labelled: DataFrame, max_train: int = 20_000, trees: int = 8, depth: int = 4, smoothing: float = 5.0, seed: int = 11, tasks: int = 8) -> UrlModel:
     """Fit on labelled (url, host, path, label: 1 for block). Other columns are not read; a null url counts as empty.
 
     max_train bounds the sample for the trees: about that many urls, chosen by a hash of the url, so that rows that repeat

@@ -26,6 +26,7 @@ def test_language(spark, docs, empty):
     model = langid.fit_language_model(docs)
     got = langid.predict_language(docs, model).collect()
     assert len(got) == len(TEXTS) + 1 and all(0 <= r["score"] <= 1 for r in got)
+    assert langid.predict_language(docs, model, docs.columns).columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
     by = {r["doc_id"]: r["lang_pred"] for r in got}
     assert [by[i] for i in (0, 1, 2, 5)] == ["und"] * 4 and by[9] == "en"
     none = langid.fit_language_model(empty)
@@ -83,6 +84,13 @@ def test_urls(spark):
     assert url_filter.judge(df.where("page_id = 10")).first()["verdict"] == "allow" and url_filter.judge(df.where("page_id < 0")).count() == 0
 
 
+def test_urls_that_repeat_and_long_ones(spark):
+    rows = [(i % 3, f"http://h{i % 5}.{'com/en' if i % 2 else 'net/de'}/{i}") for i in range(60)] + [(7, "http://z.io/" + "a1/" * 200_000), (8, "http://z.io/x"), (8, "http://z.io/x")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 63 and len({(r["verdict"], r["score"]) for r in got if r["page_id"] == 8}) == 1
+    assert max(len(r["path"]) for r in got) == 600_001
+
+
 def test_url_trees_learn(spark):
     rows = [(i, f"http://{'a' if i % 2 else 'bb-cc'}{i}.{'com/en' if i % 2 else 'net/de'}/{i}") for i in range(400)] + [(1000 + i, f"http://{'a' if i % 2 else 'bb-cc'}{i}.io/{'en' if i % 2 else 'de'}/{i}") for i in range(40)]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -166,7 +174,8 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, item), (8, None), (9, ""), (None, "short item")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.matches(d, items).collect()}
     assert set(got) == {(1, 7), (2, 7), (None, 7)} and got[1, 7]["matched"] == 16 and got[1, 7]["doc_pos"] == 2
-    assert sorted(r["doc_id"] or 0 for r in decontam.clean(d, items).collect()) == [0, 3, 4, 5, 6]
+    assert sorted(r["doc_id"] or 0 for r in decontam.clean(d, items).collect()) == [3, 4, 5, 6]
+    assert decontam.clean(d.withColumn("shifts", F.lit(1)), items).columns == ["doc_id", "text", "toks", "shifts"]
     assert decontam.matches(empty, items).count() == 0 and decontam.matches(docs, items.where("item_id < 0")).count() == 0
 
 
@@ -178,6 +187,31 @@ def test_masks_find_every_window():
         assert any(all(s + i not in bad for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(n - len(m) + 1))
 
 
+def test_short_items_with_every_substitution(spark):
+    """Items of 1 to 15 tokens: found with any quarter of their tokens replaced, not with one more."""
+    from itertools import combinations
+
+    items, docs, want = [], [], set()
+    for n in (1, 2, 4, 5, 7, 8, 11, 12, 13, 15):
+        v = [f"i{n}t{k}" for k in range(n)]
+        items.append((n, " ".join(v)))
+        bad = n // 4
+        for b in (bad, bad + 1):
+            for c in list(combinations(range(n), b))[: 10_000 if b == bad else 30]:
+                docs.append((len(docs), "pre fix " + " ".join("zz" if j in c else w for j, w in enumerate(v)) + " post"))
+                if b == bad:
+                    want.add((docs[-1][0], n))
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 800
+
+
+def test_runs_of_one_token(spark):
+    """Long runs of one word meet an item of the same word: linear work, right places."""
+    d = spark.createDataFrame([(i, "x " * i + "aa " * 3000) for i in range(12)], "doc_id long, text string")
+    got = decontam.matches(d, spark.createDataFrame([(7, "aa " * 200)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["matched"], r["doc_pos"], r["item_pos"]) for r in got} == {(i, 16, i, 0) for i in range(12)}
+
+
 def test_quality(spark, docs, empty):
     good = [(i, f"the {i} quiet river runs past the old mill and into the sea", 1) for i in range(60)]
     bad = [(100 + i, f"BUY!! NOW!! {i}!! CLICK!! HERE!! $$$ %%%", 0) for i in range(60)]
@@ -187,8 +221,11 @@ def test_quality(spark, docs, empty):
     assert len(got) == 122 and sum(got[i]["predicted"] == 1 for i in range(60)) > 57 and sum(got[100 + i]["predicted"] == 0 for i in range(60)) > 57
     assert all(0 <= r["score"] <= 1 for r in quality.score_quality(docs, model, ("doc_id", "lang")).collect())
     assert quality.score_quality(empty, model, ("doc_id",)).count() == 0
-    assert {r["predicted"] for r in quality.score_quality(docs.drop("score"), quality.fit_quality_model(train, train.where("quality = 0"))).collect()} == {0}
-    assert {r["predicted"] for r in quality.score_quality(docs.drop("score"), quality.fit_quality_model(train, train.where("quality > 5"))).collect()} == {1}
+    assert {r["predicted"] for r in quality.score_quality(docs, quality.fit_quality_model(train, train.where("quality = 0")), docs.columns).collect()} == {0}
+    assert {r["predicted"] for r in quality.score_quality(docs, quality.fit_quality_model(train, train.where("quality > 5"))).collect()} == {1}
+    assert quality.score_quality(docs, model, docs.columns, names=("__s", "__p")).columns == [c for c in docs.columns] + ["__s", "__p"]
+    twice = quality.fit_quality_model(train.unionByName(train), train.unionByName(train))
+    assert {r["doc_id"]: r["predicted"] for r in quality.score_quality(train, twice).collect()} == {i: r["predicted"] for i, r in got.items()}
 
 
 def test_hinge_descent_matches_its_dual():
