@@ -74,8 +74,12 @@ def sketches(texts: list[str], k: int = K) -> list[np.ndarray]:
 
 
 def fingerprint(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = K) -> DataFrame:
-    """Columns `keep` of docs with fingerprint (text form of the sketch) and n_distinct (estimated shingles)."""
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    """Columns `keep` of docs with fingerprint (text form of the sketch) and n_distinct (estimated shingles), one row per row.
+
+    Null, empty and blank texts have the empty fingerprint and 0.0; equal texts have equal ones; texts are read whole. A
+    kept column of one of these names gives way.
+    """
+    kept = docs.select(*[c for c in keep if c not in ("fingerprint", "n_distinct")], F.col("text").alias("__text"))
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["fingerprint string", "n_distinct double"])
 
     def run(batches):
@@ -87,36 +91,47 @@ def fingerprint(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = K
     return arrow(kept, run, out)
 
 
-def with_next(docs: DataFrame, chars_per_range: int = 8_000_000) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows of docs (doc_id, text) dealt into ranges of descending doc_id, each range followed by the first row of the next.
 
     Columns: part (ascending along the order), doc_id, text, guest (true for the row lent by the next range; after the
-    last range the first lends its row). Within a part rows are sorted; a part stands in one partition. Only range
-    bounds, one number for each range, are known to the driver. Null ids come last; equal ids go by text.
+    last range the first lends its row). Within a part rows are sorted; a part stands in one partition. Null ids come
+    last; equal ids go by a hash of the text, then the text. ranges is the number of ranges, the number of shuffle
+    partitions unless given: that many bounds, not more, are known to the driver, however large docs is. Ids that alone
+    fill a range, null among them, are cut further by the hash. An empty table gives an empty one.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    want = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // chars_per_range))
-    bounds = sorted(set(docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / want for i in range(1, want)], 0.2 / want))) if want > 1 else []
-    cuts = np.array(bounds, float)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    want = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = docs.count()
+    bounds = {int(b) for b in docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / want for i in range(1, want)], 0.2 / want)} if want > 1 else set()
+    # An id with more rows than a range ought to have is a bound itself; there are fewer of them than ranges.
+    hot = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin(sorted(bounds))).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > n // want).collect()
+    pieces = {r["doc_id"]: -(-r["n"] * want // n) for r in hot}
+    cuts = np.array(sorted(bounds | {i - s for i in pieces if i is not None for s in (0, 1)}), np.int64)
+    place = {i: len(cuts) - int(np.searchsorted(cuts, i, "left")) for i in pieces if i is not None} | {None: len(cuts) + 1}
+    size = np.ones(len(cuts) + 2, np.int64)
+    for i, k in pieces.items():
+        size[place[i]] = k
+    offset = np.cumsum(size) - size
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        """Number of the bounds at or above an id; null ids come after all."""
-        at = len(cuts) - np.searchsorted(cuts, ids.fillna(-np.inf).to_numpy(float), "left")
-        return pd.Series(at.astype(np.int32))
-
-    dealt = docs.withColumn("part", part("doc_id"))
-    heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
+    def part(ids: pd.Series, none: pd.Series, h: pd.Series) -> pd.Series:
+        """Number of the range: one for each stretch between bounds, several by the hash for ids that fill more than one."""
+        at = np.where(none.to_numpy(), len(cuts) + 1, len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64), "left"))
+        high = (h.to_numpy(np.int64) >> 33) + (1 << 30)  # 0 to 2^31 - 1, ascending with the hash
+        return pd.Series((offset[at] + (high * size[at] >> 31)).astype(np.int32))
+
+    dealt = docs.withColumn("part", part(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), "h"))
+    heads = dealt.groupBy("part").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("head")).orderBy("part").collect()
     if not heads:
         return dealt.select("part", "doc_id", "text", F.lit(False).alias("guest"))
-    spark = docs.sparkSession
-    ring = [(heads[i - 1]["part"], heads[i]["part"], heads[i]["head"]) for i in range(len(heads))]
-    lend = F.broadcast(spark.createDataFrame(ring, "part_to int, part int, head long"))
-    first = Window.partitionBy("part").orderBy("text")
-    guests = dealt.join(lend, "part").where(F.col("doc_id").eqNullSafe(F.col("head"))).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(F.col("part_to").alias("part"), "doc_id", "text", F.lit(True).alias("guest"))
-    both = dealt.select("part", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
-    return both.repartitionByRange(len(heads), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    ring = [(heads[i - 1]["part"], heads[i]["part"], heads[i]["head"]["doc_id"], ~heads[i]["head"]["h"]) for i in range(len(heads))]
+    lend = F.broadcast(docs.sparkSession.createDataFrame(ring, "part_to int, part int, head long, head_h long"))
+    # Rows equal in id and hash have equal texts but for a collision, in which the least goes first.
+    guests = dealt.join(lend, "part").where(F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h"))).groupBy("part_to", "doc_id", "h").agg(F.min("text").alias("text"))
+    guests = guests.select(F.col("part_to").alias("part"), "doc_id", "h", "text", F.lit(True).alias("guest"))
+    both = dealt.select("part", "doc_id", "h", "text", F.lit(False).alias("guest")).unionByName(guests)
+    return both.repartitionById(int(size.sum()), F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 def edited_pairs(docs: DataFrame, k: int = K, run_chars: int = 1_000_000) -> DataFrame:
@@ -124,7 +139,8 @@ def edited_pairs(docs: DataFrame, k: int = K, run_chars: int = 1_000_000) -> Dat
 
     Edited: the last floor(n_chars/2) code points give way to the first as many (or all) of the next document by
     descending doc_id, the last document's next being the first. Null texts are empty. Rows with equal ids follow one
-    another by text; null ids come last. One row per row of docs.
+    another by a hash of their texts; null ids come last. Of one row alone the next is that row. One row per row of docs;
+    columns other than doc_id and text are not read.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double"
     fields = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_distinct", pa.float64())])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix, powers, prefix_hash, slices, span_hash, words, write_shared
+from .common import arrow, drop_shared, mix, powers, prefix_hash, slices, span_hash, words, write_shared
 
 BITS = 17
 _CHAR_ORDERS = (1, 2, 3, 4)
@@ -151,6 +151,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality"
             yield pa.RecordBatch.from_arrays([pa.array([np.append(weight[:-1] * ratio, weight[-1]).tobytes()], pa.binary())], ["w"])
 
     fitted = arrow(rows.repartition(1), fit, "w binary").collect()
+    drop_shared(rows)
     if not fitted:  # no label has a document
         return constant
     weight = np.frombuffer(fitted[0]["w"], np.float64)

@@ -158,8 +158,9 @@ def test_op4(spark, small):
         e = t[: len(t) - h] + nxt[:h]
         r = got[d["doc_id"]]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        a, b = shingle_set(t), shingle_set(e)
-        off.append(abs(r["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)))
+        a = shingle_set(t)
+        for b, near_ in ((shingle_set(e), "near_edited"), (shingle_set(nxt), "near_next")):
+            off.append(abs(r[near_] - (len(a & b) / len(a | b) if a | b else 1.0)))
     assert max(off) < 0.2 and sum(off) / len(off) < 0.03
 
 

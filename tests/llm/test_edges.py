@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every text operator."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,28 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprint.fingerprint(docs, ("doc_id", "lang")).count() == len(TEXTS) + 1
 
 
+def test_next_documents_of_repeated_and_null_ids(spark):
+    """Ids that fill several ranges are cut further, the order stays, and the driver's part does not grow with the rows."""
+    rows = [(7, f"seven {i}") for i in range(120)] + [(None, f"none {i}") for i in range(90)] + [(i, f"own {i}") for i in range(-40, 60)] + [(2**60, "far"), (7, "seven 3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    dealt = fingerprint.with_next(df, 8)
+    parts = sorted({r["part"] for r in dealt.select("part").distinct().collect()})
+    assert 8 < len(parts) < 40 and all(dealt.where(of).select("part").distinct().count() >= 3 for of in ("doc_id = 7", "doc_id IS NULL"))
+    by = {}
+    for r in dealt.collect():
+        by.setdefault(r["part"], []).append((r["doc_id"], r["text"], r["guest"]))
+    assert [r[:2] for p in parts for r in by[p] if not r[2]] == order
+    for i, p in enumerate(parts):
+        assert [r[2] for r in by[p]] == [False] * (len(by[p]) - 1) + [True] and by[p][-1][:2] == by[parts[(i + 1) % len(parts)]][0][:2]
+    got = sorted((r["doc_id"] or 0, r["edited_sha256"]) for r in fingerprint.edited_pairs(df).collect())
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        want.append((i or 0, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_sketch_algebra():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**64, 4000, dtype=np.uint64), rng.integers(0, 2**64, 1000, dtype=np.uint64)
