@@ -3,14 +3,18 @@
 Documents with equal shingle sets form a class, one representative each. Representatives that share a band of MinHash
 values are candidates. In every bucket each member is compared with one leader, the member whose own buckets are
 fullest (the centre of a family of copies has the commonest values in every band), so work is linear in the bucket.
-Buckets whose members are then still in different components compare those across components, in blocks of bounded
-size. Odd sketches (parities of the MinHash samples) reject pairs first; what is left is confirmed on whole sets.
+Buckets whose members are then still in different components compare sketches across components, in blocks of bounded
+size: first the nearest pair of each two components, and once what these join is contracted, whatever pairs are left.
+Odd sketches (parities of the MinHash samples) reject pairs first; whole sets, which only candidates are joined with,
+confirm what is left.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,42 +22,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix, shingles, slices, write_shared
+from .common import arrow, mix, shingles, ship, slices, write_shared
 from .graph import components
 
-BANDS, ROWS = 25, 5
+ROWS = 5
 SKETCH_BITS = 256
 #: A pair whose sketches estimate a similarity under the threshold less this much is rejected: 6 deviations of the estimate.
 MARGIN = 0.2
-BLOCK = 1500
-_A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_B = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
+#: Greatest chance that no band of a pair right at the threshold agrees.
+MISS = 1e-6
 
 
-def minhashes(u: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS smallest values of a set under as many hash functions."""
-    best = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
+def bands_for(percent: int) -> int:
+    """Bands of ROWS values that miss a pair at the threshold with a chance of at most MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
+@lru_cache(maxsize=8)
+def hash_family(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and offsets of bands * ROWS hash functions."""
+    n = bands * ROWS
+    return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(1001, n + 1001, dtype=np.uint64))
+
+
+def minhashes(u: np.ndarray, bands: int) -> np.ndarray:
+    """bands * ROWS smallest values of a set under as many hash functions."""
+    a, b = hash_family(bands)
+    best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(u), 512):
-        best = np.minimum(best, (u[i : i + 512, None] * _A + _B).min(0))
+        best = np.minimum(best, (u[i : i + 512, None] * a + b).min(0))
     return best
 
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps of rows of MinHash samples: each (number, value) flips one of SKETCH_BITS bits. Four 64-bit words a row."""
     n = len(samples)
-    bit = (mix(samples + _B) >> np.uint64(56)).astype(np.int64)
+    bit = (mix(samples + hash_family(samples.shape[1] // ROWS)[1]) >> np.uint64(56)).astype(np.int64)
     flips = np.zeros((n, SKETCH_BITS), np.uint8)
     np.add.at(flips, (np.arange(n)[:, None], bit), 1)
     return np.packbits(flips & 1, axis=1, bitorder="little").view(np.uint64)
 
 
-def most_differing_bits(similarity: float) -> int:
+def most_differing_bits(similarity: float, bands: int) -> int:
     """Differing bits that two sketches may have if their sets are estimated at least so similar."""
-    changed = 2 * BANDS * ROWS * (1 - similarity)
+    changed = 2 * bands * ROWS * (1 - similarity)
     return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-2 * changed / SKETCH_BITS))))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands: int) -> DataFrame:
     """(doc_id, n_shingles, digest, bands, sketch) of each row of docs (doc_id, text); the last three null for an empty set."""
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
     item = pa.field("element", pa.int64(), True)
@@ -63,18 +79,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             for rows, data, offsets in slices(batch, "text"):
                 sets = [np.unique(h) for h in shingles(data, offsets)]
                 full = [i for i, u in enumerate(sets) if len(u)]
-                samples = np.stack([minhashes(sets[i]) for i in full]) if full else np.zeros((0, len(_A)), np.uint64)
-                number = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-                keys = np.zeros((len(full), BANDS), np.uint64)
+                samples = np.stack([minhashes(sets[i], bands) for i in full]) if full else np.zeros((0, bands * ROWS), np.uint64)
+                number = np.arange(bands, dtype=np.uint64) + np.uint64(1)
+                keys = np.zeros((len(full), bands), np.uint64)
                 for j in range(ROWS):
                     keys = mix(keys + samples[:, j::ROWS]) + number
                 sketches = odd_sketches(samples)
-                digest, bands, words = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                digest, buckets, words = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for k, i in enumerate(full):
                     digest[i] = set_digest(sets[i])
-                    bands[i], words[i] = keys[k].view(np.int64), sketches[k].view(np.int64)
+                    buckets[i], words[i] = keys[k].view(np.int64), sketches[k].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(item)), pa.array(words, pa.list_(item))],
+                    [rows.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(buckets, pa.list_(item)), pa.array(words, pa.list_(item))],
                     ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
@@ -118,35 +134,42 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow(both.select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
-def _across(pdf: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
-    """Confirmed links between members of different components in one block pair, one for each two components that they join."""
+def _across(pdf: pd.DataFrame, percent: int, most: int, nearest: bool) -> pd.DataFrame:
+    """Pairs of one block pair that sizes and sketches allow, of members of different components; nearest: one for each two components."""
     first = pdf["own"].iloc[0] == pdf["other"].iloc[0]
-    ids, labels, own = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["mine"].to_numpy() == pdf["own"].to_numpy()
+    ids, labels, sizes, own = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["size"].to_numpy(), pdf["mine"].to_numpy() == pdf["own"].to_numpy()
     words = np.stack([np.asarray(x, np.int64) for x in pdf["sketch"]]).view(np.uint64)
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-    sizes = np.array([len(s) for s in sets])
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while top.get(x, x) != x:
-            x = top[x] = top.get(top[x], top[x])
-        return x
-
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     out = []
     right = np.arange(len(ids)) if first else np.flatnonzero(~own)
     for i in range(len(ids)) if first else np.flatnonzero(own):
         js = right[right > i] if first else right
         js = js[labels[js] != labels[i]]
-        js = js[np.bitwise_count(words[js] ^ words[i]).sum(1) <= most]
         js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
-        for j in js:
-            a, b = find(labels[i]), find(labels[j])
-            if a != b:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    top[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        bits = np.bitwise_count(words[js] ^ words[i]).sum(1)
+        for j, n in zip(js[bits <= most], bits[bits <= most]):
+            pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+            if nearest:
+                two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
+                best[two] = min(best.get(two, (n, *pair)), (n, *pair))
+            else:
+                out.append(pair)
+    return pd.DataFrame([p[1:] for p in best.values()] if nearest else out, columns=["a", "b"], dtype=np.int64)
+
+
+def _blocks(n: Column) -> Column:
+    """Blocks of a bucket of n members: a pair of blocks has about 8 sqrt(n) of them, and a member goes to sqrt(n) / 4."""
+    return F.ceil(F.sqrt(n) / 4).cast("int")
+
+
+def _between(labelled: DataFrame, sketches: DataFrame, percent: int, most: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of members (id, bucket, n, label) whose bucket has several components: see _across()."""
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo != hi AND k > 2").select("bucket")
+    rest = labelled.join(write_shared(mixed, "mixed"), "bucket").join(sketches, "id")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("id"), _blocks(F.col("n"))).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)))
+    rest = rest.withColumn("own", F.least("mine", "j")).withColumn("other", F.greatest("mine", "j"))
+    ship(rest.sparkSession)
+    return rest.groupBy("bucket", "own", "other").applyInPandas(lambda pdf: _across(pdf, percent, most, nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -156,13 +179,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     between ASCII white space, A-Z lower-cased; shorter texts have one shingle). component_id is the smallest id
     reachable, the own one included; kept says that it is the own one. Null, empty and blank texts have no shingle and
     no link. A row with a null id has no link, a null component and is kept. Rows that share an id are judged by their own
-    texts. The
-    chance that the bands miss a pair at exactly 85 % is below 1e-6.
+    texts. The chance that the bands miss a pair at exactly `percent` is at most MISS. An empty table gives an empty one;
+    columns other than doc_id and text are not read.
     """
-    sig = write_shared(signatures(docs), "signatures")
+    bands = bands_for(percent)
+    sig = write_shared(signatures(docs, bands), "signatures")
     usable = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
-    reps = write_shared(reps.select("digest", F.xxhash64("digest").alias("id"), F.col("x.doc_id").alias("doc_id"), F.col("x.bands").alias("bands"), F.col("x.sketch").alias("sketch")), "classes")
+    reps = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x"))
+    reps = write_shared(reps.select("digest", F.xxhash64("digest").alias("id"), "x.*"), "classes")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = write_shared(buckets.join(sizes, "bucket"), "members")
@@ -170,8 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     fame = write_shared(fame, "fame")
     leaders = members.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("i"))).alias("x")).select("bucket", (-F.col("x.i")).alias("b"))
     pairs = members.join(leaders, "bucket").where("id != b").select(F.col("id").alias("a"), "b").distinct()
-    sketches = reps.select("id", "sketch")
-    most = most_differing_bits(percent / 100 - MARGIN)
+    sketches = reps.select("id", "sketch", F.col("n_shingles").alias("size"))
+    most = most_differing_bits(percent / 100 - MARGIN, bands)
     pairs = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     pairs = write_shared(pairs.where(differing_bits(F.col("x"), F.col("y")) <= most).select("a", "b"), "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -180,17 +204,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         sets = write_shared(sets.dropDuplicates(["id"]), "sets")
     links = write_shared(confirm(pairs, sets, percent), "links")
     found = components(links)
-    labelled = members.select("id", "bucket", "n").join(found.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo != hi AND k > 2").select("bucket")
-    rest = labelled.join(mixed, "bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.withColumn("own", F.least("mine", "j")).withColumn("other", F.greatest("mine", "j"))
-    rest = rest.join(sketches, "id").join(sets, "id")
-    more = rest.groupBy("bucket", "own", "other").applyInPandas(lambda pdf: _across(pdf, percent, most), "a long, b long")
-    more = write_shared(more.distinct(), "more_links")
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for nearest in (True, False):
+        labelled = members.join(found.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        across = write_shared(_between(labelled, sketches, percent, most, nearest), "across")
+        if across.isEmpty():
+            break
+        joined = write_shared(confirm(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "more_links")
+        tried = tried.unionByName(across)
+        if not joined.isEmpty():
+            links = write_shared(links.unionByName(joined), "links")
+            found = components(links)
     classes = reps.select("digest", "id", "doc_id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("least"))
     classes = classes.join(least, "label").select("digest", "least")
