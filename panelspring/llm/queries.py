@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fingerprint, langid, minhash, mixing, quality, suffix_dedup, tokencount, url_filter, warc
-from .common import id_bucket, shared_dir
+from .common import id_bucket, shared_dir, write_shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capture_id", F.element_at("metadata.fields", "page-id").cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("origin"),
     )
+    c = write_shared(c, "captures")
     origins = c.where("record_type = 'response'").select(F.col("capture_id").alias("origin"), F.col("page_id").alias("origin_page"))
     out = c.withColumn("origin", F.coalesce("origin", "capture_id")).join(origins, "origin", "left")
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("origin_page")).alias("refers_to"))

@@ -14,15 +14,15 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import arrow, write_shared
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one file at most: with three a capture, about 2,000 captures.
-RECORDS_PER_FILE = 6_000
+#: Records in one file at most (with three a capture, about 2,000 captures), and bytes of records of mean size.
+RECORDS_PER_FILE, BYTES_PER_FILE = 6_000, 64_000_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -46,22 +46,45 @@ def _record(kind: Column | str, own: Column, headers: list[tuple[str, Column]],
     return F.concat(*lines)
 
 
+def numbered(rows: DataFrame, key: Column) -> tuple[DataFrame, int, int]:
+    """(rows with `copy`, their number, their bytes of html): copy tells rows of equal page_id, url and html apart, "" where there is one.
+
+    Only rows whose hash key repeats are numbered, within the partition in which they stand, so that no group is dealt to
+    one task; they are written once, since partitions may differ when they are made again.
+    """
+    counts = write_shared(rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")), "counts")
+    n, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    again = counts.where("n > 1").select("key")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit("")), n, size
+    keyed = rows.withColumn("key", key)
+    some = keyed.join(again, "key", "left_semi").withColumn("part", F.spark_partition_id())
+    number = F.row_number().over(Window.partitionBy("page_id", "url", "html", "part").orderBy("key"))
+    some = write_shared(some.withColumn("copy", F.concat_ws("-", "part", number)).drop("part"), "copies")
+    return keyed.join(again, "key", "left_anti").withColumn("copy", F.lit("")).unionByName(some).drop("key"), n, size
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write pages (page_id, url, html) as gzipped WARC files under path: three records for every row.
+    """Write pages (page_id, url, html) as gzipped WARC files under path: three records for every row, repeated rows too.
 
     Of rows with equal payloads of at least least_bytes bytes, the one with the smallest page_id (null last, then the
-    smaller url) has a response record and the others revisit it; smaller payloads are all responses. A null html is
-    an empty payload, a null url gives no WARC-Target-URI; line breaks in a url are percent-encoded. Rows equal in
-    page_id, url and html give equal records.
+    smaller url, then any one of equal rows) has a response record and the others revisit it; smaller payloads are all
+    responses. A null html is an empty payload, a null url gives no WARC-Target-URI; line breaks in a url are
+    percent-encoded. Files hold at most RECORDS_PER_FILE records, and fewer where records are large: BYTES_PER_FILE at
+    their mean size. An empty table gives a folder without records. Other columns are not read.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
+    rows, count, size = numbered(rows, F.xxhash64("page_id", "url", "html"))
+    per_file = max(3, min(RECORDS_PER_FILE, 3 * count * BYTES_PER_FILE // max(1, size)))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("u"))
-    first = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"))
-    rows = rows.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~order.eqNullSafe(F.col("first")))
-    capture = _record_id("capture", F.col("page_id"), F.coalesce("url", F.lit("")), F.col("digest"))
-    origin = _record_id("capture", F.col("first.page_id"), F.col("first.u"), F.col("digest"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNull().alias("no_url"), "copy")
+    # Only payloads that repeat are looked up, so that the pages are not shuffled while these are few.
+    first = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = rows.join(write_shared(first, "first"), "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~order.eqNullSafe(F.col("first")))
+    own = [F.col("page_id"), F.coalesce("url", F.lit("")), F.col("url").isNull(), F.col("digest"), F.col("copy")]
+    capture = _record_id("capture", *own)
+    origin = _record_id("capture", F.col("first.page_id"), F.col("first.u"), F.col("first.no_url"), F.col("digest"), F.col("first.copy"))
     uri = ("WARC-Target-URI", F.col("url"))
     host = F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit(""))
     target = F.coalesce(F.regexp_extract("url", r"://[^/?#]*([^#]*)", 1), F.lit(""))
@@ -71,12 +94,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     records = F.array(
-        _record("request", _record_id("request", F.col("page_id"), F.coalesce("url", F.lit("")), F.col("digest")), [("WARC-Concurrent-To", capture), uri], "application/http;msgtype=request", request),
+        _record("request", _record_id("request", *own), [("WARC-Concurrent-To", capture), uri], "application/http;msgtype=request", request),
         _record(kind, capture, [uri, digest, ("WARC-Refers-To", F.when(F.col("revisit"), origin)), ("WARC-Profile", F.when(F.col("revisit"), F.lit(PROFILE)))], "application/http;msgtype=response", F.when(F.col("revisit"), http).otherwise(F.concat(http, "html"))),
-        _record("metadata", _record_id("metadata", F.col("page_id"), F.coalesce("url", F.lit("")), F.col("digest")), [("WARC-Concurrent-To", capture), uri], "application/warc-fields", fields),
+        _record("metadata", _record_id("metadata", *own), [("WARC-Concurrent-To", capture), uri], "application/warc-fields", fields),
     )
     out = rows.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -101,6 +124,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     payload is the HTTP body of a response and null otherwise; payload_bytes and payload_digest belong to the full
     payload: counted and hashed for responses, taken from the headers for revisits. fields holds a metadata record's lines.
+    Headers that a record lacks are null, and a record without Content-Length has no block; anything else than a record
+    where one should begin ends the job with an error. A file is read by one task, one record at a time: files may have up
+    to 2 GB as stored (larger ones have to be cut between records first). Records of all kinds are returned, repeats too.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     names = [f.split()[0] for f in RECORD.split(", ")]
@@ -143,9 +169,10 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: capture_id, target_uri, response, request, metadata.
 
     A capture is a response or revisit record; the request and metadata records that are concurrent to it join it (null
-    if there is none; of several, the least record id). Records that share an id are one record.
+    if there is none; of several, the least record id). Records that share an id are one record; records without an id,
+    and request and metadata records that are concurrent to nothing there, are left out. No records give no rows.
     """
-    captures = records.where(F.col("type").isin("response", "revisit")).dropDuplicates(["record_id"])
+    captures = records.where(F.col("type").isin("response", "revisit") & F.col("record_id").isNotNull()).dropDuplicates(["record_id"])
     response = F.struct("type", "refers_to", "http", "payload", "payload_bytes", "payload_digest")
     captures = captures.select(F.col("record_id").alias("capture_id"), "target_uri", response.alias("response"))
 

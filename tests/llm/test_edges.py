@@ -148,7 +148,10 @@ def test_warc(spark, tmp_path):
     path = f"{shared_dir(spark)}/{tmp_path.name}"
     warc.write_archives(df.unionByName(df.where("page_id = 0")), path)
     got = warc.assemble(warc.read_archives(spark, path)).collect()
-    assert len(got) == len(html)
+    assert len(got) == len(html) + 1
+    equal = [r for r in got if r["metadata"]["fields"].get("page-id") == "0"]
+    assert sorted(r["response"]["type"] for r in equal) == ["response", "revisit"]
+    got = [r for r in got if r not in equal or r["response"]["type"] == "response"]
     by = {r["metadata"]["fields"].get("page-id"): r for r in got}
     assert bytes(by["3"]["response"]["payload"]).decode() == html[3] and bytes(by["6"]["response"]["payload"]).decode() == html[6]
     assert [by[k]["response"]["type"] for k in ("0", "1", "2", "5", None)] == ["response", "response", "revisit", "revisit", "revisit"]
@@ -161,6 +164,23 @@ def test_warc(spark, tmp_path):
     assert {r["response"]["type"] for r in warc.assemble(warc.read_archives(spark, big)).collect()} == {"response"}
 
 
+def test_warc_of_repeated_rows_and_large_pages(spark, tmp_path, monkeypatch):
+    """Each of many equal rows is a capture; files of large pages hold few records."""
+    rows = [(1, "http://a.io/x", "same")] * 400 + [(None, None, None)] * 30 + [(2, "http://a.io/y", "same")] + [(10 + i, f"http://b.io/{i}", str(i) * 50_000) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    path = f"{shared_dir(spark)}/{tmp_path.name}-many"
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 100_000)
+    warc.write_archives(df, path)
+    records = warc.read_archives(spark, path)
+    assert records.count() == 3 * len(rows)
+    got = warc.assemble(records).select("capture_id", "response.type", "response.refers_to", "response.payload_bytes", F.element_at("metadata.fields", "page-id").alias("page"), F.col("request").isNotNull().alias("asked")).collect()
+    assert len(got) == len(rows) and all(r["asked"] for r in got)
+    same = [r for r in got if r["page"] in ("1", "2")]
+    assert [r["page"] for r in same if r["type"] == "response"] == ["1"] and {r["refers_to"] for r in same if r["type"] == "revisit"} == {r["capture_id"] for r in same if r["type"] == "response"}
+    assert sum(r["type"] == "response" for r in got if r["page"] is None) == 1 and sum(r["page"] is None for r in got) == 30
+    assert spark.read.format("binaryFile").load(path).count() > 4
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs.select("doc_id", "text", "source", "kept")).collect()
     assert len(got) == len(TEXTS) + 1
