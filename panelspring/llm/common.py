@@ -56,7 +56,9 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelspring/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def drop_shared(*tables: DataFrame) -> None:
@@ -67,11 +69,10 @@ def drop_shared(*tables: DataFrame) -> None:
     """
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-        if path is not None:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        spark._jvm.System.gc()
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def id_bucket(col: str, n: int):
@@ -99,6 +100,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         at = to
 
 
+def pieces(batch: pa.RecordBatch, column: str, overlap: int, most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """slices() with long texts cut into pieces of most bytes, each with the next `overlap` bytes of its text behind it.
+
+    (row of each piece in the batch, where it begins in its text, bytes, offsets); a string of overlap + 1 bytes lies in
+    exactly one piece, so that memory does not grow with the longest text.
+    """
+    at = 0
+    for rows, data, offsets in slices(batch, column, most):
+        if rows.num_rows == 1 and len(data) > 2 * most:
+            for base in range(0, len(data) - overlap, most):
+                part = data[base : base + most + overlap]
+                yield np.array([at]), np.array([base]), part, np.array([0, len(part)])
+        else:
+            yield np.arange(at, at + rows.num_rows), np.zeros(rows.num_rows, np.int64), data, offsets
+        at += rows.num_rows
+
+
 _MULT, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 

@@ -1,17 +1,24 @@
-"""Removal of byte strings that occur more than once in a corpus, by a prefix-free parse.
-
-A rolling hash sets triggers: in every stretch of SPAN positions the position with the least hash. The triggers cut a
-text into overlapping phrases: the part that all strings with that trigger share (the core), within the zone that they
-cover together. A string of the wanted length has exactly one trigger, which depends on its bytes alone, so two equal
-strings lie in zones with equal cores, at one place. The corpus dictionary counts cores and zones:
-
-* a core that stands once in the corpus settles its zone: nothing is repeated in it;
-* a zone that stands more than once settles it too: all of it is repeated;
-* for the rest (edges of repeated regions) one occurrence of each distinct zone is cut into parts of 8 starts, which are
-  settled the same way by their own cores and zones; of parts still open, strings are compared one by one.
-
-Only zones (about 1 for 75 bytes) are shuffled, plus the parts and strings of unsettled ones. Copies of a zone, however
-many, count as one entry of the dictionary. Groups by core or string are joins and sums, never one task's.
+"""Removal of byte strings that occur more than once in a corpus, by a prefix-free parse and suffix order.
+
+A rolling hash sets triggers: in every stretch of SPAN positions the position with the least hash. The triggers parse a
+text into overlapping phrases (zones): the bytes of all strings of the wanted length that have one trigger, whose common
+part is the phrase's core. A string has exactly one trigger, which depends on its bytes alone, so equal strings lie at
+one place in phrases with equal cores, and each lies in a phrase whole: the suffixes of the dictionary's phrases, sorted
+to that length, are the corpus order. What the phrases' counts in the parse settle is not sorted:
+
+* a core that stands once in the parse settles its phrase: nothing is repeated in it;
+* a phrase that stands more than once settles it too: all of it is repeated;
+* of the rest (edges of repeated regions) the dictionary holds one occurrence of each distinct phrase, cut into parts of 8
+  starts, which their own cores and zones settle in the same way.
+
+The suffixes that are still open are range-sorted by their bytes: the suffix array of the dictionary's open phrases.
+Neighbours in it that agree over the whole length are repeated strings, compared by byte, not by hash; the parse (where
+each phrase stands) takes them back to the documents. Equal suffixes may spread over many tasks, of which only the first
+and last strings are compared again.
+
+Only phrases (about 1 for 60 bytes) are shuffled, plus the parts and suffixes of unsettled ones. Copies of a phrase,
+however many, count as one entry of the dictionary. Groups by core or phrase are counted by partial sums, and the counts
+join the entries as a table of their own, so that hot ones can be split.
 """
 
 from __future__ import annotations
@@ -20,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_shared, mix, prefix_hash, slices, span_hash, write_shared
+from .common import arrow, drop_shared, mix, pieces, prefix_hash, span_hash, write_shared
 
 LENGTH = 200
 #: Bytes of the rolling window, and starts among which the trigger is chosen.
@@ -64,17 +72,17 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
 
 
 def dictionary_entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row_key, at, core, zone, need): each zone's trigger (bytes from the text's start) and hashes, from docs (row_key, text)."""
+    """(row_key, at, core, zone, need): each phrase's first start (bytes from the text's start) and hashes, from docs (row_key, text)."""
     core = length - min(SPAN, length - ROLL) + 1
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
+            for row, base, data, offsets in pieces(batch, "text", length - 1):
                 prefix, doc, trigger, lo, hi = parse(data, offsets, length)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0).take(pa.array(doc)),
-                        pa.array(trigger - offsets[doc]),
+                        batch.column(0).take(pa.array(row[doc])),
+                        pa.array(lo - offsets[doc] + base[doc]),
                         pa.array(span_hash(prefix, trigger, trigger + core).view(np.int64)),
                         pa.array(span_hash(prefix, lo, hi + length).view(np.int64)),
                         pa.array(np.ones(len(doc), bool)),
@@ -93,29 +101,33 @@ def _parts_of(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
     return zone, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
 
 
-def _wanted(values: list | None, own: np.ndarray) -> np.ndarray:
-    return np.isin(own, np.asarray(values if values is not None else [], np.int64))
+def _lists(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    return [np.asarray(x if x is not None else [], np.int64) for x in batch.column(column).to_pylist()]
+
+
+def _own(doc: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+    """(number in the step, row, its zones) for each piece of a step."""
+    bounds = np.searchsorted(doc, np.arange(len(row) + 1))
+    for i, r in enumerate(row.tolist()):
+        yield i, r, slice(bounds[i], bounds[i + 1])
 
 
 def _part_entries(candidates: DataFrame, length: int) -> DataFrame:
-    """(row_key, at, core, zone, need) of the parts of zones to compare; at is PARTS * trigger + part.
+    """(row_key, at, core, zone, need) of the parts of zones to compare; at is PARTS * first start of the zone + part.
 
     core is the hash of what all strings of the part share, zone that of what they cover, as far as the text goes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            compare, need = batch.column("compare").to_pylist(), batch.column("need").to_pylist()
-            base = 0
-            for rows, data, offsets in slices(batch, "text"):
+            compare, need = _lists(batch, "compare"), _lists(batch, "need")
+            for row, base, data, offsets in pieces(batch, "text", length - 1):
                 prefix, doc, trigger, lo, hi = parse(data, offsets, length)
-                bounds = np.searchsorted(doc, np.arange(len(offsets)))
+                where = lo - offsets[doc] + base[doc]
                 pick, needed = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-                for i in range(len(offsets) - 1):
-                    own = slice(bounds[i], bounds[i + 1])
-                    pick[own] = _wanted(compare[base + i], trigger[own] - offsets[i])
-                    needed[own] = _wanted(need[base + i], trigger[own] - offsets[i])
-                base += rows.num_rows
+                for _, r, own in _own(doc, row):
+                    pick[own] = np.isin(where[own], compare[r])
+                    needed[own] = np.isin(where[own], need[r])
                 z = np.flatnonzero(pick)
                 k, part = _parts_of(trigger[z], lo[z], hi[z])
                 z = z[k]
@@ -126,8 +138,8 @@ def _part_entries(candidates: DataFrame, length: int) -> DataFrame:
                 cut = ((left - early) * 4096 + (late + length - right)).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(rows.schema.get_field_index("row_key")).take(pa.array(d)),
-                        pa.array((trigger[z] - offsets[d]) * PARTS + part),
+                        batch.column("row_key").take(pa.array(row[d])),
+                        pa.array(where[z] * PARTS + part),
                         pa.array(mix(span_hash(prefix, late, early + length) + part.astype(np.uint64)).view(np.int64)),
                         pa.array(mix(span_hash(prefix, left, right) + cut).view(np.int64)),
                         pa.array(needed[z]),
@@ -138,50 +150,98 @@ def _part_entries(candidates: DataFrame, length: int) -> DataFrame:
     return arrow(candidates.select("row_key", "text", "compare", "need"), run, "row_key long, at long, core long, zone long, need boolean")
 
 
-def _starts(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, index of the mark of each) for marks PARTS * trigger + part; all count from the text's start."""
-    at, part = marks // PARTS, marks % PARTS
-    z = np.searchsorted(trigger, at)
-    late = np.minimum(at - PART * part, hi[z])
-    early = np.maximum(at - PART * part - (PART - 1), lo[z])
+def _starts(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray, where: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, index of the mark of each, marks found) for those marks, PARTS * where + part, whose zone is in where."""
+    marks = marks[np.isin(marks // PARTS, where)]
+    z, part = np.searchsorted(where, marks // PARTS), marks % PARTS
+    late = np.minimum(trigger[z] - PART * part, hi[z])
+    early = np.maximum(trigger[z] - PART * part - (PART - 1), lo[z])
     n = late - early + 1
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - early, n), np.repeat(np.arange(len(marks)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - early, n), np.repeat(np.arange(len(marks)), n), marks
 
 
-def _strings(candidates: DataFrame, length: int) -> DataFrame:
-    """(row_key, start, string, need) of the strings that start in the parts to compare."""
+def _suffixes(candidates: DataFrame, length: int) -> DataFrame:
+    """(row_key, start, string, need): the first `length` bytes of the suffixes that start in the parts to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            compare, need = batch.column("compare").to_pylist(), batch.column("need").to_pylist()
-            base = 0
-            for rows, data, offsets in slices(batch, "text"):
-                prefix, doc, trigger, lo, hi = parse(data, offsets, length)
-                bounds = np.searchsorted(doc, np.arange(len(offsets)))
-                start, row, needed = [], [], []
-                for i in range(len(offsets) - 1):
-                    marks = np.asarray(compare[base + i] or [], np.int64)
-                    if len(marks):
-                        own, at = slice(bounds[i], bounds[i + 1]), offsets[i]
-                        s, k = _starts(trigger[own] - at, lo[own] - at, hi[own] - at, marks)
-                        start.append(s + at)
-                        row.append(np.full(len(s), i))
-                        needed.append(_wanted(need[base + i], marks)[k])
-                base += rows.num_rows
-                if not start:
-                    continue
-                start, row, needed = map(np.concatenate, (start, row, needed))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(rows.schema.get_field_index("row_key")).take(pa.array(row)),
-                        pa.array((start - offsets[row]).astype(np.int32)),
-                        pa.array(span_hash(prefix, start, start + length).view(np.int64)),
-                        pa.array(needed),
-                    ],
-                    ["row_key", "start", "string", "need"],
-                )
+            compare, need = _lists(batch, "compare"), _lists(batch, "need")
+            for row, base, data, offsets in pieces(batch, "text", length - 1):
+                _, doc, trigger, lo, hi = parse(data, offsets, length)
+                where = lo - offsets[doc] + base[doc]
+                start, piece, needed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for i, r, own in _own(doc, row):
+                    if len(compare[r]):
+                        s, k, marks = _starts(trigger[own], lo[own], hi[own], where[own], compare[r])
+                        start.append(s)
+                        piece.append(np.full(len(s), i))
+                        needed.append(np.isin(marks, need[r])[k])
+                start, piece, needed = map(np.concatenate, (start, piece, needed))
+                for a in range(0, len(start), 20_000):
+                    s, i = start[a : a + 20_000], piece[a : a + 20_000]
+                    string = data[s[:, None] + np.arange(length)]
+                    ends = np.arange(len(s) + 1, dtype=np.int32) * length
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("row_key").take(pa.array(row[i])),
+                            pa.array(s - offsets[i] + base[i]),
+                            pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(string))]),
+                            pa.array(needed[a : a + 20_000]),
+                        ],
+                        ["row_key", "start", "string", "need"],
+                    )
+
+    return arrow(candidates.select("row_key", "text", "compare", "need"), run, "row_key long, start long, string binary, need boolean")
+
+
+def suffix_order(suffixes: DataFrame, length: int) -> DataFrame:
+    """suffixes (row_key, start, string, need) in byte order: row_key, start, need, part, rank, lcp, repeated, edge.
+
+    part and rank (within the part) give the place in the order, lcp the bytes that a suffix has in common with the one
+    before it, at most length; of a part's first suffix it is 0. repeated says that a neighbour within the part agrees over
+    the whole length. The first and the last suffix of each part keep their string as edge, to be compared across parts.
+    """
+    keys = ["string", "row_key", "start"]
 
-    return arrow(candidates.select("row_key", "text", "compare", "need"), run, "row_key long, start int, string long, need boolean")
+    def run(batches: Iterator[pa.RecordBatch]):
+        part, held, before, rank = TaskContext.get().partitionId(), None, 0, 0
+
+        def rows(batch: pa.RecordBatch, lcp: np.ndarray, same: np.ndarray, edge: list) -> pa.RecordBatch:
+            n = batch.num_rows
+            columns = [*(batch.column(c) for c in ("row_key", "start", "need")), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(rank, rank + n)), pa.array(lcp.astype(np.int32)), pa.array(same), pa.array(edge, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["row_key", "start", "need", "part", "rank", "lcp", "repeated", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            raw = np.frombuffer(b"".join(batch.column("string").to_pylist()), np.uint8).reshape(-1, length)
+            differ = np.ones((len(raw), length + 1), bool)
+            differ[1:, :length] = raw[1:] != raw[:-1]
+            lcp = differ.argmax(1)
+            lcp[0] = before
+            same = lcp == length
+            n = len(raw) - 1
+            if n:
+                edge = [None] * n
+                edge[0] = raw[0].tobytes() if rank == 0 else None
+                yield rows(batch.slice(0, n), lcp[:n], same[:n] | same[1:], edge)
+                rank += n
+            held, before = batch.slice(n), int(lcp[n])
+        if held is not None:
+            yield rows(held, np.array([before]), np.array([before == length]), [held.column("string")[0].as_py()])
+
+    ordered = suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return arrow(ordered, run, "row_key long, start long, need boolean, part int, rank long, lcp int, repeated boolean, edge binary")
+
+
+def _merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs (start, end) of the union of intervals; those that touch are one."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1]))) if len(first) else np.zeros(0, np.int64)
+    return first[new], reach[np.concatenate((new[1:], [len(first)])) - 1] if len(first) else first[new]
 
 
 def _cut(candidates: DataFrame, length: int) -> DataFrame:
@@ -191,34 +251,27 @@ def _cut(candidates: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            whole, parts, single = (batch.column(c) for c in ("whole", "parts", "starts"))
-            base = 0
-            for rows, data, offsets in slices(batch, "text"):
+            whole, parts, single = (_lists(batch, c) for c in ("whole", "parts", "starts"))
+            first = [[s] for s in single]
+            end = [[s + length] for s in single]
+            for row, base, data, offsets in pieces(batch, "text", length - 1):
                 _, doc, trigger, lo, hi = parse(data, offsets, length)
-                bounds = np.searchsorted(doc, np.arange(len(offsets)))
-                size, removed, spans, kept = [], [], [], []
-                for i in range(len(offsets) - 1):
-                    text, own, at = data[offsets[i] : offsets[i + 1]], slice(bounds[i], bounds[i + 1]), offsets[i]
-                    t, a, b = trigger[own] - at, lo[own] - at, hi[own] - at
-                    z = np.flatnonzero(_wanted(whole[base + i].as_py(), t))
-                    s, _ = _starts(t, a, b, np.asarray(parts[base + i].as_py() or [], np.int64))
-                    s = np.concatenate((s, np.asarray(single[base + i].as_py() or [], np.int64)))
-                    edge = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(edge, a[z], 1)
-                    np.add.at(edge, b[z] + length, -1)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    step = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
-                    size.append(len(text))
-                    removed.append(int(gone.sum()))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))])
-                    kept.append(text[~gone].tobytes())
-                base += rows.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(rows.schema.get_field_index("row_key")), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
-                    ["row_key", "n_bytes", "n_removed", "spans", "kept"],
-                )
+                shift = base[doc] - offsets[doc]
+                where = lo + shift
+                for i, r, own in _own(doc, row):
+                    z = np.flatnonzero(np.isin(where[own], whole[r]))
+                    s, _, _ = _starts(trigger[own], lo[own], hi[own], where[own], parts[r])
+                    s = s + base[i] - offsets[i]
+                    first[r] += [where[own][z], s]
+                    end[r] += [(hi + shift)[own][z] + length, s + length]
+            out = [[], [], [], [], []]
+            for r, text in enumerate(batch.column("text")):
+                text = (text.as_py() or "").encode()
+                a, b = _merged(np.concatenate(first[r]), np.concatenate(end[r]))
+                kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)]))
+                for column, value in zip(out, (batch.column("row_key")[r].as_py(), len(text), int((b - a).sum()), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())], kept)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary()))], ["row_key", "n_bytes", "n_removed", "spans", "kept"])
 
     return arrow(candidates.select("row_key", "text", "whole", "parts", "starts"), run, schema)
 
@@ -230,11 +283,14 @@ def _settle(entries: DataFrame) -> DataFrame:
     places to compare for their own sake, as their zone stands once. entries is a shared table.
     """
     cores = entries.groupBy("core").agg(F.count("*").alias("n"), F.min("zone").alias("lo"), F.max("zone").alias("hi")).where("n > 1")
-    several = write_shared(entries.join(cores.select("core", (F.col("lo") != F.col("hi")).alias("varied")), "core"), "several")
+    cores = write_shared(cores.select("core", (F.col("lo") != F.col("hi")).alias("varied")), "cores")
+    several = write_shared(entries.join(cores, "core"), "several")
+    drop_shared(cores)
     place = F.xxhash64("row_key", "at")
     varied = several.where("varied").drop("varied")
-    zones = varied.groupBy("core", "zone").agg(F.count("*").alias("copies"), F.min(place).alias("first")).withColumnRenamed("core", "c").withColumnRenamed("zone", "z")
-    marked = varied.join(zones, (F.col("core") == F.col("c")) & (F.col("zone") == F.col("z")))
+    zones = varied.groupBy("core", "zone").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
+    zones = write_shared(zones, "zones")
+    marked = varied.join(zones, ["core", "zone"])
     marked = marked.select("row_key", "at", "need", (F.col("copies") > 1).alias("settled"), (F.col("first") == place).alias("listed"))
     marked = marked.unionByName(several.where("NOT varied").select("row_key", "at", "need", F.lit(True).alias("settled"), F.lit(False).alias("listed")))
     out = marked.where("(settled AND need) OR listed").groupBy("row_key").agg(
@@ -243,7 +299,7 @@ def _settle(entries: DataFrame) -> DataFrame:
         F.array_distinct(F.collect_list(F.when(~F.col("settled") & F.col("need"), F.col("at")))).alias("need"),
     )
     out = write_shared(out, "marks")
-    drop_shared(several)
+    drop_shared(several, zones)
     return out
 
 
@@ -270,18 +326,22 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     drop_shared(entries)
     parted = write_shared(zoned.select("row_key", "text", "whole").join(parts.withColumnRenamed("whole", "parts"), "row_key", "left"), "parted")
     drop_shared(zoned, parts)
-    strings = write_shared(_strings(parted.where(F.size("compare") > 0), length), "strings")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    starts = strings.where("need").join(twice, "string").groupBy("row_key").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
-    starts = write_shared(starts, "starts")
-    drop_shared(strings)
+    suffixes = write_shared(_suffixes(parted.where(F.size("compare") > 0), length), "suffixes")
+    order = write_shared(suffix_order(suffixes, length), "order")
+    drop_shared(suffixes)
+    edges = order.where("edge IS NOT NULL")
+    across = edges.groupBy("edge").agg(F.count_distinct("part").alias("parts")).where("parts > 1").select("edge")
+    twice = order.where("repeated AND need").select("row_key", "start").unionByName(edges.where("need").join(across, "edge").select("row_key", "start"))
+    starts = write_shared(twice.groupBy("row_key").agg(F.array_distinct(F.collect_list("start")).alias("starts")), "starts")
+    drop_shared(order)
     return _cut(parted.join(starts, "row_key", "left"), length).where("n_removed > 0")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, all columns and rows kept, with repeated strings cut out of text and n_chars (if there) counted anew.
 
-    A character of which a part is cut goes whole. Rows with a null text stay as they are.
+    A character of which a part is cut goes whole. Rows with a null text stay as they are; rows that repeat are copies of
+    one another, so of such texts of `length` bytes or more nothing is kept. An empty table gives an empty one.
     """
     key = F.xxhash64("doc_id", "text")
     found = repeated(docs.select(key.alias("row_key"), "text"), length).select("row_key", "kept").dropDuplicates(["row_key"])
