@@ -13,6 +13,9 @@ from panelspring.llm import decontam, minhash, mixing, quality, suffix_dedup
 from panelspring.llm.common import id_bucket, write_shared
 
 
+#: Per cent of two documents' shingles that near-duplicates have in common at least.
+SIMILARITY = 80
+
 #: A hash that tells the rows of a stage apart unless they are equal, whatever their ids.
 KEY = "__key"
 
@@ -39,10 +42,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that with the least id (nulls last), of each group of near-duplicates, rows that repeat it included.
 
-    Rows are judged by their own texts, whatever their ids; null, empty and blank texts have no duplicates and stay.
+    Near-duplicates have a similarity of 0.8 or more of their sets of five-word shingles. Rows are judged by their own
+    texts, whatever their ids (rows that share an id, or have none, are rows of their own); null, empty and blank texts
+    have no duplicates and stay. No rows, none; other columns pass through.
     """
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    found = minhash.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text")).where("n_shingles > 0")
+    found = minhash.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), SIMILARITY).where("n_shingles > 0")
     found = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("__group"))
     rows = write_shared(found.join(keyed.select(KEY, "doc_id").distinct(), KEY), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).getField(KEY)
@@ -52,19 +57,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 200 bytes that stand at several places."""
+    """All documents, without strings of 200 bytes that stand at several places; all of these go, the first included.
+
+    Every row stays, with its own columns; a null text stays null, a text that is repeated whole becomes empty. n_chars is
+    counted anew. No rows, none.
+    """
     return suffix_dedup.remove_repeats(docs)
 
 
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that overlap no benchmark item, each judged by its own text, whatever its id."""
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    found = decontam.matches(keyed.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
+    """Rows that overlap no benchmark item, each judged by its own text, whatever its id; rows that repeat go or stay together.
+
+    Null texts and texts without a token stay. No rows, none; other columns pass through.
+    """
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy that the mix takes, in training order: doc_id, source, size, copy, position, text."""
+    """Every copy that the mix takes, in training order: doc_id, source, size, copy, position, text.
+
+    Rows that repeat, share an id or have none are placed each for itself; a null source is one of its own, a null text has
+    no words and comes with the copies around it. No rows, none.
+    """
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "source", "text"))
     mixed = write_shared(mixing.mix(keyed, keep=(KEY,)), "mixed")
     order = mixing.curriculum(mixed, mixing.PHASES).select("doc_id", "source", "size", "copy", "position", KEY)
