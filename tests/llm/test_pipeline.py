@@ -46,7 +46,7 @@ def test_quality_of_the_middle_tables(spark):
 
 
 def test_near_dedup(stages):
-    want = near(texts(stages[1]))
+    want = near(texts(stages[1]), 80)
     assert {r["doc_id"] for r in stages[2]} == {d for d, (_, c) in want.items() if c == d}
 
 
@@ -114,5 +114,47 @@ def test_contaminated_rows_go_by_row(spark, small):
     assert {tuple(r) for r in got} == {(None, "clean and short"), (1, "another clean one"), (2, None)} and len(got) == 3
 
 
+WORDS = [f"word{i}" for i in range(400)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, null and shared ids, and clashing columns."""
+    long = " ".join(f"long{i % 997}x{i}" for i in range(150_000))
+    rows = [(1, None, None, None, None), (None, None, "en", "a", 0), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "null id " + " ".join(WORDS[:60]), None, None, None)]
+    rows += [(3, long, "en", "a", len(long)), (4, "one two", "en", None, 7), (4, "one two", "en", None, 7), (4, "same id " + " ".join(WORDS[100:160]), "de", "b", 1), (5, "é" * 300, "fr", "b", 300)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, bands string, position double, seed string, row_key string, kept string"
+    return spark.createDataFrame([(*r, 0.5, 7, "b", 0.1, "s", "r", "k") for r in rows], schema).repartition(3)
+
+
+def test_every_stage_handles_odd_rows(spark, small, odd):
+    """Each stage on its own: columns stay, nothing crashes, and rows go for its own reason only."""
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["text"] is None)
+    whole = sorted(map(key, odd.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, small)
+        assert got.columns == odd.columns, name
+        out = [r.asDict() for r in got.collect()]
+        assert all((r["score"], r["predicted"], r["bands"], r["position"], r["seed"], r["row_key"], r["kept"]) == (0.5, 7, "b", 0.1, "s", "r", "k") for r in out), name
+        if stage is corpus_pipeline.quality_classifier:
+            assert set(map(key, out)) <= set(whole)
+        elif stage is corpus_pipeline.near_dedup:
+            # Only the repeated row with words goes: blank ones have no duplicates.
+            assert sorted(map(key, out)) == sorted([*whole[:0], *[k for i, k in enumerate(whole) if k[1] != "one two" or k not in whole[:i]]])
+        elif stage is corpus_pipeline.repeated_strings:
+            # Only the text that repeats itself for 300 bytes or more is cut.
+            assert sorted(map(key, out)) == sorted((i, "" if t.startswith("é") else t, n) for i, t, n in whole)
+        else:
+            assert sorted(map(key, out)) == whole
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, small)
+    assert last.columns == ["doc_id", "source", "size", "copy", "position", "text"]
+    assert {key(r.asDict()) for r in last.collect()} <= set(whole) and any(r["doc_id"] == 3 for r in last.select("doc_id").collect())
+
+
+def test_every_stage_takes_an_empty_table(spark, small, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("doc_id < -9"), small).count() == 0, name
+
+
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
