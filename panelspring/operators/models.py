@@ -25,12 +25,16 @@ def naive_mean(df: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     return df.where(F.col("role") == "test").join(means, by, "left")
 
 
-def _moments(df: DataFrame, by: list[str], xs: list[str], y: str) -> DataFrame:
-    """Means and covariances of xs and y over the training rows of each key that have them all: one aggregate."""
+def _moments(df: DataFrame, by: list[str], xs: list[str], y: str, groups: list[list[int]] | None = None) -> DataFrame:
+    """Means and covariances of xs and y over the training rows of each key that have them all: one aggregate.
+
+    With groups of column numbers only pairs that some group has are taken.
+    """
     rows = df.where(F.col("role") == "train").dropna(subset=[*xs, y])
     p = len(xs)
+    pairs = sorted({(min(i, j), max(i, j)) for g in groups or [list(range(p))] for i in g for j in g})
     agg = [F.count("*").cast("double").alias("n"), F.avg(y).alias("my")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
-    agg += [F.covar_pop(xs[i], xs[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)] + [F.covar_pop(x, y).alias(f"c{i}") for i, x in enumerate(xs)]
+    agg += [F.covar_pop(xs[i], xs[j]).alias(f"s{i}_{j}") for i, j in pairs] + [F.covar_pop(x, y).alias(f"c{i}") for i, x in enumerate(xs)]
     return rows.groupBy(*by).agg(*agg)
 
 
@@ -169,6 +173,23 @@ def garch_grid(returns: DataFrame, by: list[str], grid: list[tuple[float, float,
     return rows.select(*by, "g.omega", "g.alpha", "g.beta", "g.gamma", ll.alias("loglik"))
 
 
+def garch_filter(returns: DataFrame, by: list[str], omega: float, alpha: float, beta: float, gamma: float = 0.0, ret: str = "ret") -> DataFrame:
+    """(by, date, ret, variance): the conditional variance of every return, by the recursion of garch_grid() with omega times the mean square.
+
+    One series is one array while it is folded: series are daily, so a century is 36,500 numbers.
+    """
+    series = returns.where(F.col(ret).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", ret))).alias("r"), F.avg(F.col(ret) * F.col(ret)).alias("h0"))
+
+    def step(a: Column, x: Column) -> Column:
+        r = x[ret]
+        nxt = F.lit(omega) * F.col("h0") + (F.lit(alpha) + F.when(r < 0, F.lit(gamma)).otherwise(0.0)) * r * r + F.lit(beta) * F.element_at(a, -1)
+        return F.concat(a, F.array(nxt))
+
+    h = F.aggregate("r", F.array("h0"), step)
+    rows = series.select(*by, F.inline(F.arrays_zip(F.col("r").alias("x"), F.slice(h, F.lit(1), F.size("r")).alias("variance"))))
+    return rows.select(*by, F.col("x.date").alias("date"), F.col(f"x.{ret}").alias(ret), "variance")
+
+
 def garch_best(fits: DataFrame, by: list[str]) -> DataFrame:
     best = F.max_by(F.struct("omega", "alpha", "beta", "gamma", "loglik"), F.struct("loglik", -F.col("omega"), -F.col("alpha"), -F.col("beta"), -F.col("gamma")))
     return fits.groupBy(*by).agg(best.alias("x")).select(*by, "x.*")
@@ -255,13 +276,17 @@ def fold_logit_standardize(df: DataFrame, by: list[str], p: str = "p") -> DataFr
     return rows.where("role = 'test'").join(stats, by, "left").withColumn("z", (F.col("__z") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).drop("__z", "__m", "__s")
 
 
-#: Feature groups by name: which columns of the feature table a fit may see.
+#: Feature groups by name: which columns of the feature table a fit may see. F0 is AR_Only and F1 AR_News.
+AR = ["ret_lag1", "ret_lag2", "absret_lag1", "absret_lag2", "absret_lag3", "rolling_std_5", "rolling_std_20", "har_22", "leverage_5d", "rsi_14"]
+NEWS = ["news_volume", "sent_score_mean", "sent_score_std", "sent_max_neg", "sent_pos_ratio"]
+INTENSITY = ["n_cand_ratio", "n_hi_ratio", "mean_relevance_ratio"]
+SMOOTHED = ["ewm_score_5", "ewm_neg_5", "ewm_maxneg_5"]
+CLEAN = ["vix_chg_5d", "vix_ma5_ratio"]
+FINANCIAL = [*CLEAN, "vix_term", "credit_5d"]
 GROUPS = {
-    "AR_Only": ["ret_lag1", "ret_lag2", "absret_lag1", "absret_lag2", "rolling_std_5", "rolling_std_20"],
-    "News_Pure": ["news_volume", "sent_score_mean", "sent_max_neg"],
-    "Financial_Clean": ["vix_chg_5d", "vix_ma5_ratio"],
-}
-GROUPS |= {"AR_News": GROUPS["AR_Only"] + GROUPS["News_Pure"], "No_News": GROUPS["AR_Only"] + GROUPS["Financial_Clean"], "Full": GROUPS["AR_Only"] + GROUPS["News_Pure"] + GROUPS["Financial_Clean"]}
+    "AR_Only": AR, "News_Pure": NEWS, "News_Only": NEWS + INTENSITY + SMOOTHED, "AR_News": AR + NEWS, "Financial_Clean": CLEAN, "Financial_Only": FINANCIAL,
+    "No_News": AR + FINANCIAL, "Full": AR + NEWS + INTENSITY + SMOOTHED + FINANCIAL, "F2": AR + INTENSITY, "F3": AR + INTENSITY + SMOOTHED, "F4": AR + INTENSITY + NEWS, "F5": AR + SMOOTHED,
+}
 
 
 def ablate(df: DataFrame, by: list[str], groups: dict[str, list[str]], y: str = "y", alpha: float = 1.0) -> DataFrame:
@@ -272,7 +297,8 @@ def ablate(df: DataFrame, by: list[str], groups: dict[str, list[str]], y: str =
     """
     every = sorted({x for xs in groups.values() for x in xs})
     rows = df.dropna(subset=[*every, y])
-    fits = _solve(_moments(rows, by, every, y), by, [[every.index(x) for x in xs] for xs in groups.values()], alpha)
+    numbers = [[every.index(x) for x in xs] for xs in groups.values()]
+    fits = _solve(_moments(rows, by, every, y, numbers), by, numbers, alpha)
     values = []
     for g, xs in enumerate(groups.values()):
         value = F.col(f"intercept_{g}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,33 +41,9 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-#: True while a query of whole texts is built; the other queries take the first 80 characters, as their SQL does.
-_whole = ContextVar("whole", default=False)
-
-
-def whole(fn):
-    """The query fn with whole texts as headlines."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        token = _whole.set(True)
-        try:
-            return fn(spark, sf)
-        finally:
-            _whole.reset(token)
-
-    return run
-
-
-def whole_sql(oracle: str) -> str:
-    """SQL of a query of headlines with whole texts instead."""
-    assert HEADLINE_SQL in oracle
-    return oracle.replace(HEADLINE_SQL, "text AS headline")
-
-
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    text = F.col("text") if _whole.get() else F.substring("text", 1, 80)
-    return d.select(F.col("doc_id").alias("headline_id"), F.col("lang").alias("market"), F.col("source").alias("section"), text.alias("headline"), F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("doc_id") * 7919) % 2400).cast("int")).alias("date"))
+    return d.select(F.col("doc_id").alias("headline_id"), F.col("lang").alias("market"), F.col("source").alias("section"), F.col("text").alias("headline"), F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("doc_id") * 7919) % 2400).cast("int")).alias("date"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +59,16 @@ def sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return daily_sentiment(scores(spark, sf))
 
 
+def daily_news(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily sentiment, its smoothed forms and intensity ratios, of events spread over the days of the price calendar."""
+    from ..operators import text
+
+    day = F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("event_id") * 7919) % 2400).cast("int"))
+    daily = text.smoothed_sentiment(text.daily_sentiment(scores(spark, sf).withColumn("date", day)), (5,))
+    intensity = text.ratio_to_trailing(text.news_intensity(candidates(spark, sf).withColumn("date", day), []), ["n_cand", "n_hi", "mean_relevance"])
+    return daily.join(intensity.drop("n_cand", "n_hi", "mean_relevance"), ["market", "date"])
+
+
 def returns(spark: SparkSession, sf: str) -> DataFrame:
     return features.returns(prices(spark, sf))
 
@@ -141,7 +125,7 @@ VIEWS = {
       CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS value FROM lineitem GROUP BY ALL""",
     "candidates": """SELECT event_id, 'ALL' AS market, event_type AS section, CAST(ts AS DATE) AS date, ts, CONCAT('u', CAST(user_id AS VARCHAR)) AS url,
       CAST(event_id % 8 AS INTEGER) AS relevance_score, value FROM events""",
-    "headlines": """SELECT doc_id AS headline_id, lang AS market, source AS section, SUBSTRING(text, 1, 80) AS headline,
+    "headlines": """SELECT doc_id AS headline_id, lang AS market, source AS section, text AS headline,
       DATE '1995-01-01' + CAST((doc_id * 7919) % 2400 AS INTEGER) AS date FROM documents""",
     "scores": """SELECT event_id, 'ALL' AS market, CAST(ts AS DATE) AS date, CAST(event_id % 100 + 1 AS DOUBLE) / 150.0 AS pos,
       CAST(100 - event_id % 100 AS DOUBLE) / 300.0 AS neg, 1.0 - CAST(event_id % 100 + 1 AS DOUBLE) / 150.0 - CAST(100 - event_id % 100 AS DOUBLE) / 300.0 AS neu FROM events""",
@@ -171,7 +155,6 @@ VIEWS = {
       WHERE y IS NOT NULL AND yhat_b IS NOT NULL""",
     "longp": "SELECT market, symbol, date, fold, y, 'A' AS model, yhat_a AS yhat FROM preds UNION ALL SELECT market, symbol, date, fold, y, 'B', yhat_b FROM preds",
 }
-HEADLINE_SQL = "SUBSTRING(text, 1, 80) AS headline"
 NEEDS = {"rets": ["prices"], "feats": ["rets"], "wide": ["indicators"], "sent": ["scores"], "preds": ["rets"], "longp": ["preds"]}
 
 
@@ -192,9 +175,12 @@ def sql(body: str, *views: str, **more: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a sink's query: below the shared checkpoint folder, or a temporary one where that is unset."""
+    """A new folder for a sink's query: below the shared checkpoint folder, or on a single machine a temporary one where that is unset."""
     import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspring-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="panelspring-")
     return f"{base.rstrip('/')}/panelspring/{uuid.uuid4().hex}/{name}"

@@ -10,8 +10,9 @@ from ..functions.frames import KEYS
 from ..functions.metrics import round_all
 from ..operators import calendar, checks, inference, models, splits
 from . import fixtures as X
+from . import linear_sql
 from .fixtures import WO, r6, sql
-from .queries_features import ORACLES, query
+from .queries_features import NAMES, ORACLES, query
 
 ROLE = "CASE WHEN date < DATE '1999-01-01' THEN 'train' WHEN date < DATE '2000-06-01' THEN 'valid' ELSE 'test' END"
 CUTS = ("1999-01-01", "2000-06-01")
@@ -31,7 +32,7 @@ def _preds(spark, sf) -> DataFrame:
 def _ar(spark, sf) -> DataFrame:
     """Rows for learners: autoregressive features, the log-vol target as y, the direction as y_dir."""
     xs = models.GROUPS["AR_Only"]
-    return _panel(spark, sf).select("market", "symbol", "date", "role", *xs, "har_1", "har_5", "har_22", F.col("y_logvol").alias("y"), "y_dir", "rv5_past", "vol_5").dropna()
+    return _panel(spark, sf).select("market", "symbol", "date", "role", *xs, "har_1", "har_5", F.col("y_logvol").alias("y"), "y_dir", "rv5_past", "vol_5").dropna()
 
 
 AR = models.GROUPS["AR_Only"]
@@ -98,9 +99,10 @@ def _(spark, sf):
 
 
 GRID = [(1 - a - b, a, b, g) for a, b, g in ((0.05, 0.9, 0.0), (0.1, 0.8, 0.0), (0.2, 0.7, 0.0), (0.05, 0.8, 0.1))]
+_GRID_VALUES = ", ".join(f"(CAST({o!r} AS DOUBLE), CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE))" for o, a, b, c in GRID)
 _GARCH = f"""WITH RECURSIVE prices AS ({X.VIEWS["prices"]}), rets AS ({X.VIEWS["rets"]}),
 s AS MATERIALIZED (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, avg(ret * ret) OVER (PARTITION BY symbol) AS h0 FROM rets WHERE ret IS NOT NULL),
-g AS (SELECT * FROM (VALUES {", ".join(f"(CAST({o!r} AS DOUBLE), CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE))" for o, a, b, c in GRID)}) AS t(omega, alpha, beta, gamma)),
+g AS (SELECT * FROM (VALUES {_GRID_VALUES}) AS t(omega, alpha, beta, gamma)),
 rec AS (SELECT symbol, omega, alpha, beta, gamma, i, h0, h0 AS h, ret FROM s CROSS JOIN g WHERE i = 1
 UNION ALL SELECT rec.symbol, omega, alpha, beta, gamma, s.i, rec.h0, omega * rec.h0 + (alpha + CASE WHEN rec.ret < 0 THEN gamma ELSE 0.0 END) * rec.ret * rec.ret + beta * rec.h, s.ret FROM rec JOIN s ON s.symbol = rec.symbol AND s.i = rec.i + 1)
 """
@@ -111,6 +113,16 @@ def _(spark, sf):
     return models.garch_grid(X.returns(spark, sf), BY, GRID).withColumn("loglik", F.round("loglik", 4))
 
 
+_GP = (0.05, 0.05, 0.85, 0.1)
+
+
+@query("h8_garch_filter", _GARCH.replace("SELECT symbol, ret,", "SELECT symbol, date, ret,").replace(_GRID_VALUES, f"(CAST({_GP[0]!r} AS DOUBLE), CAST({_GP[1]!r} AS DOUBLE), CAST({_GP[2]!r} AS DOUBLE), CAST({_GP[3]!r} AS DOUBLE))").replace("gamma, i, h0, h0 AS h, ret", "gamma, i, h0, h0 AS h, ret, date").replace("beta * rec.h, s.ret FROM", "beta * rec.h, s.ret, s.date FROM")
+    + "SELECT symbol, date, CASE WHEN abs(h * 1e6) < 0.0000005 THEN 0.0 ELSE round(h * 1e6, 4) END AS variance_e6 FROM rec")
+def _(spark, sf):
+    out = models.garch_filter(X.returns(spark, sf), BY, *_GP)
+    return out.select("symbol", "date", F.round(F.col("variance") * 1e6, 4).alias("variance_e6"))
+
+
 @query("h9_sweep")
 def _(spark, sf):
     d = _ar(spark, sf)
@@ -161,21 +173,53 @@ def _(spark, sf):
     return models.importances(spark, models.random_forest(d.where("role = 'train'"), AR, trees=20, depth=5), AR)
 
 
+NEWS = models.NEWS + models.INTENSITY + models.SMOOTHED
+
+
 def _full(spark, sf) -> DataFrame:
     p = _panel(spark, sf)
-    vix = features.implied_vol_features(X.wide(spark, sf), "A_F").select("market", "date", "vix_chg_5d", "vix_ma5_ratio")
-    news = X.sentiment(spark, sf).select("market", F.date_add("date", -9125 + 365 * 3).alias("date"), "news_volume", "sent_score_mean", "sent_max_neg")
-    return calendar.join_news(p.join(vix, ["market", "date"], "left"), news, ["news_volume", "sent_score_mean", "sent_max_neg"])
+    fin = features.extended_financial(features.implied_vol_features(X.wide(spark, sf), "A_F"), NAMES).select("market", "date", *models.FINANCIAL)
+    return calendar.join_news(p.join(fin, ["market", "date"], "left"), X.daily_news(spark, sf), NEWS)
+
+
+_EWM = lambda c: f"(SELECT sum(b.{c} * pow(CAST({1 - 2 / 6!r} AS DOUBLE), a.i - b.i)) / sum(pow(CAST({1 - 2 / 6!r} AS DOUBLE), a.i - b.i)) FROM num b WHERE b.i BETWEEN a.i - 59 AND a.i)"
+_DAY = "DATE '1995-01-01' + CAST((event_id * 7919) % 2400 AS INTEGER)"
+_RATIO = lambda c: f"{c} / nullif(avg({c}) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 0) AS {c}_ratio"
+_FULL = {
+    "spread": X.VIEWS["scores"].replace("CAST(ts AS DATE)", _DAY),
+    "daily": X.VIEWS["sent"].replace("FROM scores", "FROM spread"),
+    "num": "SELECT *, row_number() OVER (ORDER BY date) AS i FROM daily",
+    "smooth": f"SELECT *, {_EWM('sent_score_mean')} AS ewm_score_5, {_EWM('sent_neg_mean')} AS ewm_neg_5, {_EWM('sent_max_neg')} AS ewm_maxneg_5 FROM num a",
+    "inten": f"SELECT date, {_RATIO('n_cand')}, {_RATIO('n_hi')}, {_RATIO('mean_relevance')} FROM (SELECT {_DAY} AS date, COUNT(*) AS n_cand, COUNT(*) FILTER (event_id % 8 >= 3) AS n_hi, avg(CAST(event_id % 8 AS DOUBLE)) AS mean_relevance FROM events GROUP BY ALL)",
+    "fin": f"SELECT market, date, A_F / lag(A_F, 5) OVER ({X.WD}) - 1 AS vix_chg_5d, A_F / ({X.roll('avg(A_F)', 'A_F', 5, w=X.WD)}) AS vix_ma5_ratio, ln(A_O / A_F) AS vix_term, ln(N_O / R_F) - lag(ln(N_O / R_F), 5) OVER ({X.WD}) AS credit_5d FROM wide",
+    "fullp": f"SELECT fr.*, {', '.join(models.FINANCIAL)}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NEWS)} FROM fr LEFT JOIN fin USING (market, date) LEFT JOIN smooth USING (market, date) LEFT JOIN inten USING (date)",
+}
+_GROUP_R2 = "1 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / count(*))"
+
+
+def _ablation_sql(groups: dict[str, list[str]]) -> str:
+    """R2 of ridge of every group on the rows that have all columns."""
+    xs = sorted({x for g in groups.values() for x in g})
+    body = f"SELECT g AS symbol, name AS feature_group, {r6(_GROUP_R2)} AS r2 FROM scored GROUP BY ALL"
+    whole = sql("/*fits*/" + body, "feats", "wide", fr=_FR, **_FULL, rows=f"SELECT symbol, role, {', '.join(xs)}, y_logvol FROM fullp WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*xs, 'y_logvol'])}")
+    return whole.replace("\n/*fits*/", ",\n" + linear_sql.scored("rows", "symbol", xs, "y_logvol", groups, 1.0) + "\n").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("h15_ablation")
+#: Columns that the marginal sweep adds to the base, one at a time: 34.
+EXTRA = [
+    "ret", "absret", "ret_lag3", "ret_lag4", "ret_lag5", "rolling_std_22", "har_5", "har_20", "leverage_20d", "vol_ratio_5_20", "absret_surprise", "rolling_ret_5d",
+    "rolling_ret_20d", "rv5_past", "dow_0", "dow_1", "dow_2", "dow_3", "dow_4", *models.NEWS, *models.INTENSITY, *models.SMOOTHED, *models.FINANCIAL,
+]
+
+
+@query("h15_ablation", _ablation_sql(models.GROUPS))
 def _(spark, sf):
-    return models.ablate(_full(spark, sf), BY, models.GROUPS, "y_logvol")
+    return round_all(models.ablate(_full(spark, sf), BY, models.GROUPS, "y_logvol"))
 
 
-@query("h16_marginal_sweep")
+@query("h16_marginal_sweep", _ablation_sql({"base": AR} | {f"+{x}": [*AR, x] for x in EXTRA}))
 def _(spark, sf):
-    return models.marginal_sweep(_full(spark, sf), BY, AR, ["har_5", "har_22", "leverage_5d", "rsi_14"], "y_logvol")
+    return round_all(models.marginal_sweep(_full(spark, sf), BY, AR, EXTRA, "y_logvol"))
 
 
 @query("h17_mz_calibrate", sql(f"SELECT symbol, date, {r6('a + b * yhat_b')} AS yhat_cal FROM pr JOIN (SELECT symbol, regr_slope(y, yhat_b) AS b, regr_intercept(y, yhat_b) AS a FROM pr WHERE role = 'valid' GROUP BY symbol) USING (symbol) WHERE role = 'test'", "preds", pr=_PR))
@@ -196,9 +240,21 @@ def _(spark, sf):
     return round_all(models.fold_logit_standardize(_preds(spark, sf), BY).select("symbol", "date", "z"))
 
 
-@query("h20_pooled_vs_single")
+_HX = ["har_1", "har_5", "har_22"]
+
+
+def _pooled_sql() -> str:
+    part = lambda key, tag: linear_sql.scored("rows", key, _HX, "y_logvol", {"a": _HX}, 0.0, tag)
+    whole = sql("/*fits*/" + f"SELECT 'ALL' AS market, symbol, {r6('p.r2')} AS r2_pooled, {r6('s.r2')} AS r2_single FROM (SELECT s AS symbol, {_GROUP_R2} AS r2 FROM scored_p GROUP BY ALL) p JOIN (SELECT g AS symbol, {_GROUP_R2} AS r2 FROM scored_s GROUP BY ALL) s USING (symbol)", "feats", fr=_FR,
+        rows=f"SELECT symbol, role, {', '.join(_HX)}, y_logvol FROM fr WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_HX, 'y_logvol'])}")
+    # The pooled fit has one key for all rows; its test rows keep their symbol.
+    pooled = part("1", "_p").replace("SELECT 1 AS g, role,", "SELECT 1 AS g, symbol AS s, role,").replace("scored_p AS (SELECT g, name,", "scored_p AS (SELECT s, g, name,")
+    return whole.replace("\n/*fits*/", ",\n" + pooled + ",\n" + part("symbol", "_s") + "\n").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("h20_pooled_vs_single", _pooled_sql())
 def _(spark, sf):
-    return models.pooled_vs_single(_panel(spark, sf), ["har_1", "har_5", "har_22"], "y_logvol")
+    return round_all(models.pooled_vs_single(_panel(spark, sf), _HX, "y_logvol"))
 
 
 _R2 = "1 - sum((y - {0}) * (y - {0})) / (sum(y * y) - sum(y) * sum(y) / count(*))"
@@ -211,16 +267,10 @@ def _(spark, sf):
     return round_all(metrics.r2(days, BY, "y", "yhat_b").select("symbol", "r2", "n"))
 
 
-@query("h22_sweep_curve", sql(f"SELECT event_id AS trial, {r6('value')} AS loss, {r6('min(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS best_so_far FROM candidates WHERE event_id < 150", "candidates"))
+@query("h22_sweep_curve", sql(f"SELECT event_id AS trial, {r6('value')} AS loss, {r6('min(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS best_so_far, event_id + 1 IN (50, 100, 150) AS compared FROM candidates", "candidates"))
 def _(spark, sf):
-    trials = X.candidates(spark, sf).where("event_id < 150").select(F.col("event_id").alias("trial"), F.col("value").alias("loss"))
-    return round_all(models.sweep_curve(trials))
-
-
-#: All events as trials; h22_sweep_curve has the first 150, as its SQL does.
-@query("h22_sweep_curve_all", ORACLES["h22_sweep_curve"].replace(" WHERE event_id < 150", ""))
-def _(spark, sf):
-    return round_all(models.sweep_curve(X.candidates(spark, sf).select(F.col("event_id").alias("trial"), F.col("value").alias("loss"))))
+    curve = models.sweep_curve(X.candidates(spark, sf).select(F.col("event_id").alias("trial"), F.col("value").alias("loss")))
+    return round_all(curve.withColumn("compared", (F.col("trial") + 1).isin(50, 100, 150)))
 
 
 @query("h23_refit_train_valid")
@@ -431,9 +481,18 @@ def _(spark, sf):
     return inference.adf(X.prices(spark, sf), BY, "close").select("symbol", rounded(F.col("b"), 5).alias("b"), rounded(F.col("adf"), 4).alias("adf"), "n")
 
 
-@query("j13_vif")
+def _vif_sql(xs: list[str]) -> str:
+    """Diagonal of the inverse correlation matrix: elimination of the matrix beside the identity."""
+    n = len(xs)
+    whole = sql(f"/*fits*/SELECT ['{"', '".join(xs)}'][i] AS feature, {r6('m[i][' + str(n) + ' + i]', 5)} AS vif FROM (SELECT m, unnest(range(1, {n + 1})) AS i FROM inverse WHERE k = {n + 1})", "feats", fr=_FR,
+        rows=f"SELECT [{', '.join(xs)}]::DOUBLE[] AS f FROM fr WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*xs, 'har_1', 'har_5', 'har_22', 'y_logvol', 'y_dir', 'rv5_past', 'vol_5'])}",
+        start=f"SELECT list(r ORDER BY i) AS m FROM (SELECT i, list_concat(list(v ORDER BY j), list_transform(range(1, {n + 1}), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END)) AS r FROM (SELECT i, j, corr(f[i], f[j]) AS v FROM rows CROSS JOIN range(1, {n + 1}) AS a(i) CROSS JOIN range(1, {n + 1}) AS b(j) GROUP BY ALL) GROUP BY i)")
+    return whole.replace("\n/*fits*/", ",\n" + linear_sql.elimination("inverse", "start") + "\n").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("j13_vif", _vif_sql(AR))
 def _(spark, sf):
-    return inference.vif(_ar(spark, sf), AR)
+    return round_all(inference.vif(_ar(spark, sf), AR), 5)
 
 
 @query("j14_autocorrelation", " UNION ALL ".join(f"SELECT * FROM ({sql(f'SELECT symbol, {k} AS lag, {r6('corr(absret, x)')} AS acf FROM (SELECT *, lag(absret, {k}) OVER ({WO}) AS x FROM rets) GROUP BY symbol', 'rets')})" for k in range(1, 6)))

@@ -365,14 +365,3 @@ UNION ALL SELECT 'repeated_headlines', (SELECT coalesce(CAST(SUM(n - 1) AS BIGIN
 def _(spark, sf):
     h = X.headlines(spark, sf).withColumn("market", F.lit("ALL"))
     return checks.acceptance(h, news.spine(h, "1995-01-01", "1998-12-31"), "1995-01-01", "1998-12-31", news.is_close_summary(patterns=CLOSE))
-
-
-#: Queries that read the words of headlines. Each has a form over whole texts, <name>_whole, beside that over prefixes.
-OF_TEXT = [
-    "a3_read_headlines", "a6_read_lexicon", "b1_drop_close_summaries", "b2_flag_close_summary", "b3_valid_rows", "b4_dedup_headlines", "b8_relevance_score", "b9_noise_penalty",
-    "b11_guarantee_daily", "b12_holiday_supplement", "b13_weak_dates", "b15_yearly_report", "b17_tag_topics", "b19_exclude_fallback", "b21_fallback_by_weekday",
-    "c1_tfidf", "c2_tfidf_pca", "c3_score_headlines", "c4_lexicon_scores", "c8_news_intensity", "k6_acceptance",
-]
-
-for _name in OF_TEXT:
-    query(f"{_name}_whole", X.whole_sql(ORACLES[_name]) if _name in ORACLES else None)(X.whole(QUERIES[_name]))
