@@ -9,6 +9,8 @@ from ..functions.frames import by_date
 
 #: Modulus and multipliers of the portable draws.
 P, M1, M2 = 2147483647, 48271, 69621
+#: Prediction rows up to this number (about 50 bytes each) are broadcast to the draws.
+BROADCAST_ROWS = 500_000
 
 
 def draw(rep: Column, blk: Column, seed: int) -> Column:
@@ -25,6 +27,8 @@ def block_starts(df: DataFrame, by: list[str], reps: int, length: int, seed: int
     """(by, rep, start): ceil(n / length) block starts for each replicate and group; starts count from 0."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= length)
     rows = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    # A few rows become millions: dealt by replicate first, so that the work is spread.
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "rep")
     rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / length) - 1)))
     rows = rows.withColumn("x", draw(F.col("rep"), F.col("blk"), seed))
     return rows.select(*by, "rep", (F.col("x") % (F.col("n") - length + 1)).alias("start"))
@@ -67,18 +71,32 @@ def paired_bootstrap_r2(df: DataFrame, by: list[str], order: list[str], a: str,
     return out.withColumn("differs", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
-def bootstrap_auc(df: DataFrame, by: list[str], order: list[str], y: str = "y", p: str = "p", reps: int = 5000, length: int = 10, seed: int = 42) -> DataFrame:
-    """Interval of AUC, and the one-sided p of AUC <= 0.5; ranks are taken inside each replicate, from counts by score."""
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+def replicate_aucs(rows: DataFrame, by: list[str], order: list[str], y: str, p: str, reps: int, length: int, seed: int) -> DataFrame:
+    """(by, rep, auc); ranks are taken inside each replicate, from counts by score."""
     placed = rows.select(*by, F.col(y).alias("y"), F.col(p).alias("p"), (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long").alias("at"))
     starts = block_starts(rows, by, reps, length, seed).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)))
-    drawn = starts.join(placed, [*by, "at"]).groupBy(*by, "rep", "p").agg(F.sum(F.col("y").cast("long")).alias("one"), F.sum(1 - F.col("y").cast("long")).alias("zero"))
+    # The draws are many times the rows, whatever the planner thinks: rows that are few are broadcast, else both are shuffled.
+    drawn = (starts.join(F.broadcast(placed), [*by, "at"]) if placed.count() <= BROADCAST_ROWS else starts.hint("merge").join(placed, [*by, "at"])).groupBy(*by, "rep", "p").agg(F.sum(F.col("y").cast("long")).alias("one"), F.sum(1 - F.col("y").cast("long")).alias("zero"))
     below = Window.partitionBy(*by, "rep").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     ranked = drawn.withColumn("below", F.coalesce(F.sum("zero").over(below), F.lit(0)))
-    aucs = ranked.groupBy(*by, "rep").agg((F.sum(F.col("one") * (2 * F.col("below") + F.col("zero"))).cast("double") / 2 / F.nullif(F.sum("one").cast("double") * F.sum("zero").cast("double"), F.lit(0.0))).alias("auc"))
+    return ranked.groupBy(*by, "rep").agg((F.sum(F.col("one") * (2 * F.col("below") + F.col("zero"))).cast("double") / 2 / F.nullif(F.sum("one").cast("double") * F.sum("zero").cast("double"), F.lit(0.0))).alias("auc"))
+
+
+def bootstrap_auc(df: DataFrame, by: list[str], order: list[str], y: str = "y", p: str = "p", reps: int = 5000, length: int = 10, seed: int = 42) -> DataFrame:
+    """Interval of AUC, and the one-sided p of AUC <= 0.5."""
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    aucs = replicate_aucs(rows, by, order, y, p, reps, length, seed)
     return aucs.groupBy(*by).agg(*interval("auc"), F.avg((F.col("auc") <= 0.5).cast("double")).alias("p_value"))
 
 
+def paired_bootstrap_auc(df: DataFrame, by: list[str], order: list[str], a: str, b: str, y: str = "y", reps: int = 10000, length: int = 10, seed: int = 42) -> DataFrame:
+    """Interval of AUC(a) - AUC(b) on the same draws, and whether it leaves out 0."""
+    rows = df.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    first, second = (replicate_aucs(rows, by, order, y, p, reps, length, seed).withColumnRenamed("auc", f"auc_{k}") for k, p in (("a", a), ("b", b)))
+    both = first.join(second, [*by, "rep"]).select(*by, (F.col("auc_a") - F.col("auc_b")).alias("d"))
+    return both.groupBy(*by).agg(*interval("d")).withColumn("differs", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
+
+
 def normal_tail(z: Column) -> Column:
     """Two-sided p of a standard normal value by the 26.2.17 polynomial of Abramowitz and Stegun."""
     a = F.abs(z)

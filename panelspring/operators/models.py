@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +92,10 @@ def logistic_l2(train: DataFrame, xs: list[str], y: str = "y", c: float = 0.01):
     return LogisticRegression(featuresCol="features", labelCol=y, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(assemble(train, xs))
 
 
+def linear_l2(train: DataFrame, xs: list[str], y: str = "y", reg: float = 0.01):
+    return LinearRegression(featuresCol="features", labelCol=y, regParam=reg, elasticNetParam=0.0).fit(assemble(train, xs))
+
+
 def probability(model, df: DataFrame, xs: list[str], out: str = "p") -> DataFrame:
     """df (rows with all xs) with the probability of class 1."""
     return model.transform(assemble(df, xs)).withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
@@ -142,8 +146,8 @@ def out_of_fold(df: DataFrame, xs: list[str], fit, predict, keys: list[str], out
     return whole
 
 
-def stack(base: dict[str, DataFrame], keys: list[str], y: DataFrame, out: str = "yhat") -> DataFrame:
-    """Ridge meta model on out-of-fold predictions of the base models: rows with y, every base's prediction and out.
+def stack(base: dict[str, DataFrame], keys: list[str], y: DataFrame, out: str = "yhat", meta: str = "ridge") -> DataFrame:
+    """Meta model (ridge, or logistic on probabilities) on out-of-fold predictions of the base models: rows with y, every base's prediction and out.
 
     y has keys, y and role; the meta model is fitted on training rows that every base predicted.
     """
@@ -151,6 +155,9 @@ def stack(base: dict[str, DataFrame], keys: list[str], y: DataFrame, out: str =
     for name, df in base.items():
         wide = wide.join(df.select(*keys, F.col(out).alias(name)), keys, "left")
     names = list(base)
+    if meta == "logistic":
+        wide = wide.dropna(subset=names)
+        return probability(logistic_l2(wide.where("role = 'train'"), names, "y", 1.0), wide, names, out)
     wide = wide.withColumn("__all", F.lit(1))
     return linear_predict(wide, linear_fit(wide, ["__all"], names, "y", 1.0), ["__all"], names, out).drop("__all")
 

@@ -9,6 +9,7 @@ from ..functions import features, targets
 from ..functions.frames import rounded
 from ..functions.metrics import round_all
 from ..operators import calendar, splits
+from ..sources import io
 from . import fixtures as X
 from .fixtures import WD, WO, r6, roll, sql
 
@@ -64,17 +65,24 @@ _columns("f6_volatility_h", lambda p: targets.volatility(R(p)), "feats", ["vol_1
 
 @query("a1_read_prices", sql(f"SELECT market, symbol, date, {r6('close')} AS close, volume FROM prices", "prices"))
 def _(spark, sf):
-    return round_all(X.prices(spark, sf))
+    path = X.scratch(spark, "prices")
+    io.write_table(X.prices(spark, sf), path, io.PRICES)
+    return round_all(io.read_prices(spark, path).select("market", "symbol", "date", "close", "volume"))
 
 
 @query("a2_read_indicators", sql(f"SELECT market, date, code, {r6('value')} AS value FROM indicators", "indicators"))
 def _(spark, sf):
-    return round_all(X.indicators(spark, sf))
+    path = X.scratch(spark, "indicators")
+    io.write_table(X.indicators(spark, sf), path, io.INDICATORS)
+    return round_all(io.read_indicators(spark, path))
 
 
 @query("a3_read_headlines", sql("SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, date, headline, section AS source FROM headlines", "headlines"))
 def _(spark, sf):
-    return X.headlines(spark, sf).select(F.year("date").alias("year"), F.month("date").alias("month"), "date", "headline", F.col("section").alias("source"))
+    path = X.scratch(spark, "headlines")
+    rows = X.headlines(spark, sf).select(F.year("date").alias("year"), F.month("date").alias("month"), "date", "headline", F.col("section").alias("source"))
+    io.write_table(rows, path, io.HEADLINES, "csv")
+    return io.read_headlines(spark, path, multiline=True)
 
 
 @query("e9_sign_run", sql("""SELECT symbol, date, CASE WHEN ret IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY market, symbol, island ORDER BY date) AS INTEGER) END AS sign_run

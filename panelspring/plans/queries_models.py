@@ -57,8 +57,11 @@ def _(spark, sf):
 @query("h3_logistic_l2")
 def _(spark, sf):
     d = _ar(spark, sf)
-    model = models.logistic_l2(d.where("role = 'train'"), AR, "y_dir", 0.01)
-    return models.probability(model, d.where("role = 'test'"), AR).select("symbol", "date", "y_dir", "p")
+    parts = []
+    for c in (0.001, 0.01, 0.1):
+        model = models.logistic_l2(d.where("role = 'train'"), AR, "y_dir", c)
+        parts.append(models.probability(model, d.where("role = 'test'"), AR).select("symbol", "date", F.lit(c).alias("c"), "y_dir", "p"))
+    return calendar.stack_markets(*parts)
 
 
 @query("h4_random_forest")
@@ -75,15 +78,34 @@ def _(spark, sf):
     return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
 
 
-@query("h6_stacking")
-def _(spark, sf):
-    d = _ar(spark, sf)
+def _stacked(spark, sf, y: str, learners: dict, predict, meta: str) -> DataFrame:
+    """Three bases out of fold, and a meta model on them."""
+    d = _ar(spark, sf).withColumn("y", F.col(y).cast("double"))
     keys = ["market", "symbol", "date"]
     oof = splits.expanding_oof(d.where("role <> 'test'").drop("role"), 3).unionByName(d.withColumn("fold", F.lit(9)).withColumn("role", F.when(F.col("role") == "test", "test").otherwise("train")))
-    forest = models.out_of_fold(oof, AR, lambda t, xs: models.random_forest(t, xs, trees=15, depth=4, min_leaf=20), models.prediction, keys, "yhat")
-    boosted = models.out_of_fold(oof, AR, lambda t, xs: models.boosted_trees(t, xs, trees=8), models.prediction, keys, "yhat")
-    y = d.select(*keys, "y", F.when(F.col("role") == "test", "test").otherwise("train").alias("role"))
-    return models.stack({"forest": forest, "boosted": boosted}, keys, y).where("role = 'test'").select("symbol", "date", "y", "forest", "boosted", "yhat")
+    base = {name: models.out_of_fold(oof, AR, fit, predict, keys, "yhat") for name, fit in learners.items()}
+    rows = d.select(*keys, "y", F.when(F.col("role") == "test", "test").otherwise("train").alias("role"))
+    return models.stack(base, keys, rows, meta=meta).where("role = 'test'").select("symbol", "date", "y", *learners, "yhat")
+
+
+@query("h6_stacking")
+def _(spark, sf):
+    learners = {
+        "forest": lambda t, xs: models.random_forest(t, xs, trees=15, depth=4, min_leaf=20),
+        "boosted": lambda t, xs: models.boosted_trees(t, xs, trees=8),
+        "linear": lambda t, xs: models.linear_l2(t, xs),
+    }
+    return _stacked(spark, sf, "y", learners, models.prediction, "ridge")
+
+
+@query("h6_stacking_direction")
+def _(spark, sf):
+    learners = {
+        "forest": lambda t, xs: models.random_forest(t, xs, kind="clf", trees=15, depth=4, min_leaf=20),
+        "boosted": lambda t, xs: models.boosted_trees(t, xs, kind="clf", trees=8),
+        "logistic": lambda t, xs: models.logistic_l2(t, xs),
+    }
+    return _stacked(spark, sf, "y_dir", learners, models.probability, "logistic")
 
 
 _HAR = """SELECT symbol, COUNT(*) AS n, avg(y_logvol) AS my, avg(har_1) AS m1, avg(har_5) AS m2, avg(har_22) AS m3,
@@ -137,20 +159,28 @@ def _(spark, sf):
     return models.validation_curve(spark, model, d.where("is_valid"), AR)
 
 
+def _vhat(spark, sf) -> DataFrame:
+    """Rows with vhat, the predicted volatility: fitted on the differenced target and added to the past level.
+
+    Training rows are predicted out of fold, evaluation rows by a fit on all training rows.
+    """
+    d = _ar(spark, sf)
+    keys = ["market", "symbol", "date"]
+    change = d.withColumn("y", F.col("vol_5") - F.col("rv5_past"))
+    oof = splits.expanding_oof(change.where("role = 'train'").drop("role"), 3)
+    whole = change.withColumn("fold", F.lit(9)).withColumn("role", F.when(F.col("role") == "train", "train").otherwise("test"))
+    vhat = models.out_of_fold(oof.unionByName(whole, allowMissingColumns=True), AR, lambda t, xs: models.boosted_trees(t, xs, trees=8), models.prediction, keys)
+    return d.join(vhat, keys).withColumn("vhat", F.col("vhat") + F.col("rv5_past"))
+
+
 @query("h11_oof_feature")
 def _(spark, sf):
-    d = _ar(spark, sf)
-    oof = splits.expanding_oof(d.drop("role"), 3)
-    vhat = models.out_of_fold(oof, AR, lambda t, xs: models.boosted_trees(t.withColumn("y", F.col("vol_5")), xs, trees=8), models.prediction, ["market", "symbol", "date"])
-    return d.join(vhat, ["market", "symbol", "date"]).select("symbol", "date", "vhat", "vol_5")
+    return _vhat(spark, sf).select("symbol", "date", "role", "vhat", "vol_5")
 
 
 @query("e16_vhat_change")
 def _(spark, sf):
-    d = _ar(spark, sf)
-    oof = splits.expanding_oof(d.drop("role"), 3)
-    vhat = models.out_of_fold(oof, AR, lambda t, xs: models.boosted_trees(t.withColumn("y", F.col("vol_5")), xs, trees=8), models.prediction, ["market", "symbol", "date"])
-    return features.vhat_change(d.join(vhat, ["market", "symbol", "date"])).select("symbol", "date", "vhat_chg")
+    return features.vhat_change(_vhat(spark, sf)).select("symbol", "date", "vhat", "rv5_past", "vhat_chg")
 
 
 @query("h12_ensemble_mean", sql(f"SELECT symbol, date, {r6('avg(yhat)')} AS yhat, COUNT(*) AS members FROM longp GROUP BY symbol, date", "longp"))
@@ -377,7 +407,7 @@ P = inference.P
 
 def _draws(reps: int, length: int) -> str:
     x = f"(48271 * (rep + 1) + 69621 * (blk + 1) + 42) % {P}"
-    q = f"SELECT symbol, n, rep, blk, {x} AS x FROM (SELECT symbol, COUNT(*) AS n FROM preds GROUP BY symbol) CROSS JOIN range({reps}) AS r(rep) JOIN range(10000) AS b(blk) ON blk < ceil(n / {length}.0)"
+    q = f"SELECT symbol, n, rep, blk, {x} AS x FROM (SELECT symbol, n, rep, unnest(range(CAST(ceil(n / {length}.0) AS BIGINT))) AS blk FROM (SELECT symbol, COUNT(*) AS n FROM preds GROUP BY symbol) CROSS JOIN range({reps}) AS r(rep))"
     for _ in range(4):
         q = f"SELECT symbol, n, rep, blk, (x * x + 48271 * x + 69621 * (blk + 1) + rep + 1) % {P} AS x FROM ({q})"
     return f"SELECT symbol, rep, x % (n - {length} + 1) AS start FROM ({q})"
@@ -386,7 +416,7 @@ def _draws(reps: int, length: int) -> str:
 _BLK = """SELECT symbol, row_number() OVER w - 1 AS start, sum((y - yhat_a) * (y - yhat_a)) OVER f AS sa, sum((y - yhat_b) * (y - yhat_b)) OVER f AS sb, sum(y) OVER f AS sy, sum(y * y) OVER f AS syy, count(*) OVER f AS k
 FROM preds WINDOW w AS (PARTITION BY symbol ORDER BY date), f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND {0} FOLLOWING)"""
 _REP = "SELECT symbol, rep, 1 - sum(sa) / (sum(syy) - sum(sy) * sum(sy) / sum(k)) AS ra, 1 - sum(sb) / (sum(syy) - sum(sy) * sum(sy) / sum(k)) AS rb FROM draws JOIN blk USING (symbol, start) GROUP BY symbol, rep"
-REPS = 500
+REPS, PAIRED = 5000, 10_000
 
 
 @query("j1_block_bootstrap", sql(f"SELECT symbol, {r6('quantile_cont(rb, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(rb, 0.975)', 5)} AS ci_hi, COUNT(*) AS reps FROM rep GROUP BY symbol", "preds", draws=_draws(REPS, 10), blk=_BLK.format(9), rep=_REP))
@@ -394,18 +424,33 @@ def _(spark, sf):
     return round_all(inference.bootstrap_r2(X.predictions(spark, sf), BY, ["date"], "y", "yhat_b", REPS), 5)
 
 
-@query("j2_paired_bootstrap", sql(f"SELECT symbol, {r6('quantile_cont(ra - rb, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(ra - rb, 0.975)', 5)} AS ci_hi, quantile_cont(ra - rb, 0.025) > 0 OR quantile_cont(ra - rb, 0.975) < 0 AS differs FROM rep GROUP BY symbol", "preds", draws=_draws(REPS, 10), blk=_BLK.format(9), rep=_REP))
+@query("j2_paired_bootstrap", sql(f"SELECT symbol, {r6('quantile_cont(ra - rb, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(ra - rb, 0.975)', 5)} AS ci_hi, quantile_cont(ra - rb, 0.025) > 0 OR quantile_cont(ra - rb, 0.975) < 0 AS differs FROM rep GROUP BY symbol", "preds", draws=_draws(PAIRED, 10), blk=_BLK.format(9), rep=_REP))
 def _(spark, sf):
-    return round_all(inference.paired_bootstrap_r2(X.predictions(spark, sf), BY, ["date"], "yhat_a", "yhat_b", "y", REPS), 5)
+    return round_all(inference.paired_bootstrap_r2(X.predictions(spark, sf), BY, ["date"], "yhat_a", "yhat_b", "y", PAIRED), 5)
 
 
 _BAUC = """SELECT symbol, rep, sum(one * (2 * below + zero)) / 2.0 / (sum(one) * CAST(sum(zero) AS DOUBLE)) AS auc FROM (SELECT *, coalesce(sum(zero) OVER (PARTITION BY symbol, rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
 FROM (SELECT symbol, rep, p, sum(y_dir) AS one, sum(1 - y_dir) AS zero FROM (SELECT symbol, rep, unnest(range(start, start + 10)) AS place FROM draws) JOIN (SELECT symbol, y_dir, p, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS place FROM preds) USING (symbol, place) GROUP BY ALL)) GROUP BY symbol, rep"""
 
 
-@query("j3_bootstrap_auc", sql(f"SELECT symbol, {r6('quantile_cont(auc, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(auc, 0.975)', 5)} AS ci_hi, {r6('avg(CAST(auc <= 0.5 AS DOUBLE))', 5)} AS p_value FROM ba GROUP BY symbol", "preds", draws=_draws(100, 10), ba=_BAUC))
+@query("j3_bootstrap_auc", sql(f"SELECT symbol, {r6('quantile_cont(auc, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(auc, 0.975)', 5)} AS ci_hi, {r6('avg(CAST(auc <= 0.5 AS DOUBLE))', 5)} AS p_value FROM ba GROUP BY symbol", "preds", draws=_draws(REPS, 10), ba=_BAUC))
+def _(spark, sf):
+    return round_all(inference.bootstrap_auc(X.predictions(spark, sf), BY, ["date"], "y_dir", "p", REPS), 5)
+
+
+#: A second forecast for the paired test: half of the first, half of the one of the day before.
+_P2 = "SELECT *, round((p + coalesce(lag(p) OVER (PARTITION BY symbol ORDER BY date), p)) / 2, 3) AS p2 FROM preds"
+_REPS_AUC = 1000
+
+
+@query("j2_paired_bootstrap_auc", sql(f"SELECT symbol, {r6('quantile_cont(a.auc - b.auc, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(a.auc - b.auc, 0.975)', 5)} AS ci_hi, quantile_cont(a.auc - b.auc, 0.025) > 0 OR quantile_cont(a.auc - b.auc, 0.975) < 0 AS differs FROM ba a JOIN bb b USING (symbol, rep) GROUP BY symbol",
+    "preds", p2=_P2, draws=_draws(_REPS_AUC, 10), ba=_BAUC, bb=_BAUC.replace("SELECT symbol, y_dir, p, row_number()", "SELECT symbol, y_dir, p2 AS p, row_number()").replace("FROM preds)", "FROM p2)")))
 def _(spark, sf):
-    return round_all(inference.bootstrap_auc(X.predictions(spark, sf), BY, ["date"], "y_dir", "p", 100), 5)
+    from pyspark.sql import Window
+
+    d = X.predictions(spark, sf)
+    d = d.withColumn("p2", F.round((F.col("p") + F.coalesce(F.lag("p").over(Window.partitionBy("market", "symbol").orderBy("date")), F.col("p"))) / 2, 3))
+    return round_all(inference.paired_bootstrap_auc(d, BY, ["date"], "p", "p2", "y_dir", _REPS_AUC), 5)
 
 
 _PT = "2 * exp(-abs(dm) * abs(dm) / 2) / sqrt(6.283185307179586) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
@@ -451,12 +496,13 @@ for _n, _c in {"j6_holm": "p_holm", "j7_bonferroni": "p_bonferroni", "j8_bh_fdr"
     query(_n, sql(f"SELECT symbol, CAST(fold AS BIGINT) AS fold, {r6('p_value')} AS p_value, {r6(_c)} AS {_c} FROM adj", "preds", tests=_TESTS, adj=_ADJ))(
         lambda spark, sf, c=_c: round_all(inference.adjust(_tests(spark, sf), BY, order=("fold",)).select("symbol", F.col("fold").cast("long").alias("fold"), "p_value", c))
     )
-_LENGTHS = (5, 10, 15, 20)
+#: The last is twice the longest horizon, 20 days.
+_LENGTHS = (5, 10, 15, 20, 40)
 
 
-@query("j9_block_length", " UNION ALL ".join(f"SELECT * FROM ({sql(f'''SELECT symbol, {n} AS length, {r6('quantile_cont(rb, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(rb, 0.975)', 5)} AS ci_hi FROM rep GROUP BY symbol''', 'preds', draws=_draws(100, n), blk=_BLK.format(n - 1), rep=_REP)})" for n in _LENGTHS))
+@query("j9_block_length", " UNION ALL ".join(f"SELECT * FROM ({sql(f'''SELECT symbol, {n} AS length, {r6('quantile_cont(rb, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(rb, 0.975)', 5)} AS ci_hi FROM rep GROUP BY symbol''', 'preds', draws=_draws(REPS, n), blk=_BLK.format(n - 1), rep=_REP)})" for n in _LENGTHS))
 def _(spark, sf):
-    parts = [round_all(inference.bootstrap_r2(X.predictions(spark, sf), BY, ["date"], "y", "yhat_b", 100, n), 5).select("symbol", F.lit(n).alias("length"), "ci_lo", "ci_hi") for n in _LENGTHS]
+    parts = [round_all(inference.bootstrap_r2(X.predictions(spark, sf), BY, ["date"], "y", "yhat_b", REPS, n), 5).select("symbol", F.lit(n).alias("length"), "ci_lo", "ci_hi") for n in _LENGTHS]
     return calendar.stack_markets(*parts)
 
 

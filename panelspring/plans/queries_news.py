@@ -34,9 +34,9 @@ def _rel(spark, sf) -> DataFrame:
 
 @query("a4_read_candidates", sql("SELECT event_id, section, date, url, relevance_score FROM candidates", "candidates"))
 def _(spark, sf):
-    return X.candidates(spark, sf).select("event_id", "section", "date", "url", "relevance_score")
-
-
+    path = X.scratch(spark, "candidates")
+    io.write_table(X.candidates(spark, sf).withColumn("headline", F.col("event_id").cast("string")), path, io.CANDIDATES)
+    return io.read_candidates(spark, path).select(F.col("headline").cast("long").alias("event_id"), "section", "date", "url", F.col("relevance_score").cast("int").alias("relevance_score"))
 
 
 @query("a5_pages_to_candidates", rf"""SELECT page_id, CAST(n - 1 AS INTEGER) AS n, headline, url, regexp_extract(url, '^(?:[a-z]+://[^/]*)?/([^/?#]*)', 1) AS section, CAST(NULL AS DATE) AS url_date
@@ -55,16 +55,25 @@ def _lexicon(spark) -> DataFrame:
     return spark.sql(f"SELECT col1 AS token, 'x' AS sentiment, CAST(col2 AS DOUBLE) AS polarity FROM {_LEX}")
 
 
-@query("a6_read_lexicon", sql(f"SELECT token, CAST(polarity AS DOUBLE) AS polarity, COUNT(h.headline_id) AS headlines FROM {_LEX} AS l(token, polarity) LEFT JOIN headlines h ON contains(lower(h.headline), token) GROUP BY ALL", "headlines"))
+_TOK = "SELECT headline_id, unnest(list_filter(regexp_split_to_array(lower(headline), '[^a-zà-ÿ]+'), lambda x: x <> '')) AS token FROM headlines"
+
+
+@query("a6_read_lexicon", sql(f"SELECT l.token, CAST(polarity AS DOUBLE) AS polarity, COUNT(DISTINCT headline_id) AS headlines FROM {_LEX} AS l(token, polarity) LEFT JOIN tok t ON t.token = l.token GROUP BY ALL", "headlines", tok=_TOK))
 def _(spark, sf):
-    lex = _lexicon(spark).select("token", "polarity")
-    h = X.headlines(spark, sf)
-    return h.join(F.broadcast(lex), F.contains(F.lower("headline"), F.col("token")), "right").groupBy("token", "polarity").agg(F.count("headline_id").alias("headlines"))
+    path = X.scratch(spark, "lexicon")
+    io.write_table(_lexicon(spark), path, io.LEXICON, "csv")
+    lex = io.read_lexicon(spark, path).select("token", "polarity")
+    tokens = X.headlines(spark, sf).select("headline_id", F.explode(text.tokens(F.col("headline"))).alias("token")).distinct()
+    return lex.join(tokens, "token", "left").groupBy("token", "polarity").agg(F.count("headline_id").alias("headlines"))
 
 
 @query("a7_read_vectors", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim, CASE WHEN abs(CAST(embedding[1] AS DOUBLE)) < 0.0000005 THEN 0.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings")
 def _(spark, sf):
-    return X.table(spark, sf, "embeddings").select("vec_id", "label", F.size("embedding").alias("dim"), rounded(F.col("embedding")[0].cast("double")).alias("first"))
+    path = X.scratch(spark, "vectors")
+    e = X.table(spark, sf, "embeddings")
+    io.write_table(e.select(F.col("label").alias("market"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), path, io.VECTORS)
+    v = io.read_vectors(spark, path)
+    return v.select(F.col("id").cast("long").alias("vec_id"), F.col("market").cast("int").alias("label"), F.size("vec").alias("dim"), rounded(F.col("vec")[0].cast("double")).alias("first"))
 
 
 @query("a8_write_daily", sql("SELECT section, date, url, relevance_score, CAST(year(date) AS INTEGER) AS year FROM candidates WHERE relevance_score >= 6", "candidates"))
@@ -241,9 +250,6 @@ def _(spark, sf):
 
 
 # Text features.
-_TOK = "SELECT headline_id, unnest(list_filter(regexp_split_to_array(lower(headline), '[^a-zà-ÿ]+'), lambda x: x <> '')) AS token FROM headlines"
-
-
 @query("c1_tfidf", sql(f"""SELECT headline_id, token, tf, {r6('ln((docs + 1.0) / (df + 1.0))')} AS idf, {r6('tf * ln((docs + 1.0) / (df + 1.0))')} AS weight
 FROM (SELECT headline_id, token, COUNT(*) AS tf FROM tok GROUP BY ALL) JOIN (SELECT token, COUNT(*) AS n, COUNT(DISTINCT headline_id) AS df FROM tok GROUP BY token ORDER BY n DESC, token LIMIT 500) USING (token)
 CROSS JOIN (SELECT COUNT(*) AS docs FROM headlines)""", "headlines", tok=_TOK))

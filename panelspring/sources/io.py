@@ -13,9 +13,20 @@ LEXICON = "token string, sentiment string, polarity double"
 VECTORS = "market string, date date, id string, vec array<float>"
 
 
-def _read(spark: SparkSession, path: str, schema: str, format: str) -> DataFrame:
+#: Text files have a header, quotes doubled within quotes, and blanks as they are.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _read(spark: SparkSession, path: str, schema: str, format: str, multiline: bool = False) -> DataFrame:
     reader = spark.read.schema(schema).format(format)
-    return (reader.option("header", True) if format == "csv" else reader).load(path)
+    return (reader.options(**_CSV, multiLine=multiline) if format == "csv" else reader).load(path)
+
+
+def write_table(df: DataFrame, path: str, schema: str, format: str = "parquet") -> None:
+    """df under path in one of the layouts of this module: its columns by name, null where df has none."""
+    columns = [c.split() for c in schema.split(", ")]
+    out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns])
+    (out.write.options(**_CSV) if format == "csv" else out.write).format(format).save(path)
 
 
 def read_prices(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -27,9 +38,9 @@ def read_indicators(spark: SparkSession, path: str, format: str = "parquet") ->
     return _read(spark, path, INDICATORS, format)
 
 
-def read_headlines(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """The older five-column layout; a missing date comes from year and month, on the first."""
-    df = _read(spark, path, HEADLINES, format)
+def read_headlines(spark: SparkSession, path: str, format: str = "csv", multiline: bool = False) -> DataFrame:
+    """The older five-column layout; a missing date comes from year and month, on the first. multiline: headlines may hold line breaks."""
+    df = _read(spark, path, HEADLINES, format, multiline)
     return df.withColumn("date", F.coalesce("date", F.make_date("year", "month", F.lit(1))))
 
 
