@@ -1,10 +1,10 @@
 """Benchmark decontamination: spaced-seed hashing with fixed masks.
 
 A mask says which token positions of a span count; the others may hold any token. Masked hashes of the test items are
-joined with those of every position of every document. Of hits that continue one another along a diagonal (the offset
-between both) the first is kept, so that runs of one token cost no more than other text. Along each diagonal aligned
-windows are compared token by token, which tolerates substitutions. All of it is built-in expressions. Only ids,
-positions and hashes are exploded, from pieces of bounded size; token lists are read again for hits alone.
+joined with those of every position of every document. Hits are summed up as diagonals (offsets between both) for each
+document and item, and along each diagonal aligned windows are compared token by token, which tolerates substitutions.
+All of it is built-in expressions. Only ids, positions and hashes are exploded, from pieces of bounded size; token lists
+are read again for hits alone, once for each document and item, and cut to the item's length for each diagonal.
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(df: DataFrame, keep: tuple[str, ...], masks: tuple[str, ...], numbers: tuple[int, ...]) -> DataFrame:
-    """keep, pos (0-based), seed and prev: the hash of each mask (known by its number) at each position of column toks and at the one before.
+    """keep, pos (0-based) and seed: the hash of each mask (known by its number) at each position of column toks.
 
-    prev is null where a piece of the list begins. Lists shorter than the shortest mask give a row of nulls.
+    Lists shorter than the shortest mask give a row of nulls.
     """
     n, least, span = F.size("toks"), min(map(len, masks)), max(map(len, masks))
     piece = lambda i: F.struct(i.alias("base"), F.slice("toks", i + 1, F.lit(PIECE + span)).alias("toks"))
@@ -82,10 +82,8 @@ def seeds(df: DataFrame, keep: tuple[str, ...], masks: tuple[str, ...], numbers:
 
     every = F.concat(*[F.transform(F.sequence(F.lit(0), last), at(k, m)) for k, m in zip(numbers, masks)])
     rows = df.select(*keep, "base", (last + 1).alias("__m"), F.when(last >= 0, every).alias("__s"))
-    shifted = F.slice(F.concat(F.array(F.lit(None).cast("long")), "__s"), F.lit(1), F.size("__s"))
-    rows = rows.select(*keep, "base", "__m", F.posexplode_outer(F.arrays_zip(F.col("__s").alias("seed"), shifted.alias("prev"))).alias("__p", "__x"))
-    here = F.when(F.col("__p").isNotNull(), F.pmod("__p", F.greatest(F.col("__m"), F.lit(1))))
-    return rows.select(*keep, (F.col("base") + here).alias("pos"), F.col("__x.seed").alias("seed"), F.when(here > 0, F.col("__x.prev")).alias("prev"))
+    rows = rows.select(*keep, "base", "__m", F.posexplode_outer("__s").alias("__p", "seed"))
+    return rows.select(*keep, (F.col("base") + F.when(F.col("__p").isNotNull(), F.pmod("__p", F.greatest(F.col("__m"), F.lit(1))))).alias("pos"), "seed")
 
 
 def matches(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -110,12 +108,12 @@ def matches(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, w
     hashes = parts[0]
     for part in parts[1:]:
         hashes = hashes.unionByName(part)
-    hashes = write_shared(hashes.where("seed IS NOT NULL").select("item_id", "seed", F.col("pos").alias("item_at"), F.col("prev").alias("item_prev")).distinct(), "hashes")
+    hashes = write_shared(hashes.where("seed IS NOT NULL").select("item_id", "seed", F.col("pos").alias("item_at")).distinct(), "hashes")
     small = hashes.count() <= BROADCAST_ROWS
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     found = seeds(keyed.select("row_key", tokens(F.col("text")).alias("toks")), ("row_key",), tuple(known), tuple(range(len(known))))
-    hits = found.join(F.broadcast(hashes) if small else hashes, "seed").where(~F.coalesce(F.col("prev") == F.col("item_prev"), F.lit(False)))
-    lines = hits.groupBy("row_key", "item_id").agg(F.collect_set((F.col("pos") - F.col("item_at")).cast("int")).alias("shifts"))
+    hits = found.join(F.broadcast(hashes) if small else hashes, "seed").groupBy("row_key", "item_id", (F.col("pos") - F.col("item_at")).cast("int").alias("shift")).agg(F.count("*").alias("hits"))
+    lines = hits.groupBy("row_key", "item_id").agg(F.collect_list("shift").alias("shifts"))
     # Documents with a hit are few; their texts meet the hits by key, without a shuffle of the texts while the hits are few.
     lines = write_shared(lines, "lines")
     few = lines.agg(F.coalesce(F.sum(F.size("shifts") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
