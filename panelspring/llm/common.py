@@ -176,17 +176,38 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return start, end, np.searchsorted(start, offsets)
 
 
+def word_pieces(data: np.ndarray, most: int = CHUNK_BYTES, back: int = 25) -> Iterator[np.ndarray]:
+    """A text cut at words into pieces of about most bytes and more than `back` words, each but the first with the last `back` words before it.
+
+    Whatever spans at most `back` words of the text stands whole in some piece, and pieces hold nothing that the text does not.
+    """
+    solid = ~_SPACE[data]
+    starts = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    first, begin = 0, 0
+    while True:
+        stop = max(int(np.searchsorted(starts, begin + most)), first + back + 1)
+        if stop >= len(starts):
+            yield data[begin:]
+            return
+        yield data[begin : starts[stop]]
+        first = stop - back
+        begin = int(starts[first])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lower-cased, and the number of each document's first word."""
     start, end, first = words(data, offsets)
     return span_hash(prefix_hash(_LOWER[data]), start, end), first
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, cut: bool = True) -> list[np.ndarray]:
     """For each document the hashes of its word shingles, in text order, repeats included.
 
-    A document of fewer than `width` words, but at least one, has its whole sequence as its one shingle.
+    A document of fewer than `width` words, but at least one, has its whole sequence as its one shingle. A very long one
+    that stands alone is read in pieces, and a few of its shingles are there twice.
     """
+    if cut and len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+        return [np.concatenate([shingles(part, np.array([0, len(part)]), width, False)[0] for part in word_pieces(data)])]
     wh, first = word_hashes(data, offsets)
     k = powers(width)[0]
     total = np.zeros(len(wh), np.uint64)

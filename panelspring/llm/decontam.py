@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import drop_shared, write_shared
 
 #: Fixed masks: 1 counts, 0 is ignored. Chosen so that every stretch of 16 tokens with up to 4 substitutions has a hit.
 MASKS = ("101111", "1110011", "110010101", "11001001001")
@@ -116,6 +116,7 @@ def matches(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, w
     lines = hits.groupBy("row_key", "item_id").agg(F.collect_list("shift").alias("shifts"))
     # Documents with a hit are few; their texts meet the hits by key, without a shuffle of the texts while the hits are few.
     lines = write_shared(lines, "lines")
+    drop_shared(hashes)
     few = lines.agg(F.coalesce(F.sum(F.size("shifts") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
     rows = keyed.join(F.broadcast(lines) if few else lines, "row_key").select("doc_id", "item_id", "shifts", tokens(F.col("text")).alias("toks"))
     bench = bench.withColumnRenamed("item_id", "__item")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import drop_shared, write_shared
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,10 +16,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = labels.agg(F.count("*").alias("n"), F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()
         if now == state:
+            drop_shared(both)
             return labels
         state = now
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         least = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
         least = write_shared(least, "labels")
         up = least.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = write_shared(least.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        before, labels = labels, write_shared(least.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        drop_shared(before, least)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_shared, mix, powers, prefix_hash, slices, span_hash, words, write_shared
+from .common import CHUNK_BYTES, arrow, drop_shared, mix, powers, prefix_hash, slices, span_hash, word_pieces, words, write_shared
 
 BITS = 17
 _CHAR_ORDERS = (1, 2, 3, 4)
@@ -21,9 +21,17 @@ _CHAR_ORDERS = (1, 2, 3, 4)
 _REPEATS = np.array([2, 3, 4, 6, 8, 12, 16, 24])
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """Distinct buckets of each text: words, word pairs, repeats of a word and byte n-grams, none across documents."""
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, cut: bool = True) -> list[np.ndarray]:
+    """Distinct buckets of each text: words, word pairs, repeats of a word and byte n-grams, none across documents.
+
+    A very long text that stands alone is read in pieces.
+    """
     size = 1 << bits
+    if cut and len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+        seen = np.zeros(size, bool)
+        for part in word_pieces(data):
+            seen[features(part, np.array([0, len(part)]), bits, False)[0]] = True
+        return [np.flatnonzero(seen).astype(np.int32)]
     shift = np.uint64(64 - bits)
     start, end, first = words(data, offsets)
     prefix = prefix_hash(data)
