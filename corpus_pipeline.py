@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspring.llm import decontam, minhash, mixing, quality, suffix_dedup
-from panelspring.llm.common import id_bucket, write_shared
-
+from panelspring.llm.common import drop_shared, id_bucket, write_shared
 
 #: Per cent of two documents' shingles that near-duplicates have in common at least.
 SIMILARITY = 80
@@ -102,5 +101,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = write_shared(stage(spark, docs, sf_dir), f"stage{i}")
+        before, docs = docs, write_shared(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            drop_shared(before)
     return docs
