@@ -5,6 +5,7 @@ import math
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,9 +43,136 @@ def test_sql(spark, duck, small, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["h3_logistic_l2", "h5_boosted_trees", "h15_ablation", "h20_pooled_vs_single", "j13_vif", "c11_pca", "c12_explained_variance"])
-def test_rows(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
+def fitted(spark, sf, name):
+    return [r.asDict() for r in QUERIES[name](spark, sf).collect()]
+
+
+def panel_rows(spark, sf, xs):
+    """Rows of the learners' table as numpy: (keys, roles, features, y, y_dir)."""
+    d = queries_models._ar(spark, sf).collect()
+    return [(r["symbol"], r["date"]) for r in d], np.array([r["role"] for r in d]), np.array([[r[x] for x in xs] for r in d]), np.array([r["y"] for r in d]), np.array([r["y_dir"] for r in d], float)
+
+
+def test_logistic_regression_minimises_its_objective(spark, small):
+    """h3 at every C against a Newton solve of the penalised likelihood."""
+    keys, role, x, _, y = panel_rows(spark, small, models.AR)
+    got = {(r["symbol"], r["date"], r["c"]): r["p"] for r in fitted(spark, small, "h3_logistic_l2")}
+    train, test = role == "train", role == "test"
+    a = np.column_stack((x, np.ones(len(x))))
+    assert len(got) == 3 * test.sum() > 0
+    for c in (0.001, 0.01, 0.1):
+        w, pen = np.zeros(a.shape[1]), np.append(np.full(x.shape[1], 1 / c), 0.0)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a[train] @ w))
+            w -= np.linalg.solve((a[train].T * (p * (1 - p))) @ a[train] + np.diag(pen), a[train].T @ (p - y[train]) + pen * w)
+        want = 1 / (1 + np.exp(-a[test] @ w))
+        have = [got[(*keys[i], c)] for i in np.flatnonzero(test)]
+        assert np.abs(want - have).max() < 2e-3
+
+
+def test_trees_repeat_and_beat_the_mean_on_train_rows(spark, small):
+    """h4, h5 and h23: one prediction a test row, within the range of what was learned, the same when run again."""
+    keys, role, _, y, _ = panel_rows(spark, small, models.AR)
+    want = {k for k, r in zip(keys, role) if r == "test"}
+    learned = y[role == "train"]
+    for name in ("h4_random_forest", "h5_boosted_trees"):
+        got = fitted(spark, small, name)
+        assert {(r["symbol"], r["date"]) for r in got} == want and all(abs(r["y"] - dict(zip(keys, y))[r["symbol"], r["date"]]) < 1e-12 for r in got)
+        assert learned.min() - 1 <= min(r["yhat"] for r in got) and max(r["yhat"] for r in got) <= learned.max() + 1
+        again = {(r["symbol"], r["date"]): r["yhat"] for r in fitted(spark, small, name)}
+        assert all(again[r["symbol"], r["date"]] == r["yhat"] for r in got)
+    d = queries_models._ar(spark, small)
+    model = models.random_forest(d.where("role = 'train'"), models.AR, trees=30, depth=6, min_leaf=20)
+    seen = [(r["y"], r["yhat"]) for r in models.prediction(model, d.where("role = 'train'"), models.AR).collect()]
+    assert np.mean([(a - b) ** 2 for a, b in seen]) < 0.9 * np.var([a for a, _ in seen])
+    refit = fitted(spark, small, "h23_refit_train_valid")
+    assert {r["symbol"] for r in refit} == {k[0] for k in want} and sum(r["n"] for r in refit) == len(want) and all(r["r2"] < 1 for r in refit)
+
+
+def test_stacking_is_one_meta_model_of_three_bases(spark, small):
+    got = fitted(spark, small, "h6_stacking")
+    a = np.array([[r["forest"], r["boosted"], r["linear"], 1.0] for r in got])
+    y = np.array([r["yhat"] for r in got])
+    b = np.linalg.lstsq(a, y, rcond=None)[0]
+    assert len(got) > 20 and np.abs(a @ b - y).max() < 1e-6
+    got = fitted(spark, small, "h6_stacking_direction")
+    a = np.array([[r["forest"], r["boosted"], r["logistic"], 1.0] for r in got])
+    p = np.array([r["yhat"] for r in got])
+    z = np.log(p / (1 - p))
+    b = np.linalg.lstsq(a, z, rcond=None)[0]
+    assert set(r["y"] for r in got) == {0.0, 1.0} and np.abs(a @ b - z).max() < 1e-6
+
+
+def test_sweep_and_early_stopping(spark, small):
+    got = fitted(spark, small, "h9_sweep")
+    assert [r["trial"] for r in got] == list(range(len(got))) and len({r["params"] for r in got}) == len(got) and all(0 < r["loss"] < 5 for r in got)
+    names = [x.split("=")[0] for x in got[0]["params"].split(",")]
+    assert names == list(models.SPACE) and len(names) == 8
+    curve = sorted(fitted(spark, small, "h10_early_stop"), key=lambda r: r["trees"])
+    assert [r["trees"] for r in curve] == list(range(1, len(curve) + 1)) and 0 < min(r["loss"] for r in curve) <= curve[0]["loss"]
+
+
+def test_predicted_volatility_is_out_of_fold(spark, small):
+    """h11 and e16: evaluation rows all have a prediction, training rows but the first third; the change is to the past level."""
+    keys, role, _, _, _ = panel_rows(spark, small, models.AR)
+    got = {(r["symbol"], r["date"]): r for r in fitted(spark, small, "h11_oof_feature")}
+    assert len(got) == QUERIES["h11_oof_feature"](spark, small).count()
+    later = [k for k, r in zip(keys, role) if r != "train"]
+    early = sum(r == "train" for r in role)
+    assert all(k in got for k in later) and 0.6 * early < sum(r["role"] == "train" for r in got.values()) < 0.72 * early
+    err = lambda f: np.mean([(f(r) - r["vol_5"]) ** 2 for r in got.values() if r["role"] == "train"])
+    assert err(lambda r: r["vhat"]) < np.var([r["vol_5"] for r in got.values()]) * 2
+    change = fitted(spark, small, "e16_vhat_change")
+    assert len(change) == len(got) and all(r["vhat_chg"] == pytest.approx(r["vhat"] - r["rv5_past"]) and r["vhat"] == pytest.approx(got[r["symbol"], r["date"]]["vhat"]) for r in change)
+
+
+def test_importances_and_platt(spark, small):
+    got = fitted(spark, small, "h14_feature_importance")
+    assert {r["feature"] for r in got} == set(models.AR) and sum(r["importance"] for r in got) == pytest.approx(1) and [r["importance"] for r in got] == sorted((r["importance"] for r in got), reverse=True)
+    rows = sorted(fitted(spark, small, "h18_platt_calibrate"), key=lambda r: r["p"])
+    steps = np.diff([r["p_cal"] for r in rows])
+    assert len(rows) > 20 and (np.all(steps >= -1e-12) or np.all(steps <= 1e-12)) and all(0 < r["p_cal"] < 1 for r in rows)
+    valid = [(r["p"], r["y_dir"]) for r in queries_models._preds(spark, small).where("role = 'valid'").collect()]
+    # The calibrated mean over the rows it was fitted on is their base rate, which fixes the intercept.
+    z = np.array([np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))) for p, _ in valid])
+    y = np.array([v for _, v in valid], float)
+    w = np.zeros(2)
+    a = np.column_stack((z, np.ones(len(z))))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve((a.T * (p * (1 - p))) @ a, a.T @ (p - y))
+    for r in rows[:: max(1, len(rows) // 20)]:
+        q = min(max(r["p"], 1e-6), 1 - 1e-6)
+        assert r["p_cal"] == pytest.approx(1 / (1 + np.exp(-(w[0] * np.log(q / (1 - q)) + w[1]))), abs=1e-3)
+
+
+def test_components_against_a_singular_value_decomposition(spark, small):
+    """c11, c12 against numpy on the embeddings; c2 by the same invariants."""
+    e = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in e if r["label"] < 7], float)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    share = values[::-1] / values.sum()
+    assert [r["share"] for r in sorted(fitted(spark, small, "c12_explained_variance"), key=lambda r: r["component"])] == pytest.approx(share[:15].tolist(), abs=1e-6)
+    got = {r["vec_id"]: r["pca"] for r in fitted(spark, small, "c11_pca")}
+    load = vectors[:, ::-1][:, :15]
+    load = load * np.where(np.abs(load.max(0)) >= np.abs(load.min(0)), 1, -1)
+    for r in e[:50]:
+        assert got[r["vec_id"]] == pytest.approx((np.array(r["embedding"], float) @ load).tolist(), abs=1e-5)
+    terms = np.array([r["pca"] for r in fitted(spark, small, "c2_tfidf_pca")])
+    cov = np.cov(terms.T)
+    assert np.abs(cov - np.diag(np.diag(cov))).max() < 1e-6 * cov.max() + 1e-9 and np.all(np.diff(np.diag(cov)) <= 1e-9)
+
+
+def test_ablation_sees_news(spark, small):
+    """The groups with news read real values: news days exist, and news alone is neither a constant nor the full model."""
+    full = queries_models._full(spark, small)
+    r = full.agg(F.sum("news_available").alias("days"), F.stddev("sent_score_mean").alias("sd"), F.count("*").alias("n")).first()
+    assert 0.1 * r["n"] < r["days"] and r["sd"] > 0
+    by = {(r["symbol"], r["feature_group"]): r["r2"] for r in fitted(spark, small, "h15_ablation")}
+    symbols = {s for s, _ in by}
+    assert {g for _, g in by} == set(models.GROUPS)
+    assert all(by[s, "AR_News"] != by[s, "AR_Only"] and by[s, "Full"] != by[s, "No_News"] for s in symbols)
+    assert len(queries_models.EXTRA) == 34 and len(set(queries_models.EXTRA) | set(models.AR)) == 44
 
 
 def day(n):
