@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
@@ -216,14 +218,17 @@ def search_space(n: int = 100, space: dict[str, list] = SPACE, seed: int = 7) ->
     return [points[order[i % len(points)]] | {"trial": i} for i in range(n)]
 
 
-def sweep(spark, train: DataFrame, valid: DataFrame, xs: list[str], y: str = "y", n: int = 8, space: dict[str, list] = SPACE) -> DataFrame:
-    """(trial, parameters, loss): validation RMSE of boosted trees at n points of the space."""
+def sweep(spark, train: DataFrame, valid: DataFrame, xs: list[str], y: str = "y", n: int = 100, space: dict[str, list] = SPACE, parallel: int = 4) -> DataFrame:
+    """(trial, params, loss): validation RMSE of boosted trees at n points of the space, `parallel` fits at a time."""
     fit, check = assemble(train, xs).cache(), assemble(valid, xs).cache()
-    rows = []
-    for p in search_space(n, space):
+
+    def one(p: dict) -> tuple[int, str, float]:
         model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"], subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]), minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=p["seed"]).fit(fit)
         loss = RegressionEvaluator(labelCol=y, metricName="rmse").evaluate(model.transform(check))
-        rows.append((p["trial"], ",".join(f"{k}={p[k]}" for k in space), float(loss)))
+        return p["trial"], ",".join(f"{k}={p[k]}" for k in space), float(loss)
+
+    with ThreadPool(parallel) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(one), search_space(n, space))
     fit.unpersist()
     check.unpersist()
     return spark.createDataFrame(rows, "trial int, params string, loss double")

@@ -180,7 +180,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     base = base or tempfile.mkdtemp(prefix="panelspring-")
     return f"{base.rstrip('/')}/panelspring/{uuid.uuid4().hex}/{name}"

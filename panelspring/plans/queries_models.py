@@ -67,14 +67,14 @@ def _(spark, sf):
 @query("h4_random_forest")
 def _(spark, sf):
     d = _ar(spark, sf)
-    model = models.random_forest(d.where("role = 'train'"), AR, trees=30, depth=6, min_leaf=20)
+    model = models.random_forest(d.where("role = 'train'"), AR, trees=100, depth=15, min_leaf=20)
     return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
 
 
 @query("h5_boosted_trees")
 def _(spark, sf):
     d = _ar(spark, sf)
-    model = models.boosted_trees(d.where("role = 'train'"), AR, trees=20)
+    model = models.boosted_trees(d.where("role = 'train'"), AR, trees=50)
     return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
 
 
@@ -149,7 +149,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = _ar(spark, sf)
     space = {**models.SPACE, "trees": [5, 10]}
-    return models.sweep(spark, d.where("role = 'train'"), d.where("role = 'valid'"), AR, n=4, space=space)
+    return models.sweep(spark, d.where("role = 'train'"), d.where("role = 'valid'"), AR, n=8, space=space)
 
 
 @query("h10_early_stop")
