@@ -3,10 +3,9 @@
 Documents with equal shingle sets form a class, one representative each. Representatives that share a band of MinHash
 values are candidates. In every bucket each member is compared with one leader, the member whose own buckets are
 fullest (the centre of a family of copies has the commonest values in every band), so work is linear in the bucket.
-Buckets whose members are then still in different components compare sketches across components, in blocks of bounded
-size: first the nearest pair of each two components, and once what these join is contracted, whatever pairs are left.
-Odd sketches (parities of the MinHash samples) reject pairs first; whole sets, which only candidates are joined with,
-confirm what is left.
+Buckets whose members are then still in different components compare across components, in blocks of bounded size, with
+an odd sketch and the least hashes of each member's set. Odd sketches (parities of the MinHash samples) reject pairs
+first; whole sets, which only candidates are joined with, confirm what is left.
 """
 
 from __future__ import annotations
@@ -22,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix, shingles, ship, slices, write_shared
+from .common import arrow, drop_shared, mix, shingles, ship, slices, write_shared
 from .graph import components
 
 ROWS = 5
 SKETCH_BITS = 256
 #: A pair whose sketches estimate a similarity under the threshold less this much is rejected: 6 deviations of the estimate.
 MARGIN = 0.2
+#: Members of a bucket on one side of a comparison.
+BLOCK = 1024
+#: Hashes of a set that blocks hold at most, the least ones, and 6 deviations of what they estimate.
+FEW, FEW_MARGIN = 1024, 0.07
 #: Greatest chance that no band of a pair right at the threshold agrees.
 MISS = 1e-6
 
@@ -134,42 +137,66 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow(both.select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
-def _across(pdf: pd.DataFrame, percent: int, most: int, nearest: bool) -> pd.DataFrame:
-    """Pairs of one block pair that sizes and sketches allow, of members of different components; nearest: one for each two components."""
+def _across(pdf: pd.DataFrame, percent: int, most: int, least: int, margin: float) -> pd.DataFrame:
+    """Candidate pairs of one block pair, of members of different components.
+
+    Column few has the `least` smallest hashes of a member's set. Where these are both sets whole, a pair is given if it is
+    a link, and one pair is enough for each two components that it joins; else if their smallest hashes, as a sketch of
+    the union, estimate a similarity within `margin` of the threshold.
+    """
     first = pdf["own"].iloc[0] == pdf["other"].iloc[0]
     ids, labels, sizes, own = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["size"].to_numpy(), pdf["mine"].to_numpy() == pdf["own"].to_numpy()
     words = np.stack([np.asarray(x, np.int64) for x in pdf["sketch"]]).view(np.uint64)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["few"]]
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x] = top.get(top[x], top[x])
+        return x
+
     out = []
     right = np.arange(len(ids)) if first else np.flatnonzero(~own)
     for i in range(len(ids)) if first else np.flatnonzero(own):
         js = right[right > i] if first else right
         js = js[labels[js] != labels[i]]
         js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
-        bits = np.bitwise_count(words[js] ^ words[i]).sum(1)
-        for j, n in zip(js[bits <= most], bits[bits <= most]):
-            pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
-            if nearest:
-                two = (min(labels[i], labels[j]), max(labels[i], labels[j]))
-                best[two] = min(best.get(two, (n, *pair)), (n, *pair))
-            else:
-                out.append(pair)
-    return pd.DataFrame([p[1:] for p in best.values()] if nearest else out, columns=["a", "b"], dtype=np.int64)
-
-
-def _blocks(n: Column) -> Column:
-    """Blocks of a bucket of n members: a pair of blocks has about 8 sqrt(n) of them, and a member goes to sqrt(n) / 4."""
-    return F.ceil(F.sqrt(n) / 4).cast("int")
-
-
-def _between(labelled: DataFrame, sketches: DataFrame, percent: int, most: int, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (id, bucket, n, label) whose bucket has several components: see _across()."""
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo != hi AND k > 2").select("bucket")
+        js = js[np.bitwise_count(words[js] ^ words[i]).sum(1) <= most]
+        if not len(js):
+            continue
+        mine, theirs = sets[i], np.concatenate([sets[j] for j in js])
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        both = np.add.reduceat(hit, np.cumsum([0] + [len(sets[j]) for j in js[:-1]]), dtype=np.int64)
+        linked = 100 * both >= percent * (sizes[i] + sizes[js] - both)
+        for j, ok in zip(js, linked):
+            if sizes[i] > least or sizes[j] > least:
+                union = np.union1d(mine, sets[j])[:least]
+                common = np.intersect1d(mine, sets[j], assume_unique=True)
+                if np.searchsorted(common, union[-1], "right") >= (percent / 100 - margin) * len(union):
+                    out.append((ids[i], ids[j]))
+            elif ok and (a := find(labels[i])) != (b := find(labels[j])):
+                top[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _between(labelled: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
+    """Candidate pairs (a, b) of members (id, bucket, n, label) whose bucket has several components: see _across().
+
+    Members of a bucket's largest component meet the others only, not each other. Up to BLOCK members are one block;
+    beyond that both sides are dealt over blocks of that size, and every block of the others meets all blocks.
+    """
+    counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("all")).where("all > x.k AND all > 2")
+    mixed = mixed.select("bucket", F.col("x.label").alias("largest"), F.ceil(F.col("x.k") / BLOCK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("x.k")) / BLOCK).cast("int").alias("q"))
     rest = labelled.join(write_shared(mixed, "mixed"), "bucket").join(sketches, "id")
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("id"), _blocks(F.col("n"))).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)))
-    rest = rest.withColumn("own", F.least("mine", "j")).withColumn("other", F.greatest("mine", "j"))
+    large, one, p, q = F.col("label") == F.col("largest"), F.col("n") <= BLOCK, F.col("p"), F.col("q")
+    mine = F.when(one, 0).when(large, F.pmod(F.xxhash64("id"), p)).otherwise(p + F.pmod(F.xxhash64("id"), q)).cast("int")
+    meets = F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.when(large, p).otherwise(0), p + q - 1))
+    rest = rest.withColumn("mine", mine).withColumn("j", F.explode(meets)).withColumn("own", F.least("mine", "j")).withColumn("other", F.greatest("mine", "j"))
     ship(rest.sparkSession)
-    return rest.groupBy("bucket", "own", "other").applyInPandas(lambda pdf: _across(pdf, percent, most, nearest), "a long, b long").distinct()
+    least, margin = FEW, FEW_MARGIN
+    return rest.groupBy("bucket", "own", "other").applyInPandas(lambda pdf: _across(pdf, percent, most, least, margin), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -204,17 +231,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         sets = write_shared(sets.dropDuplicates(["id"]), "sets")
     links = write_shared(confirm(pairs, sets, percent), "links")
     found = components(links)
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for nearest in (True, False):
-        labelled = members.join(found.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        across = write_shared(_between(labelled, sketches, percent, most, nearest), "across")
-        if across.isEmpty():
-            break
-        joined = write_shared(confirm(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "more_links")
-        tried = tried.unionByName(across)
-        if not joined.isEmpty():
-            links = write_shared(links.unionByName(joined), "links")
-            found = components(links)
+    labelled = members.join(found.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    few = sketches.join(sets.select("id", F.substring("shingles", 1, 8 * FEW).alias("few")), "id")
+    joined = write_shared(confirm(write_shared(_between(labelled, few, percent, most), "across"), sets, percent), "more_links")
+    if not joined.isEmpty():
+        links, before = write_shared(links.unionByName(joined), "links"), (links, found)
+        found = components(links)
+        drop_shared(*before)
+    drop_shared(members, fame, pairs, sets, links)
     classes = reps.select("digest", "id", "doc_id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("least"))
     classes = classes.join(least, "label").select("digest", "least")

@@ -132,6 +132,29 @@ def test_next_documents_of_repeated_and_null_ids(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("text", ["long", "one word", "runs"])
+def test_very_long_texts_are_read_in_pieces(monkeypatch, text):
+    """Shingles and indicators of a text do not depend on the size of a piece; bytes are cut into pieces that cover each string once."""
+    import pyarrow as pa
+
+    from panelspring.llm import common
+
+    rng = np.random.default_rng(3)
+    t = {"long": " ".join(f"w{i}" for i in rng.integers(0, 900, 6000)) + " \n é", "one word": "x" * 9000 + " y z " + "ab" * 4000, "runs": "  go " + "very " * 700 + "fast " * 30 + "a " * 23}[text].encode()
+    data, ends = np.frombuffer(t, np.uint8), np.array([0, len(t)])
+    whole = np.unique(common.shingles(data, ends)[0]), quality.features(data, ends)[0]
+    monkeypatch.setattr(common, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(common.word_pieces, "__defaults__", (500, 25))
+    if len(t.split()) > 60:
+        assert len(list(common.word_pieces(data))) > 3
+    cut = np.unique(common.shingles(data, ends)[0]), quality.features(data, ends)[0]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", t.decode(), "cd"])], ["text"])
+    starts = [(int(r), int(b) + i) for row, base, d, o in common.pieces(batch, "text", 199, 500) for k, (r, b) in enumerate(zip(row, base)) for i in range(int(o[k + 1] - o[k]) - 199)]
+    assert starts == [(1, i) for i in range(len(t) - 199)]
+
+
 def test_sketch_algebra():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**64, 4000, dtype=np.uint64), rng.integers(0, 2**64, 1000, dtype=np.uint64)
@@ -296,7 +319,7 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_one_family(spark):
+def test_near_duplicates_in_one_family(spark, monkeypatch):
     """A family in which copies are linked through a centre only, and one with chains."""
     from test_brute_force import near
 
@@ -312,8 +335,13 @@ def test_near_duplicates_in_one_family(spark):
     for i in range(30):
         chain[i * 3 : i * 3 + 2] = [f"d{i}a", f"d{i}b"]
         docs.append((1000 + i, " ".join(chain)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == near(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block, few, percent in ((minhash.BLOCK, minhash.FEW, 85), (7, minhash.FEW, 80), (7, 60, 85)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "FEW_MARGIN", 0.07 if few > 60 else 0.3)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, percent).collect()}
+        assert got == near(docs, percent)
 
 
 def test_odd_sketches_estimate_similarity():
