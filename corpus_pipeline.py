@@ -51,6 +51,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = write_shared(found.join(keyed.select(KEY, "doc_id").distinct(), KEY), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).getField(KEY)
     groups = rows.groupBy("__group").agg(first.alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    # A table of its own, so that a join can split the rows of a large group.
+    groups = write_shared(groups, "groups")
     lost = rows.join(groups, "__group").where(F.col(KEY) != F.col("__first")).select(KEY).distinct()
     return one_of_each(keyed.join(lost, KEY, "left_anti"), rows).select(docs.columns)
 
