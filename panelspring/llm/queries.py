@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, minhash, mixing, quality, suffix_dedup, tokencount, url_filter, warc
+from . import chat, decontam, fingerprint, langid, minhash, mixing, quality, spelling, suffix_dedup, tokencount, trie, url_filter, warc
 from .common import id_bucket, shared_dir, write_shared
 
 
@@ -82,8 +82,39 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = write_shared(trie.sequences(table(spark, sf_dir, "conversations")), "sequences")
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    # At most the first three turns of every twentieth conversation, which meet the conversations that begin with them.
+    heads = own.where(base == F.col("conv_id")).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = id_bucket("conv_id", 4).cast("int")
+    begun = F.coalesce(F.slice("head", F.lit(1), h), F.slice("turns", 1, 0))
+    whole = own.join(heads, base == F.col("base"), "left").select("conv_id", F.concat(begun, F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))).alias("turns"))
+    return trie.prefix_trie(whole)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forged = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string"))
+    out = chat.chats(chat.segments(turns)).select("conv_id", "valid", "first_error", chat.formatted(F.col("segments")).alias("formatted"), chat.loss_text(F.col("segments")).alias("loss"))
+    out = out.select("conv_id", "valid", "first_error", "formatted", "loss", chat.read_back(F.col("formatted")).alias("turns"))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_error",
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=199)
+
+
 def queries() -> dict:
-    ops = (op1_language_id, op2_suffix_dedup, op3_url_filter, op4_fingerprint, op5_warc, op6_mixing, op6_training_order, op7_decontamination, op8_quality, op9_token_counts, op10_minhash)
+    ops = (
+        op1_language_id, op2_suffix_dedup, op3_url_filter, op4_fingerprint, op5_warc, op6_mixing, op6_training_order, op7_decontamination, op8_quality, op9_token_counts, op10_minhash,
+        op11_prefix_trie, op12_chat_format, op13_spelling_variants,
+    )
     return {f.__name__: f for f in ops}
 
 
