@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranges
 from .frames import rounded
 
 
@@ -26,15 +27,15 @@ def rmse_corr(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat") ->
     return rows.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.corr(y, yhat).alias("corr"))
 
 
-def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", most: int = ranges.MOST) -> DataFrame:
     """Exact AUC with ties at one half, from counts by distinct score; null if a class is missing.
 
-    Scores are aggregated first, so a score that many rows share is one row of the window.
+    Scores are aggregated first, so a score that many rows share is one row of the window; a key with more than `most`
+    scores is counted by ranges of the score.
     """
     by_score = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("__1"), F.count("*").alias("__n"))
-    below = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     zeros = F.col("__n") - F.col("__1")
-    ranked = by_score.withColumn("__below", F.coalesce(F.sum(zeros).over(below), F.lit(0)))
+    ranked = ranges.running(by_score, by, [p], {"__below": zeros}, most, own=False)
     wins = F.sum((F.col("__1") * (2 * F.col("__below") + zeros)).cast("decimal(38,0)")).cast("double") / 2
     return ranked.groupBy(*by).agg((wins / F.nullif(F.sum("__1").cast("double") * F.sum(zeros).cast("double"), F.lit(0.0))).alias("auc"))
 
@@ -64,17 +65,23 @@ def difference(metrics: DataFrame, by: list[str], group: str, a: str, b: str, va
     return wide.select(*by, (F.col("a") - F.col("b")).alias("delta"), (F.col("a") / F.nullif(F.col("b"), F.lit(0.0))).alias("ratio"))
 
 
-def calibration_bins(df: DataFrame, by: list[str], order: list[str], bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
-    """Equal-count bins of p: mean forecast, mean outcome, rows. Equal forecasts go by `order`."""
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(p, *order)))
+def calibration_bins(df: DataFrame, by: list[str], order: list[str], bins: int = 10, y: str = "y", p: str = "p", most: int = ranges.MOST) -> DataFrame:
+    """Equal-count bins of p: mean forecast, mean outcome, rows. Equal forecasts go by `order`. Large keys are numbered by ranges of p."""
+    rows = ranges.numbered(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()), by, [p, *order], "__at", most)
+    rows = ranges.same(rows, rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    # As ntile(): the first n % bins bins have one row more.
+    size, more, at = F.floor(F.col("__n") / bins), F.col("__n") % bins, F.col("__at")
+    longer = more * (size + 1)
+    rows = rows.withColumn("bin", (F.when(at < longer, F.floor(at / (size + 1))).otherwise(more + F.floor((at - longer) / F.nullif(size, F.lit(0)))) + 1).cast("int"))
     return rows.groupBy(*by, "bin").agg(F.avg(p).alias("forecast"), F.avg(F.col(y).cast("double")).alias("outcome"), F.count("*").alias("n"))
 
 
-def cumulative_hits(df: DataFrame, by: list[str], order: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Running hit rate in the order of `order`."""
+def cumulative_hits(df: DataFrame, by: list[str], order: list[str], y: str = "y", p: str = "p", most: int = ranges.MOST) -> DataFrame:
+    """Running hit rate in the order of `order`; large keys by ranges of order[0]."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    hit = ((F.col(p) >= 0.5) == (F.col(y) == 1)).cast("double")
-    return rows.withColumn("hit_rate", F.avg(hit).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    hit = ((F.col(p) >= 0.5) == (F.col(y) == 1)).cast("long")
+    sums = ranges.running(rows, by, order, {"__hits": hit, "__rows": F.lit(1)}, most)
+    return sums.withColumn("hit_rate", F.col("__hits") / F.col("__rows")).drop("__hits", "__rows")
 
 
 def fold_summary(folds: DataFrame, by: list[str], value: str) -> DataFrame:

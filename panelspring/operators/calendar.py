@@ -8,29 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS, by_date
+from . import ranges
 
 
 def trading_day_filter(df: DataFrame, calendar: DataFrame) -> DataFrame:
     return df.join(calendar.select("market", "date").distinct(), ["market", "date"], "left_semi")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", most: int = ranges.MOST) -> DataFrame:
     """left with the right row's `on` (as right_on) and values: the last at or before (backward) or first at or after (forward).
 
-    Union of both sides and one window by key: one shuffle, no range join. Several right rows at one time: the greatest
-    values row counts. Left rows with a null time have no match.
+    Only the distinct times of both sides are put in order: rows of left that share a time share their match, and take it by
+    an equi-join. A key with more than `most` times is cut into ranges of time, and the last (first) right row of each is
+    carried into those after (before) it. Several right rows at one time: the greatest values row counts. Left rows with a
+    null time have no match; null keys are equal.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)
-    one = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(F.struct(*values)).alias("__v"))
-    rows = left.withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(one.select(F.struct(F.col(on).alias("right_on"), F.col("__v").alias("v")).alias("x")).schema["x"].dataType))
-    marks = one.select(*by, on, F.lit(0).alias("__side"), F.struct(F.col(on).alias("right_on"), F.col("__v").alias("v")).alias("__r"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
     back = direction == "backward"
-    w = Window.partitionBy(*by).orderBy(on if back else F.col(on).desc(), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    ok = F.col(on).isNotNull()
-    return found.select(*left.columns, F.when(ok, F.col("__m.right_on")).alias("right_on"), *[F.when(ok, F.col(f"__m.v.{v}")).alias(v) for v in values])
+    match = F.struct(F.col(on).alias("right_on"), F.col("__v").alias("v"))
+    marks = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(F.struct(*values)).alias("__v")).select(*by, on, F.lit(0).alias("__side"), match.alias("__r"))
+    times = left.where(F.col(on).isNotNull()).select(*by, on).distinct().withColumn("__side", F.lit(1))
+    rows, hot = ranges.cut(times.unionByName(marks, allowMissingColumns=True), by, on, most)
+    w = ranges.within(by, hot).orderBy(on if back else F.col(on).desc(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__m", F.last("__r", ignorenulls=True).over(w))
+    if hot:
+        at = F.when(F.col("__r").isNotNull(), F.col(on))
+        totals = {"__end": F.max_by("__r", at) if back else F.min_by("__r", at)}
+        rows = ranges.carry(rows, by, totals, {"__c": lambda v: F.last("__end", ignorenulls=True).over(v)}, back=not back).withColumn("__m", F.coalesce("__m", "__c"))
+    found = rows.where("__side = 1").select(*by, on, "__m")
+    joined = ranges.same(left, found, [*by, on])
+    return joined.select(*left.columns, F.col("__m.right_on").alias("right_on"), *[F.col(f"__m.v.{v}").alias(v) for v in values])
 
 
 def roll_to_next_trading_day(news: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -84,8 +92,9 @@ def align_sessions(left: DataFrame, right: DataFrame, left_zone: str, right_zone
 
 
 def winsorize(df: DataFrame, cols: list[str], train: Column, lo: float = 0.01, hi: float = 0.99, keys: tuple[str, ...] = ("market",)) -> DataFrame:
-    """cols held between percentiles of the training rows of each key."""
-    bounds = df.where(train).groupBy(*keys).agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"__{c}") for c in cols])
+    """cols held between percentiles of the training rows of each key, which are exact (see ranges.selected)."""
+    bounds = ranges.selected(df.where(train), list(keys), cols, [lo, hi])
+    bounds = bounds.select(*keys, *[F.array(f"{c}_0", f"{c}_1").alias(f"__{c}") for c in cols])
     joined = df.join(bounds, list(keys), "left")
     return joined.withColumns({c: F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1]) for c in cols}).drop(*[f"__{c}" for c in cols])
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.frames import by_date
+from . import ranges
 
 #: Modulus and multipliers of the portable draws.
 P, M1, M2 = 2147483647, 48271, 69621
-#: Prediction rows up to this number (about 50 bytes each) are broadcast to the draws.
-BROADCAST_ROWS = 500_000
+#: Replicates that one task counts at once.
+CHUNK = 100
 
 
 def draw(rep: Column, blk: Column, seed: int) -> Column:
@@ -71,15 +76,54 @@ def paired_bootstrap_r2(df: DataFrame, by: list[str], order: list[str], a: str,
     return out.withColumn("differs", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 
-def replicate_aucs(rows: DataFrame, by: list[str], order: list[str], y: str, p: str, reps: int, length: int, seed: int) -> DataFrame:
-    """(by, rep, auc); ranks are taken inside each replicate, from counts by score."""
-    placed = rows.select(*by, F.col(y).alias("y"), F.col(p).alias("p"), (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long").alias("at"))
-    starts = block_starts(rows, by, reps, length, seed).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)))
-    # The draws are many times the rows, whatever the planner thinks: rows that are few are broadcast, else both are shuffled.
-    drawn = (starts.join(F.broadcast(placed), [*by, "at"]) if placed.count() <= BROADCAST_ROWS else starts.hint("merge").join(placed, [*by, "at"])).groupBy(*by, "rep", "p").agg(F.sum(F.col("y").cast("long")).alias("one"), F.sum(1 - F.col("y").cast("long")).alias("zero"))
-    below = Window.partitionBy(*by, "rep").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = drawn.withColumn("below", F.coalesce(F.sum("zero").over(below), F.lit(0)))
-    return ranked.groupBy(*by, "rep").agg((F.sum(F.col("one") * (2 * F.col("below") + F.col("zero"))).cast("double") / 2 / F.nullif(F.sum("one").cast("double") * F.sum("zero").cast("double"), F.lit(0.0))).alias("auc"))
+def replicate_aucs(rows: DataFrame, by: list[str], order: list[str], y: str, p: str, reps: int, length: int, seed: int, most: int = ranges.MOST) -> DataFrame:
+    """(by, rep, auc) of contiguous blocks; ranks are taken inside each replicate.
+
+    The rows of a key are sorted by score once. A replicate is a vector of weights, how often its blocks cover each row, from
+    counts of its block starts; one running sum of the weights of class 0 in the order of scores gives its wins. Tasks take
+    ranges of replicates, and for large keys ranges of scores, whose wins across are added from their totals; so what is
+    shuffled is the rows once for each CHUNK of replicates, and a row for each replicate. Keys of fewer rows than a block have none.
+    """
+    placed = ranges.numbered(rows.select(*by, F.col(y).cast("long").alias("y"), F.col(p).cast("double").alias("p"), *order), by, order, "at", most)
+    placed, hot = ranges.cut(placed.select(*by, "y", "p", "at"), by, "p", most)
+    part = [*by, ranges.RANGE] if hot else by
+    sorted_rows = F.array_sort(F.collect_list(F.struct("p", "at", "y")))
+    packed = ranges.same(placed.groupBy(*part).agg(sorted_rows.alias("r")), rows.groupBy(*by).agg(F.count("*").alias("n")), by).where(F.col("n") >= length)
+    packed = packed.select(*part, "n", *[F.col(f"r.{c}").alias(c) for c in ("p", "at", "y")])
+    tasks = packed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(CHUNK))))
+    tasks = tasks.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *part, "rep")
+    schema = StructType([*[packed.schema[c] for c in part], *[StructField(c, LongType()) for c in ("rep", "one", "zero", "wins")]])
+    modulus, m1, m2, chunk = P, M1, M2, CHUNK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, first = batch.column("n")[i].as_py(), batch.column("rep")[i].as_py()
+                score, at, label = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("p", "at", "y"))
+                tie = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
+                blk = np.arange(-(-n // length), dtype=np.int64)
+                out = []
+                for rep in range(first, min(first + chunk, reps)):
+                    x = (m1 * (rep + 1) + m2 * (blk + 1) + seed) % modulus
+                    for _ in range(4):
+                        x = (x * x + m1 * x + m2 * (blk + 1) + rep + 1) % modulus
+                    covered = np.cumsum(np.bincount(x % (n - length + 1), minlength=n))
+                    covered[length:] -= covered[:-length].copy()
+                    weight = covered[at]
+                    one, zero = np.add.reduceat(weight * label, tie), np.add.reduceat(weight * (1 - label), tie)
+                    below = np.cumsum(zero) - zero
+                    out.append((rep, int(one.sum()), int(zero.sum()), int((one * (2 * below + zero)).sum())))
+                same = batch.slice(i, 1).select(part).to_pydict() if part else {}
+                columns = [pa.array(v * len(out), batch.schema.field(c).type) for c, v in same.items()]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([r[k] for r in out], pa.int64()) for k in range(4)]], names=[*part, "rep", "one", "zero", "wins"])
+
+    counted = tasks.mapInArrow(count, schema)
+    wins, one, zero = (F.col(c).cast("decimal(38,0)") for c in ("wins", "one", "zero"))
+    if hot:
+        lower = Window.partitionBy(*by, "rep").orderBy(ranges.RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("wins", wins + 2 * one * F.coalesce(F.sum(zero).over(lower), F.lit(0)))
+    total = lambda c: F.sum(c).cast("double")
+    return counted.groupBy(*by, "rep").agg((total("wins") / 2 / F.nullif(total("one") * total("zero"), F.lit(0.0))).alias("auc"))
 
 
 def bootstrap_auc(df: DataFrame, by: list[str], order: list[str], y: str = "y", p: str = "p", reps: int = 5000, length: int = 10, seed: int = 42) -> DataFrame:
@@ -105,28 +149,34 @@ def normal_tail(z: Column) -> Column:
     return 2 * F.exp(-a * a / 2) / F.sqrt(F.lit(6.283185307179586)) * poly
 
 
-def diebold_mariano(df: DataFrame, by: list[str], order: list[str], e1: Column, e2: Column, h: int = 1, bandwidth: int | None = None, hln: bool = False) -> DataFrame:
+def diebold_mariano(df: DataFrame, by: list[str], order: list[str], e1: Column, e2: Column, h: int = 1, bandwidth: int | None = None, hln: bool = False, most: int = ranges.MOST) -> DataFrame:
     """Mean difference of squared errors over its HAC deviation (Bartlett weights), and a two-sided normal p.
 
-    bandwidth: lags; ceil(n^(1/3)) if not given. hln applies the small-sample factor for horizon h. Null statistic if
-    the loss difference is constant. Each lag is one lag() of the same window and all are summed in one aggregate, so
-    the number of lags must be given or is taken from the largest group.
+    bandwidth: lags; ceil(n^(1/3)) of each key's own n if not given. hln applies the small-sample factor for horizon h. Null
+    statistic if the loss difference is constant. With Bartlett weights the sum over lags equals the scaled mean square of
+    the sums of all blocks of bandwidth + 1 rows, those that reach over either end included. Block sums are differences of a
+    running sum that lie bandwidth + 1 rows apart, so the plan is the same for any number of lags.
     """
     rows = df.withColumn("__d", e1 * e1 - e2 * e2).where("__d IS NOT NULL")
-    lags = bandwidth if bandwidth is not None else int(rows.groupBy(*by).agg(F.ceil(F.pow(F.count("*"), F.lit(1 / 3))).alias("b")).agg(F.max("b")).first()[0] or 1)
-    w = Window.partitionBy(*by)
-    c = rows.withColumn("__c", F.col("__d") - F.avg("__d").over(w)).withColumn("__n", F.count("*").over(w))
-    o = Window.partitionBy(*by).orderBy(*order)
-    c = c.withColumns({f"__g{k}": F.col("__c") * F.lag("__c", k).over(o) for k in range(1, lags + 1)})
-    width = F.lit(float(bandwidth)) if bandwidth is not None else F.ceil(F.pow(F.max("__n"), F.lit(1 / 3))).cast("double")
-    total = F.sum(F.col("__c") * F.col("__c")) / F.count("*")
-    for k in range(1, lags + 1):
-        total = total + 2 * F.greatest(1 - k / (width + 1), F.lit(0.0)) * F.coalesce(F.sum(f"__g{k}"), F.lit(0.0)) / F.count("*")
-    n = F.col("n").cast("double")
+    lags = F.lit(bandwidth) if bandwidth is not None else F.ceil(F.pow(F.count("*"), F.lit(1 / 3)))
+    stats = rows.groupBy(*by).agg(F.avg("__d").alias("__mean"), F.count("*").alias("__n"), (lags + 1).cast("long").alias("__m"))
+    rows = ranges.same(rows.select(*by, *order, "__d"), stats, by)
+    rows = ranges.running(rows, by, order, {"__p": F.col("__d") - F.col("__mean"), "__at": F.lit(1)}, most).select(*by, "__d", "__n", "__m", "__p", "__at")
+    before = rows.select(*by, (F.col("__at") + F.col("__m")).alias("__at"), F.col("__p").alias("__q"))
+    block = F.col("__p") - F.coalesce("__q", F.lit(0.0))
+    # Blocks that begin in the last rows reach over the end.
+    late = (F.col("__at") > F.col("__n") - F.col("__m")) & (F.col("__at") < F.col("__n"))
+    sums = {
+        "whole": F.sum(block * block), "late": F.coalesce(F.sum(F.when(late, F.col("__p"))), F.lit(0.0)), "late2": F.coalesce(F.sum(F.when(late, F.col("__p") * F.col("__p"))), F.lit(0.0)),
+        "lates": F.count_if(late), "end": F.max(F.when(F.col("__at") == F.col("__n"), F.col("__p"))), "mean_diff": F.avg("__d"), "n": F.count("*"), "m": F.max("__m"),
+    }
+    out = ranges.same(rows, before, [*by, "__at"]).groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
+    end, n = F.col("end"), F.col("n").cast("double")
+    over = F.col("late2") - 2 * end * F.col("late") + (F.col("lates") + F.greatest(F.col("m") - F.col("n"), F.lit(0))) * end * end
+    out = out.withColumn("lrv", (F.col("whole") + over) / (F.col("m") * n))
     factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n) if hln else F.lit(1.0)
-    out = c.groupBy(*by).agg(F.avg("__d").alias("mean_diff"), total.alias("lrv"), F.count("*").alias("n"))
     out = out.withColumn("dm", F.col("mean_diff") / F.sqrt(F.when(F.col("lrv") > 1e-300, F.col("lrv") / n)) * factor)
-    return out.withColumn("p_value", normal_tail(F.col("dm")))
+    return out.select(*by, "mean_diff", "lrv", "n", "dm", normal_tail(F.col("dm")).alias("p_value"))
 
 
 def adjust(tests: DataFrame, family: list[str], p: str = "p_value", order: tuple[str, ...] = ()) -> DataFrame:

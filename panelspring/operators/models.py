@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS
 from ..functions.metrics import r2_of
+from . import ranges
 
 
 def naive_mean(df: DataFrame, by: list[str], y: str = "y") -> DataFrame:
@@ -126,6 +127,43 @@ def validation_curve(spark, model, df: DataFrame, xs: list[str], loss: str = "sq
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "trees int, loss double")
 
 
+def patience(losses: list[float], rounds: int = 40) -> tuple[int, int]:
+    """(best, stop), numbers of trees from 1: stop is the first stage that lies `rounds` after the least loss so far, or the last one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= rounds:
+            return best + 1, i + 1
+    return best + 1, len(losses)
+
+
+def truncated(spark, model, trees: int):
+    """A boosted model cut to its first `trees` trees."""
+    java, jvm, gateway = model._java_obj, spark._jvm, spark.sparkContext._gateway
+    kind = "regression" if isinstance(model, GBTRegressionModel) else "classification"
+    parts = gateway.new_array(getattr(jvm.org.apache.spark.ml.regression, "DecisionTreeRegressionModel"), trees)
+    weights = gateway.new_array(jvm.double, trees)
+    for i in range(trees):
+        parts[i], weights[i] = java.trees()[i], float(java.treeWeights()[i])
+    cls = getattr(getattr(jvm.org.apache.spark.ml, kind), type(model).__name__)
+    return type(model)(cls(java.uid(), parts, weights).setFeaturesCol(model.getFeaturesCol()))
+
+
+def early_stopped(spark, train: DataFrame, valid: DataFrame, xs: list[str], y: str = "y", kind: str = "reg", trees: int = 600, rounds: int = 40, **how):
+    """(model, curve): boosted trees stopped by patience on the validation rows, and (trees, loss, best) up to where the rule stopped.
+
+    One full fit; its stages' validation losses come from one more pass over the validation rows. The rule takes the least loss
+    that is not bettered within `rounds` trees, and the model is cut to that stage.
+    """
+    model = boosted_trees(train, xs, y, kind, trees, **how)
+    rows = assemble(valid, xs)
+    losses = list(model.evaluateEachIteration(rows, "squared") if kind == "reg" else model.evaluateEachIteration(rows))
+    best, stop = patience(losses, rounds)
+    curve = spark.createDataFrame([(i + 1, float(v), i + 1 == best) for i, v in enumerate(losses[:stop])], "trees int, loss double, best boolean")
+    return truncated(spark, model, best), curve
+
+
 def importances(spark, model, xs: list[str], top: int = 20) -> DataFrame:
     """(feature, importance) of a tree model, the `top` largest."""
     rows = [(x, float(v)) for x, v in zip(xs, model.featureImportances.toArray())]
@@ -164,39 +202,30 @@ def stack(base: dict[str, DataFrame], keys: list[str], y: DataFrame, out: str =
     return linear_predict(wide, linear_fit(wide, ["__all"], names, "y", 1.0), ["__all"], names, out).drop("__all")
 
 
-def garch_grid(returns: DataFrame, by: list[str], grid: list[tuple[float, float, float, float]], ret: str = "ret") -> DataFrame:
-    """(by, omega, alpha, beta, gamma, loglik): Gaussian log-likelihood of GARCH(1,1), or GJR where gamma is not 0, for each grid point.
-
-    The variance recursion is a fold over the series' returns in date order; it starts at the mean squared return. One
-    series is one array, so many series and grid points run in parallel.
-    """
-    params = F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("omega", "alpha", "beta", "gamma"), g)]) for g in grid]))
-    series = returns.where(F.col(ret).isNotNull()).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", ret))), lambda x: x[ret]).alias("r"), F.avg(F.col(ret) * F.col(ret)).alias("h0"))
-    rows = series.withColumn("g", params)
+def _variances(returns: DataFrame, by: list[str], grid: list[tuple[float, float, float, float]], ret: str, most: int) -> DataFrame:
+    """(by, date, ret, h0, h_0, h_1, ...): the conditional variance of every return at each grid point, in one scan."""
+    rows = returns.where(F.col(ret).isNotNull()).select(*by, "date", ret)
+    rows = ranges.same(rows, rows.groupBy(*by).agg(F.avg(F.col(ret) * F.col(ret)).alias("h0")), by)
+    r = F.col(ret)
+    shock = lambda omega, alpha, gamma: F.lit(float(omega)) * F.col("h0") + (F.lit(float(alpha)) + F.when(r < 0, F.lit(float(gamma))).otherwise(0.0)) * r * r
+    return ranges.affine_scan(rows, by, "date", {f"h_{i}": (shock(o, a, g), F.lit(float(b))) for i, (o, a, b, g) in enumerate(grid)}, F.col("h0"), most)
 
-    def step(a: Column, r: Column) -> Column:
-        nxt = F.col("g.omega") * F.col("h0") + (F.col("g.alpha") + F.when(r < 0, F.col("g.gamma")).otherwise(0.0)) * r * r + F.col("g.beta") * a["h"]
-        return F.struct(nxt.alias("h"), (a["l"] - 0.5 * (1.8378770664093453 + F.log(a["h"]) + r * r / a["h"])).alias("l"))
 
-    ll = F.aggregate("r", F.struct(F.col("h0").alias("h"), F.lit(0.0).alias("l")), step, lambda a: a["l"])
-    return rows.select(*by, "g.omega", "g.alpha", "g.beta", "g.gamma", ll.alias("loglik"))
-
-
-def garch_filter(returns: DataFrame, by: list[str], omega: float, alpha: float, beta: float, gamma: float = 0.0, ret: str = "ret") -> DataFrame:
-    """(by, date, ret, variance): the conditional variance of every return, by the recursion of garch_grid() with omega times the mean square.
+def garch_grid(returns: DataFrame, by: list[str], grid: list[tuple[float, float, float, float]], ret: str = "ret", most: int = ranges.MOST) -> DataFrame:
+    """(by, omega, alpha, beta, gamma, loglik): Gaussian log-likelihood of GARCH(1,1), or GJR where gamma is not 0, for each grid point.
 
-    One series is one array while it is folded: series are daily, so a century is 36,500 numbers.
+    The variance recursion h <- a + beta * h is a scan of affine maps (see ranges.affine_scan), for all grid points at once; it
+    starts at the mean squared return. Long series are scanned in many tasks.
     """
-    series = returns.where(F.col(ret).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", ret))).alias("r"), F.avg(F.col(ret) * F.col(ret)).alias("h0"))
+    rows = _variances(returns, by, grid, ret, most)
+    loglik = lambda i: F.sum(-0.5 * (1.8378770664093453 + F.log(f"h_{i}") + F.col(ret) * F.col(ret) / F.col(f"h_{i}")))
+    fits = rows.groupBy(*by).agg(F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("omega", "alpha", "beta", "gamma"), g)], loglik(i).alias("loglik")) for i, g in enumerate(grid)]).alias("x"))
+    return fits.select(*by, F.inline("x"))
 
-    def step(a: Column, x: Column) -> Column:
-        r = x[ret]
-        nxt = F.lit(omega) * F.col("h0") + (F.lit(alpha) + F.when(r < 0, F.lit(gamma)).otherwise(0.0)) * r * r + F.lit(beta) * F.element_at(a, -1)
-        return F.concat(a, F.array(nxt))
 
-    h = F.aggregate("r", F.array("h0"), step)
-    rows = series.select(*by, F.inline(F.arrays_zip(F.col("r").alias("x"), F.slice(h, F.lit(1), F.size("r")).alias("variance"))))
-    return rows.select(*by, F.col("x.date").alias("date"), F.col(f"x.{ret}").alias(ret), "variance")
+def garch_filter(returns: DataFrame, by: list[str], omega: float, alpha: float, beta: float, gamma: float = 0.0, ret: str = "ret", most: int = ranges.MOST) -> DataFrame:
+    """(by, date, ret, variance): the conditional variance of every return, by the recursion of garch_grid() with omega times the mean square."""
+    return _variances(returns, by, [(omega, alpha, beta, gamma)], ret, most).select(*by, "date", ret, F.col("h_0").alias("variance"))
 
 
 def garch_best(fits: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import checks
+
 # The five named close-summary phrases and documented variants of them.
 CLOSE_PATTERNS = [
     "closed at", "stocks close", "ended the day", "after the bell", "market close", "markets close", "close higher", "close lower",
@@ -170,7 +172,13 @@ def candidates_per_day(df: DataFrame) -> DataFrame:
     return df.groupBy("market", "date").agg(F.count("*").alias("n_cand"))
 
 
-def reselect(candidates: DataFrame, market: str, start: str, end: str, k: int = 10, threshold: int = THRESHOLD, order: tuple[str, ...] = ("url",)) -> DataFrame:
-    """Select again from stored candidates; market and dates are filters that reach a partitioned scan."""
+def reselect(candidates: DataFrame, market: str, start: str, end: str, k: int = 10, threshold: int = THRESHOLD, order: tuple[str, ...] = ("url",), stored: DataFrame | None = None) -> DataFrame:
+    """Select again from stored candidates; market and dates are filters that reach a partitioned scan.
+
+    With `stored`, an earlier selection, nothing is selected anew but compared: see checks.differing_days(). Its columns count.
+    """
     part = candidates.where((F.col("market") == market) & F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
-    return guarantee_daily(part, k, threshold, order)
+    chosen = guarantee_daily(part, k, threshold, order)
+    if stored is None:
+        return chosen
+    return checks.differing_days(stored.where((F.col("market") == market) & F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))), chosen)

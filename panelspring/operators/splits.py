@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS, by_date
+from . import ranges
 
 
 def chrono_split(df: DataFrame, train: float = 0.70, valid: float = 0.15, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -98,9 +99,15 @@ def scaled(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ("fold",), tr
     return joined.withColumns(z).drop(*[f"__{p}_{c}" for c in cols for p in "ms"])
 
 
-def rank_scaled(df: DataFrame, col: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """col_rank: share of training values of the key at or below the row's value (0 to 1)."""
-    w = Window.partitionBy(*keys).orderBy(col).rangeBetween(Window.unboundedPreceding, 0)
+def rank_scaled(df: DataFrame, col: str, keys: tuple[str, ...] = KEYS, most: int = ranges.MOST) -> DataFrame:
+    """col_rank: share of training values of the key at or below the row's value (0 to 1). Large keys are ranked by ranges of the value."""
+    by = list(keys)
     known = F.when((F.col("role") == "train") & F.col(col).isNotNull(), F.lit(1))
-    share = F.count(known).over(w) / F.nullif(F.count(known).over(Window.partitionBy(*keys)).cast("double"), F.lit(0.0))
-    return df.withColumn(f"{col}_rank", F.when(F.col(col).isNotNull(), share))
+    rows, hot = ranges.cut(df, by, col, most)
+    below = F.count(known).over(ranges.within(by, hot).orderBy(col).rangeBetween(Window.unboundedPreceding, 0))
+    if hot:
+        rows = ranges.carry(rows, by, {"__k": F.count(known)}, {"__before": lambda w: F.sum("__k").over(w)})
+        below = below + F.coalesce("__before", F.lit(0))
+    rows = ranges.same(rows, df.groupBy(*by).agg(F.count(known).alias("__all")), by)
+    share = below / F.nullif(F.col("__all").cast("double"), F.lit(0.0))
+    return rows.select(*df.columns, F.when(F.col(col).isNotNull(), share).alias(f"{col}_rank"))

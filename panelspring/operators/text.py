@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import by_date, full, mean, trailing
+from . import ranges
 
 DAY = ("market",)
 SENTIMENT = ["news_volume", "sent_pos_mean", "sent_neg_mean", "sent_neu_mean", "sent_score_mean", "sent_score_std", "sent_max_neg", "sent_pos_ratio", "sent_neg_ratio"]
@@ -77,17 +78,38 @@ def sentiment_dynamics(daily: DataFrame) -> DataFrame:
     return df.withColumn("news_volume_chg", F.col("news_volume") - F.lag("news_volume").over(by_date(*DAY)))
 
 
-def ewma(c: str, span: int, rows: int = 60, keys: tuple[str, ...] = DAY) -> Column:
-    """Exponentially weighted mean over the last `rows` rows, weights (1 - 2/(span+1))^i, newest first, divided by their sum."""
-    keep = 1 - 2 / (span + 1)
-    values = F.collect_list(c).over(trailing(rows, keys=keys))
-    fold = F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, x: F.struct((a["s"] * keep + x).alias("s"), (a["w"] * keep + 1.0).alias("w")), lambda a: a["s"] / F.nullif(a["w"], F.lit(0.0)))
-    return fold
+def ewma(df: DataFrame, cols: dict[str, tuple[str, int]], on: str = "date", rows: int = 60, keys: tuple[str, ...] = DAY, most: int = ranges.MOST) -> DataFrame:
+    """df with exponentially weighted means: cols[out] is (column, span), weights (1 - 2/(span+1))^i, newest first, divided by their sum.
+
+    The mean covers the known values of the last `rows` rows. The weighted sum of the whole past is a recursion (see
+    ranges.affine_scan); what it was `rows` rows ago, times the weight of that age, is taken off.
+    """
+    by, keep = list(keys), {out: 1 - 2 / (span + 1) for out, (_, span) in cols.items()}
+    known = {c: F.when(F.col(c).isNotNull(), F.lit(1.0)) for c, _ in cols.values()}
+    maps = {f"__e_{out}": (F.col(c), F.lit(keep[out])) for out, (c, _) in cols.items()} | {f"__n_{c}": (x, F.lit(1.0)) for c, x in known.items()}
+    scanned = ranges.affine_scan(df, by, on, maps, F.lit(0.0), most)
+    # From before each row to after it.
+    after = {f"__e_{out}": F.when(F.col(c).isNull(), F.col(f"__e_{out}")).otherwise(F.col(c) + keep[out] * F.col(f"__e_{out}")) for out, (c, _) in cols.items()}
+    scanned = scanned.withColumns(after | {f"__n_{c}": F.col(f"__n_{c}") + F.coalesce(x, F.lit(0.0)) for c, x in known.items()})
+    scanned, hot = ranges.cut(scanned, by, on, most)
+    if hot:
+        scanned = ranges.numbered(scanned.drop(ranges.RANGE), by, [on], "__at", most)
+        old = scanned.select(*by, (F.col("__at") + rows).alias("__at"), *[F.col(c).alias(f"__old{c}") for c in maps])
+        scanned = ranges.same(scanned, old, [*by, "__at"])
+    else:
+        scanned = scanned.withColumns({f"__old{c}": F.lag(c, rows).over(Window.partitionBy(*by).orderBy(on)) for c in maps})
+
+    def value(out: str, c: str) -> Column:
+        n = F.col(f"__n_{c}") - F.coalesce(f"__old__n_{c}", F.lit(0.0))
+        gone = F.pow(F.lit(keep[out]), n)
+        return (F.col(f"__e_{out}") - gone * F.coalesce(f"__old__e_{out}", F.lit(0.0))) / F.nullif((1 - gone) / (1 - keep[out]), F.lit(0.0))
+
+    return scanned.select(*df.columns, *[value(out, c).alias(out) for out, (c, _) in cols.items()])
 
 
 def smoothed_sentiment(daily: DataFrame, spans: tuple[int, ...] = (5, 20)) -> DataFrame:
     cols = {"score": "sent_score_mean", "neg": "sent_neg_mean", "maxneg": "sent_max_neg"}
-    return daily.withColumns({f"ewm_{k}_{s}": ewma(c, s) for k, c in cols.items() for s in spans})
+    return ewma(daily, {f"ewm_{k}_{s}": (c, s) for k, c in cols.items() for s in spans})
 
 
 def news_intensity(cands: DataFrame, topics: list[str], high: int = 3) -> DataFrame:

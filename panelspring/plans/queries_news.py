@@ -101,6 +101,22 @@ def _(spark, sf):
     return news.reselect(X.candidates(spark, sf), "ALL", "2024-01-05", "2024-01-20", 3, 7, ("url", "event_id")).select("event_id", "date", "day_rank", "is_fallback")
 
 
+#: A stored selection that lost its rows of one section on some days and has a changed score on others.
+_STORED = "SELECT event_id, market, date, CASE WHEN event_id % 11 = 3 AND day(date) = 9 THEN relevance_score + 1 ELSE relevance_score END AS relevance_score, day_rank FROM chosen WHERE NOT (section = 'view' AND day(date) % 5 = 0)"
+_CHOSEN = "SELECT event_id, market, date, section, relevance_score, day_rank FROM top WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-02-01' AND ((relevance_score >= 7 AND day_rank <= 3) OR (best < 7 AND day_rank = 1))"
+_SIDES = """SELECT market, date, event_id, relevance_score, day_rank, 1 AS a, 0 AS b FROM stored UNION ALL SELECT market, date, event_id, relevance_score, day_rank, 0, 1 FROM chosen"""
+
+
+@query("a10_reselect_verify", sql("""SELECT date, CAST(sum(a) AS BIGINT) AS n_stored, CAST(sum(b) AS BIGINT) AS n_computed, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS only_stored, CAST(sum(greatest(b - a, 0)) AS BIGINT) AS only_computed
+FROM (SELECT market, date, event_id, relevance_score, day_rank, sum(a) AS a, sum(b) AS b FROM sides GROUP BY ALL) GROUP BY date HAVING sum(abs(a - b)) > 0""", "candidates", top=_TOP, chosen=_CHOSEN, stored=_STORED, sides=_SIDES))
+def _(spark, sf):
+    c = X.candidates(spark, sf)
+    span = ("ALL", "2024-01-05", "2024-02-01", 3, 7, ("url", "event_id"))
+    score = F.when((F.col("event_id") % 11 == 3) & (F.day("date") == 9), F.col("relevance_score") + 1).otherwise(F.col("relevance_score"))
+    stored = news.reselect(c, *span).where("NOT (section = 'view' AND day(date) % 5 = 0)").select("event_id", "market", "date", score.alias("relevance_score"), "day_rank")
+    return news.reselect(c, *span, stored=stored).drop("market")
+
+
 @query("a11_write_metrics", sql("SELECT section, COUNT(*) AS n, 'run_b' AS run_id FROM candidates GROUP BY section UNION ALL SELECT section, COUNT(*) * 2, 'run_a' FROM candidates GROUP BY section", "candidates"))
 def _(spark, sf):
     path = X.scratch(spark, "metrics")
