@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from . import ranges
+from ..functions import metrics
+from ..functions.frames import KEYS
+from . import models, ranges, splits
 
 #: Coefficients that the driver and every task hold at once.
 MOST_COEFFICIENTS = 5_000_000
@@ -33,19 +35,11 @@ class Candidate:
     c: float
 
 
-def _key_rows(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Each key of a batch with the numbers of its rows."""
-    keys = list(zip(*[batch.column(k).to_pylist() for k in by])) if by else [()] * batch.num_rows
-    at: dict[tuple, list[int]] = {}
-    for i, k in enumerate(keys):
-        at.setdefault(k, []).append(i)
-    for k, rows in at.items():
-        yield k, np.array(rows)
-
-
-def fit_logistic(df: DataFrame, by: list[str], y: str, candidates: list[Candidate], rounds: int = 30, tolerance: float = 1e-8) -> DataFrame:
+def fit_logistic(df: DataFrame, by: list[str], y: str, candidates: list[Candidate], rounds: int = 30, tolerance: float = 1e-8, only: dict[tuple, str] | None = None) -> DataFrame:
     """(by, candidate, beta, intercept, n, rounds): logistic regressions of y (0 or 1) on each candidate's columns, for each key.
 
+    With `only`, a key is fitted for the candidate named there, and not at all if it is not there.
+
     The sum of log losses plus |beta|^2 / (2 C) is minimised; the intercept is free. Rows with a null in y or in any
     candidate's column are left out, so all candidates see the same rows. A step that does not lower the objective is halved.
     Null keys are keys. Keys of one class only end near a large intercept after `rounds` rounds.
@@ -60,14 +54,15 @@ def fit_logistic(df: DataFrame, by: list[str], y: str, candidates: list[Candidat
         fits = []
         for part in range(max(1, parts)):
             own = rows if parts <= 1 else rows.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == part)
-            fits += _fit_part(own, by, every, number, candidates, rounds, tolerance)
+            fits += _fit_part(own, by, every, number, candidates, rounds, tolerance, only)
     finally:
         rows.unpersist()
     schema = StructType([*[df.schema[k] for k in by], StructField("candidate", StringType()), *StructType.fromDDL("beta array<double>, intercept double, n long, rounds int").fields])
     return df.sparkSession.createDataFrame(fits, schema)
 
 
-def _fit_part(rows: DataFrame, by: list[str], every: list[str], number: list[list[int]], candidates: list[Candidate], rounds: int, tolerance: float) -> list[tuple]:
+def _fit_part(rows: DataFrame, by: list[str], every: list[str], number: list[list[int]], candidates: list[Candidate], rounds: int, tolerance: float, only: dict[tuple, str] | None) -> list[tuple]:
+    allowed = None if only is None else {k: next(m for m, c in enumerate(candidates) if c.name == name) for k, name in only.items()}
     penalty = [1 / c.c for c in candidates]
     context = rows.sparkSession.sparkContext
     key_fields = [rows.schema[k] for k in by]
@@ -88,8 +83,13 @@ def _fit_part(rows: DataFrame, by: list[str], every: list[str], number: list[lis
                     continue
                 label = batch.column("__y").to_numpy()
                 x = np.column_stack([*[batch.column(c).to_numpy() for c in every], np.ones(batch.num_rows)])
-                for key, at in _key_rows(batch, by):
+                own: dict[tuple, list[int]] = {}
+                for i, k in enumerate(zip(*[batch.column(c).to_pylist() for c in by])):
+                    own.setdefault(k, []).append(i)
+                for key, at in (own or {(): list(range(batch.num_rows))}).items():
                     for m, use in enumerate(number):
+                        if allowed is not None and allowed.get(key) != m:
+                            continue
                         w = np.zeros(len(use) + 1) if start else now.get((key, m))
                         if w is None:
                             continue
@@ -171,22 +171,25 @@ def predict_logistic(df: DataFrame, fits: DataFrame, by: list[str], candidates:
 def refit_chosen(df: DataFrame, chosen: DataFrame, by: list[str], y: str, candidates: list[Candidate], keep: list[str], role: str = "role") -> DataFrame:
     """(by, keep, candidate, p): the test rows of each key, predicted by its chosen candidate, fitted on the key's training rows.
 
-    chosen has by and candidate. Keys are grouped by their choice; a key is fitted for its own candidate only.
+    chosen has by and candidate, a row for each key. All keys share their Newton steps, whatever their choice.
     """
-    met = ranges.same(df, chosen.select(*by, F.col("candidate").alias("__chosen")), by, "inner").persist()
-    try:
-        parts = []
-        names = {r[0] for r in met.select("__chosen").distinct().collect()}
-        for c in candidates:
-            if c.name in names:
-                own = met.where(F.col("__chosen") == c.name)
-                fits = fit_logistic(own.where(F.col(role) == "train"), by, y, [c])
-                parts.append(predict_logistic(own.where(F.col(role) == "test"), fits, by, [c], keep))
-    finally:
-        met.unpersist()
-    if not parts:
-        return predict_logistic(df.limit(0), fit_logistic(df.limit(0), by, y, candidates[:1]), by, candidates[:1], keep)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    only = {tuple(r[k] for k in by): r["candidate"] for r in chosen.collect()}
+    fits = fit_logistic(df.where(F.col(role) == "train"), by, y, candidates, only=only)
+    return predict_logistic(df.where(F.col(role) == "test"), fits, by, candidates, keep)
+
+
+def nested(outer: DataFrame, by: list[str], y: str, candidates: list[Candidate], keep: list[str], blocks: int = 3, series: tuple[str, ...] = (*KEYS, "fold")) -> tuple[DataFrame, DataFrame]:
+    """(chosen, predictions): for each key of outer (by, role, series, date) the candidate with the best mean inner AUC, refitted, on its test rows.
+
+    The last half of a key's training rows is cut into `blocks` expanding inner folds by series. All inner fits of all keys, folds
+    and candidates share their Newton steps (see fit_logistic). chosen: by, candidate, inner_score, candidates, ties by name;
+    predictions: by, keep, candidate, p. Test rows take no part in the choice or in the fit.
+    """
+    inner = splits.inner_folds(outer, blocks, series)
+    key = [*by, "inner_fold"]
+    fits = fit_logistic(inner.where("inner_role = 'train'"), key, y, candidates)
+    scored = predict_logistic(inner.where("inner_role = 'test'"), fits, key, candidates, [y])
+    chosen = models.nested_select(metrics.auc(scored, [*key, "candidate"], y, "p"), by, "candidate", "auc")
+    # A few rows, held so that the choice is made once.
+    chosen = outer.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    return chosen, refit_chosen(outer, chosen, by, y, candidates, keep)

@@ -194,7 +194,7 @@ def adjust(tests: DataFrame, family: list[str], p: str = "p_value", order: tuple
 
 
 def verdict(df: DataFrame, ci_lo: str = "ci_lo", gains: tuple[str, ...] = ()) -> DataFrame:
-    """verdict: significant if ci_lo > 0.5; improved only if every gain is positive too; else none."""
+    """verdict: significant if ci_lo, the lower bound of the AUC's interval, is over 0.5; improved only if every gain over a baseline is positive too; else none."""
     better = F.lit(True)
     for g in gains:
         better = better & (F.col(g) > 0)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS
 from ..functions.metrics import r2_of
-from . import ranges
+from . import gram, ranges
+from .text import SENTIMENT
 
 
 def naive_mean(df: DataFrame, by: list[str], y: str = "y") -> DataFrame:
@@ -28,14 +29,10 @@ def naive_mean(df: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     return df.where(F.col("role") == "test").join(means, by, "left")
 
 
-def _moments(df: DataFrame, by: list[str], xs: list[str], y: str, groups: list[list[int]] | None = None) -> DataFrame:
-    """Means and covariances of xs and y over the training rows of each key that have them all: one aggregate.
-
-    With groups of column numbers only pairs that some group has are taken.
-    """
+def _moments(df: DataFrame, by: list[str], xs: list[str], y: str) -> DataFrame:
+    """Means and covariances of xs and y over the training rows of each key that have them all: one aggregate."""
     rows = df.where(F.col("role") == "train").dropna(subset=[*xs, y])
-    p = len(xs)
-    pairs = sorted({(min(i, j), max(i, j)) for g in groups or [list(range(p))] for i in g for j in g})
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
     agg = [F.count("*").cast("double").alias("n"), F.avg(y).alias("my")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
     agg += [F.covar_pop(xs[i], xs[j]).alias(f"s{i}_{j}") for i, j in pairs] + [F.covar_pop(x, y).alias(f"c{i}") for i, x in enumerate(xs)]
     return rows.groupBy(*by).agg(*agg)
@@ -317,39 +314,49 @@ def fold_logit_standardize(df: DataFrame, by: list[str], p: str = "p") -> DataFr
     return rows.where("role = 'test'").join(stats, by, "left").withColumn("z", (F.col("__z") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).drop("__z", "__m", "__s")
 
 
-#: Feature groups by name: which columns of the feature table a fit may see. F0 is AR_Only and F1 AR_News.
+#: Feature groups by name: which columns of the feature table a fit may see. F0 is AR_Only and F1 AR_News. AR is what learners see.
 AR = ["ret_lag1", "ret_lag2", "absret_lag1", "absret_lag2", "absret_lag3", "rolling_std_5", "rolling_std_20", "har_22", "leverage_5d", "rsi_14"]
-NEWS = ["news_volume", "sent_score_mean", "sent_score_std", "sent_max_neg", "sent_pos_ratio"]
-INTENSITY = ["n_cand_ratio", "n_hi_ratio", "mean_relevance_ratio"]
-SMOOTHED = ["ewm_score_5", "ewm_neg_5", "ewm_maxneg_5"]
-CLEAN = ["vix_chg_5d", "vix_ma5_ratio"]
-FINANCIAL = [*CLEAN, "vix_term", "credit_5d"]
+AR_ALL = [
+    *AR, "ret", "absret", "ret_lag3", "ret_lag4", "ret_lag5", "rolling_std_22", "har_5", "har_20", "leverage_20d", "vol_ratio_5_20", "absret_surprise", "rolling_ret_5d", "rolling_ret_20d",
+    "rv5_past", "sign_run",
+]
+DOW = [f"dow_{i}" for i in range(5)]
+DYNAMICS = ["sent_ma5", "sent_ma20", "sent_surprise", "sent_momentum_3d", "sent_vol_5d", "news_volume_chg"]
+NEWS = [*SENTIMENT, *DYNAMICS, "news_available"]
+INTENSITY = ["n_cand", "n_hi", "mean_relevance", "n_cand_ratio", "n_hi_ratio", "mean_relevance_ratio"]
+SMOOTHED = [f"ewm_{k}_{s}" for k in ("score", "neg", "maxneg") for s in (5, 20)]
+CLEAN = ["vix_level", "vix_chg_5d", "vix_ma5_ratio", "vrp", "vix_term", "vvix_dev", "credit_5d", "slope", "slope_5d", "tlt_5d", "uup_5d"]
+INTERACTIONS = ["sent_x_vix", "sent_x_vol"]
+FINANCIAL = [*CLEAN, *INTERACTIONS]
 GROUPS = {
-    "AR_Only": AR, "News_Pure": NEWS, "News_Only": NEWS + INTENSITY + SMOOTHED, "AR_News": AR + NEWS, "Financial_Clean": CLEAN, "Financial_Only": FINANCIAL,
-    "No_News": AR + FINANCIAL, "Full": AR + NEWS + INTENSITY + SMOOTHED + FINANCIAL, "F2": AR + INTENSITY, "F3": AR + INTENSITY + SMOOTHED, "F4": AR + INTENSITY + NEWS, "F5": AR + SMOOTHED,
+    "AR_Only": AR_ALL, "News_Pure": NEWS, "News_Only": NEWS + INTENSITY + SMOOTHED, "AR_News": AR_ALL + NEWS, "Financial_Clean": CLEAN, "Financial_Only": FINANCIAL,
+    "No_News": AR_ALL + DOW + CLEAN, "Full": AR_ALL + DOW + NEWS + INTENSITY + SMOOTHED + FINANCIAL, "F2": AR_ALL + INTENSITY, "F3": AR_ALL + INTENSITY + SMOOTHED, "F4": AR_ALL + INTENSITY + NEWS,
+    "F5": AR_ALL + SMOOTHED,
 }
 
 
 def ablate(df: DataFrame, by: list[str], groups: dict[str, list[str]], y: str = "y", alpha: float = 1.0) -> DataFrame:
     """(by, feature_group, r2): out-of-sample R2 of ridge for each feature group, all on the rows that have every feature.
 
-    The moments of all features are taken once and every group is solved from its part of them; one more aggregate over
-    the test rows scores all groups. So the data is read twice, however many groups there are.
+    The covariances of all features are taken once, as blocks of a matrix (see gram), and every group is solved from its part
+    of them; one more pass over the test rows scores all groups. So the data is read twice, however many groups there are.
     """
     every = sorted({x for xs in groups.values() for x in xs})
-    rows = df.dropna(subset=[*every, y])
-    numbers = [[every.index(x) for x in xs] for xs in groups.values()]
-    fits = _solve(_moments(rows, by, every, y, numbers), by, numbers, alpha)
-    values = []
-    for g, xs in enumerate(groups.values()):
-        value = F.col(f"intercept_{g}")
-        for i, x in enumerate(xs):
-            value = value + F.col(f"beta_{g}")[i] * F.col(x)
-        values.append(value)
-    test = rows.where("role = 'test'").join(fits.drop("n"), by)
-    scored = test.select(*by, F.col(y).alias("__y"), *[v.alias(f"__{g}") for g, v in enumerate(values)])
-    cells = [F.struct(F.lit(name).alias("feature_group"), r2_of(F.col("__y"), F.col(f"__{g}")).alias("r2")) for g, name in enumerate(groups)]
-    return scored.groupBy(*by).agg(F.array(*cells).alias("x")).select(*by, F.inline("x"))
+    rows = df.dropna(subset=[*every, y]).select(*by, "role", F.array(*[F.col(x).cast("double") for x in every]).alias("x"), F.lit(None).cast("array<struct<i:int,v:double>>").alias("s"), F.col(y).cast("double").alias("y"))
+    return gram.group_scores(rows, by, {g: [every.index(x) for x in xs] for g, xs in groups.items()}, len(every), 0, alpha)
+
+
+def select_and_refit(df: DataFrame, by: list[str], groups: dict[str, list[str]], y: str = "y", alpha: float = 1.0) -> DataFrame:
+    """(by, feature_group, r2_valid, r2_test, candidates): the group with the best R2 on validation rows, refitted on train and validation, scored on test once.
+
+    Ridge for each group, as in ablate(): the choice sees training and validation rows, the second fit both together.
+    """
+    role = F.col("role")
+    select = df.where(role != "test").withColumn("role", F.when(role == "valid", "test").otherwise(role))
+    refit = df.withColumn("role", F.when(role == "valid", "train").otherwise(role))
+    chosen = nested_select(ablate(select, by, groups, y, alpha), by, "feature_group", "r2")
+    tested = ablate(refit, by, groups, y, alpha).withColumnRenamed("r2", "r2_test")
+    return chosen.join(tested, [*by, "feature_group"]).select(*by, "feature_group", F.col("inner_score").alias("r2_valid"), "r2_test", "candidates")
 
 
 def marginal_sweep(df: DataFrame, by: list[str], base: list[str], extra: list[str], y: str = "y") -> DataFrame:

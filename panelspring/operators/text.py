@@ -59,14 +59,33 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "headline_id",
     return joined.groupBy(key).agg(F.count("token").alias("n_tokens"), F.count("polarity").alias("n_hits"), F.coalesce(F.sum("polarity"), F.lit(0.0)).alias("polarity"))
 
 
-def daily_sentiment(df: DataFrame) -> DataFrame:
-    """The nine daily aggregates of pos, neg, neu by (market, date); the deviation of a single headline is 0."""
+def sentiment_aggregates() -> list[Column]:
+    """The nine aggregates of pos, neg and neu, named as in SENTIMENT; the deviation of a single headline is 0."""
     score, best = F.col("pos") - F.col("neg"), F.greatest("pos", "neg", "neu")
-    return df.groupBy("market", "date").agg(
+    return [
         F.count("*").alias("news_volume"), F.avg("pos").alias("sent_pos_mean"), F.avg("neg").alias("sent_neg_mean"), F.avg("neu").alias("sent_neu_mean"),
         F.avg(score).alias("sent_score_mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("sent_score_std"), F.max("neg").alias("sent_max_neg"),
         F.avg((F.col("pos") == best).cast("double")).alias("sent_pos_ratio"), F.avg((F.col("neg") == best).cast("double")).alias("sent_neg_ratio"),
-    )
+    ]
+
+
+def daily_sentiment(df: DataFrame) -> DataFrame:
+    """The nine daily aggregates of pos, neg, neu by (market, date)."""
+    return df.groupBy("market", "date").agg(*sentiment_aggregates())
+
+
+def term_vectors(df: DataFrame, key: str = "headline_id", text: str = "headline", vocab: int = 500, out: str = "vec") -> DataFrame:
+    """(key, vec): TF-IDF of `vocab` terms, of length 1, as one array for each row of df; a text without any of the terms has zeros.
+
+    Keys are unique in df. Terms are numbered in the order of their text.
+    """
+    weights = term_weights(df, key, text, vocab, "l2", plus_one=True)
+    terms = weights.select("token").distinct().withColumn("i", F.row_number().over(Window.orderBy("token")) - 1)
+    found = weights.join(F.broadcast(terms), "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("__m"))
+    zero = F.lit(0.0)
+    # try_element_at: null for a term that the text does not have.
+    dense = F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), zero))
+    return df.select(key).join(found, key, "left").select(key, dense.alias(out))
 
 
 def sentiment_dynamics(daily: DataFrame) -> DataFrame:

@@ -60,13 +60,40 @@ def sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_news(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily sentiment, its smoothed forms and intensity ratios, of events spread over the days of the price calendar."""
+    """Daily sentiment with its dynamics and smoothed forms, and intensity with its ratios, of events spread over the days of the price calendar."""
     from ..operators import text
 
     day = F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("event_id") * 7919) % 2400).cast("int"))
-    daily = text.smoothed_sentiment(text.daily_sentiment(scores(spark, sf).withColumn("date", day)), (5,))
+    daily = text.smoothed_sentiment(text.sentiment_dynamics(text.daily_sentiment(scores(spark, sf).withColumn("date", day))))
     intensity = text.ratio_to_trailing(text.news_intensity(candidates(spark, sf).withColumn("date", day), []), ["n_cand", "n_hi", "mean_relevance"])
-    return daily.join(intensity.drop("n_cand", "n_hi", "mean_relevance"), ["market", "date"])
+    return daily.join(intensity, ["market", "date"])
+
+
+def day_terms(spark: SparkSession, sf: str, vocab: int = 500) -> DataFrame:
+    """(date, s): the day's mean TF-IDF of its headlines as (i, v) of the terms that it has; terms are numbered in the order of their text."""
+    from ..operators import text
+
+    h = headlines(spark, sf)
+    weights = text.term_weights(h, vocab=vocab, norm="l2", plus_one=True)
+    terms = weights.select("token").distinct().withColumn("i", F.row_number().over(Window.orderBy("token")) - 1)
+    sizes = h.groupBy("date").agg(F.count("*").alias("n"))
+    sums = weights.join(F.broadcast(terms), "token").join(h.select("headline_id", "date"), "headline_id").groupBy("date", "i").agg(F.sum("weight").alias("w"))
+    return sums.join(sizes, "date").groupBy("date").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("w") / F.col("n")).alias("v")))).alias("s"))
+
+
+def day_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, vec): the day's mean vector, of vectors spread over the days of the price calendar."""
+    from ..operators import text
+
+    e = table(spark, sf, "embeddings").withColumn("date", F.date_add(F.to_date(F.lit("1995-01-01")), ((F.col("vec_id") * 7919) % 2400).cast("int")))
+    return text.mean_vector(e, ["date"], "embedding").select("date", "vec")
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read again, for what is read by many fits."""
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features, metrics, targets
 from ..functions.frames import KEYS
 from ..functions.metrics import round_all
-from ..operators import calendar, checks, inference, models, splits
+from ..operators import batched, calendar, checks, gram, inference, models, splits, text
 from . import fixtures as X
 from . import linear_sql
 from .fixtures import WO, r6, sql
@@ -31,11 +31,16 @@ def _preds(spark, sf) -> DataFrame:
 
 def _ar(spark, sf) -> DataFrame:
     """Rows for learners: autoregressive features, the log-vol target as y, the direction as y_dir."""
-    xs = models.GROUPS["AR_Only"]
+    xs = models.AR
     return _panel(spark, sf).select("market", "symbol", "date", "role", *xs, "har_1", "har_5", F.col("y_logvol").alias("y"), "y_dir", "rv5_past", "vol_5").dropna()
 
 
-AR = models.GROUPS["AR_Only"]
+def _learned(spark, sf) -> DataFrame:
+    """_ar(), stored, for queries that fit on it many times."""
+    return X.kept(spark, _ar(spark, sf), "learned")
+
+
+AR = models.AR
 
 
 @query("h1_naive_mean", sql(f"SELECT symbol, date, {r6('m')} AS yhat FROM fr JOIN (SELECT symbol, avg(y_logvol) AS m FROM fr WHERE role = 'train' GROUP BY symbol) USING (symbol) WHERE role = 'test'", "feats", fr=_FR))
@@ -56,7 +61,7 @@ def _(spark, sf):
 
 @query("h3_logistic_l2")
 def _(spark, sf):
-    d = _ar(spark, sf)
+    d = _learned(spark, sf)
     parts = []
     for c in (0.001, 0.01, 0.1):
         model = models.logistic_l2(d.where("role = 'train'"), AR, "y_dir", c)
@@ -66,21 +71,21 @@ def _(spark, sf):
 
 @query("h4_random_forest")
 def _(spark, sf):
-    d = _ar(spark, sf)
+    d = _learned(spark, sf)
     model = models.random_forest(d.where("role = 'train'"), AR, trees=100, depth=15, min_leaf=20)
     return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
 
 
 @query("h5_boosted_trees")
 def _(spark, sf):
-    d = _ar(spark, sf)
+    d = _learned(spark, sf)
     model = models.boosted_trees(d.where("role = 'train'"), AR, trees=50)
     return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
 
 
 def _stacked(spark, sf, y: str, learners: dict, predict, meta: str) -> DataFrame:
     """Three bases out of fold, and a meta model on them."""
-    d = _ar(spark, sf).withColumn("y", F.col(y).cast("double"))
+    d = _learned(spark, sf).withColumn("y", F.col(y).cast("double"))
     keys = ["market", "symbol", "date"]
     oof = splits.expanding_oof(d.where("role <> 'test'").drop("role"), 3).unionByName(d.withColumn("fold", F.lit(9)).withColumn("role", F.when(F.col("role") == "test", "test").otherwise("train")))
     base = {name: models.out_of_fold(oof, AR, fit, predict, keys, "yhat") for name, fit in learners.items()}
@@ -147,16 +152,15 @@ def _(spark, sf):
 
 @query("h9_sweep")
 def _(spark, sf):
-    d = _ar(spark, sf)
+    d = _learned(spark, sf)
     space = {**models.SPACE, "trees": [5, 10]}
     return models.sweep(spark, d.where("role = 'train'"), d.where("role = 'valid'"), AR, n=8, space=space)
 
 
 @query("h10_early_stop")
 def _(spark, sf):
-    d = _ar(spark, sf).where("role <> 'test'").withColumn("is_valid", F.col("role") == "valid")
-    model = models.boosted_trees(d, AR, trees=25, rate=0.1, validation="is_valid")
-    return models.validation_curve(spark, model, d.where("is_valid"), AR)
+    d = _learned(spark, sf)
+    return models.early_stopped(spark, d.where("role = 'train'"), d.where("role = 'valid'"), AR, trees=100)[1]
 
 
 def _vhat(spark, sf) -> DataFrame:
@@ -164,7 +168,7 @@ def _vhat(spark, sf) -> DataFrame:
 
     Training rows are predicted out of fold, evaluation rows by a fit on all training rows.
     """
-    d = _ar(spark, sf)
+    d = _learned(spark, sf)
     keys = ["market", "symbol", "date"]
     change = d.withColumn("y", F.col("vol_5") - F.col("rv5_past"))
     oof = splits.expanding_oof(change.where("role = 'train'").drop("role"), 3)
@@ -199,30 +203,43 @@ def _(spark, sf):
 
 @query("h14_feature_importance")
 def _(spark, sf):
-    d = _ar(spark, sf)
+    d = _learned(spark, sf)
     return models.importances(spark, models.random_forest(d.where("role = 'train'"), AR, trees=20, depth=5), AR)
 
 
-NEWS = models.NEWS + models.INTENSITY + models.SMOOTHED
+NEWS = [*text.SENTIMENT, *models.DYNAMICS, *models.INTENSITY, *models.SMOOTHED]
 
 
 def _full(spark, sf) -> DataFrame:
     p = _panel(spark, sf)
-    fin = features.extended_financial(features.implied_vol_features(X.wide(spark, sf), "A_F"), NAMES).select("market", "date", *models.FINANCIAL)
-    return calendar.join_news(p.join(fin, ["market", "date"], "left"), X.daily_news(spark, sf), NEWS)
+    fin = features.extended_financial(features.implied_vol_features(X.wide(spark, sf), "A_F"), NAMES).withColumn("vix_level", F.col("A_F"))
+    fin = fin.select("market", "date", *[c for c in models.CLEAN if c != "vrp"])
+    joined = calendar.join_news(p.join(fin, ["market", "date"], "left"), X.daily_news(spark, sf), NEWS)
+    whole = text.interactions(features.variance_risk_premium(joined, "vix_level"), "sent_score_mean", "vix_level", "rolling_std_20")
+    # Stored: fits read it more than once, and a filter over 71 derived columns is a plan too large to optimise.
+    return X.kept(spark, whole, "full")
 
 
-_EWM = lambda c: f"(SELECT sum(b.{c} * pow(CAST({1 - 2 / 6!r} AS DOUBLE), a.i - b.i)) / sum(pow(CAST({1 - 2 / 6!r} AS DOUBLE), a.i - b.i)) FROM num b WHERE b.i BETWEEN a.i - 59 AND a.i)"
+_EWM = lambda c, span: f"(SELECT sum(b.{c} * pow(CAST({1 - 2 / (span + 1)!r} AS DOUBLE), a.i - b.i)) / sum(pow(CAST({1 - 2 / (span + 1)!r} AS DOUBLE), a.i - b.i)) FROM num b WHERE b.i BETWEEN a.i - 59 AND a.i)"
 _DAY = "DATE '1995-01-01' + CAST((event_id * 7919) % 2400 AS INTEGER)"
 _RATIO = lambda c: f"{c} / nullif(avg({c}) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 0) AS {c}_ratio"
+_S = "sent_score_mean"
 _FULL = {
     "spread": X.VIEWS["scores"].replace("CAST(ts AS DATE)", _DAY),
     "daily": X.VIEWS["sent"].replace("FROM scores", "FROM spread"),
-    "num": "SELECT *, row_number() OVER (ORDER BY date) AS i FROM daily",
-    "smooth": f"SELECT *, {_EWM('sent_score_mean')} AS ewm_score_5, {_EWM('sent_neg_mean')} AS ewm_neg_5, {_EWM('sent_max_neg')} AS ewm_maxneg_5 FROM num a",
-    "inten": f"SELECT date, {_RATIO('n_cand')}, {_RATIO('n_hi')}, {_RATIO('mean_relevance')} FROM (SELECT {_DAY} AS date, COUNT(*) AS n_cand, COUNT(*) FILTER (event_id % 8 >= 3) AS n_hi, avg(CAST(event_id % 8 AS DOUBLE)) AS mean_relevance FROM events GROUP BY ALL)",
-    "fin": f"SELECT market, date, A_F / lag(A_F, 5) OVER ({X.WD}) - 1 AS vix_chg_5d, A_F / ({X.roll('avg(A_F)', 'A_F', 5, w=X.WD)}) AS vix_ma5_ratio, ln(A_O / A_F) AS vix_term, ln(N_O / R_F) - lag(ln(N_O / R_F), 5) OVER ({X.WD}) AS credit_5d FROM wide",
-    "fullp": f"SELECT fr.*, {', '.join(models.FINANCIAL)}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NEWS)} FROM fr LEFT JOIN fin USING (market, date) LEFT JOIN smooth USING (market, date) LEFT JOIN inten USING (date)",
+    "num": f"""SELECT *, row_number() OVER (ORDER BY date) AS i, {X.roll(f'avg({_S})', _S, 5, w=X.WD)} AS sent_ma5, {X.roll(f'avg({_S})', _S, 20, w=X.WD)} AS sent_ma20, {_S} - {X.roll(f'avg({_S})', _S, 5, w=X.WD)} AS sent_surprise,
+      {_S} - lag({_S}, 3) OVER ({X.WD}) AS sent_momentum_3d, {X.roll(f'stddev_samp({_S})', _S, 5, w=X.WD)} AS sent_vol_5d, news_volume - lag(news_volume) OVER ({X.WD}) AS news_volume_chg FROM daily""",
+    "smooth": f"SELECT *, {', '.join(f'{_EWM(c, n)} AS ewm_{k}_{n}' for k, c in (('score', _S), ('neg', 'sent_neg_mean'), ('maxneg', 'sent_max_neg')) for n in (5, 20))} FROM num a",
+    "inten": f"SELECT *, {_RATIO('n_cand')}, {_RATIO('n_hi')}, {_RATIO('mean_relevance')} FROM (SELECT {_DAY} AS date, COUNT(*) AS n_cand, COUNT(*) FILTER (event_id % 8 >= 3) AS n_hi, avg(CAST(event_id % 8 AS DOUBLE)) AS mean_relevance FROM events GROUP BY ALL)",
+    "fin": f"""SELECT market, date, A_F AS vix_level, A_F / lag(A_F, 5) OVER ({X.WD}) - 1 AS vix_chg_5d, A_F / ({X.roll('avg(A_F)', 'A_F', 5, w=X.WD)}) AS vix_ma5_ratio, ln(A_O / A_F) AS vix_term,
+      ln(N_F) - {X.roll('avg(ln(N_F))', 'N_F', 20, w=X.WD)} AS vvix_dev, ln(N_O / R_F) - lag(ln(N_O / R_F), 5) OVER ({X.WD}) AS credit_5d, R_O - A_F AS slope, (R_O - A_F) - lag(R_O - A_F, 5) OVER ({X.WD}) AS slope_5d,
+      ln(N_O) - lag(ln(N_O), 5) OVER ({X.WD}) AS tlt_5d, ln(R_F) - lag(ln(R_F), 5) OVER ({X.WD}) AS uup_5d FROM wide""",
+    "runs": """SELECT market, symbol, date, CASE WHEN ret IS NOT NULL THEN row_number() OVER (PARTITION BY market, symbol, island ORDER BY date) END AS sign_run
+      FROM (SELECT *, SUM(isnew) OVER (PARTITION BY market, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+      FROM (SELECT *, CAST(lag(sign(ret)) OVER (PARTITION BY market, symbol ORDER BY date) IS DISTINCT FROM sign(ret) AS INTEGER) AS isnew FROM rets))""",
+    "fullp": f"""SELECT fr.*, sign_run, {', '.join(c for c in models.CLEAN if c != 'vrp')}, ln(vix_level / 100 / sqrt(252.0)) - rv5_past AS vrp, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NEWS)}, CAST(smooth.i IS NOT NULL AS INTEGER) AS news_available,
+      coalesce({_S}, 0) * vix_level AS sent_x_vix, coalesce({_S}, 0) * rolling_std_20 AS sent_x_vol
+      FROM fr JOIN runs USING (market, symbol, date) LEFT JOIN fin USING (market, date) LEFT JOIN smooth USING (market, date) LEFT JOIN inten USING (date)""",
 }
 _GROUP_R2 = "1 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / count(*))"
 
@@ -238,7 +255,8 @@ def _ablation_sql(groups: dict[str, list[str]]) -> str:
 #: Columns that the marginal sweep adds to the base, one at a time: 34.
 EXTRA = [
     "ret", "absret", "ret_lag3", "ret_lag4", "ret_lag5", "rolling_std_22", "har_5", "har_20", "leverage_20d", "vol_ratio_5_20", "absret_surprise", "rolling_ret_5d",
-    "rolling_ret_20d", "rv5_past", "dow_0", "dow_1", "dow_2", "dow_3", "dow_4", *models.NEWS, *models.INTENSITY, *models.SMOOTHED, *models.FINANCIAL,
+    "rolling_ret_20d", "rv5_past", "dow_0", "dow_1", "dow_2", "dow_3", "dow_4", "news_volume", "sent_score_mean", "sent_score_std", "sent_max_neg",
+    "sent_pos_ratio", "n_cand_ratio", "n_hi_ratio", "mean_relevance_ratio", "ewm_score_5", "ewm_neg_5", "ewm_maxneg_5", "vix_chg_5d", "vix_ma5_ratio", "vix_term", "credit_5d",
 ]
 
 
@@ -247,11 +265,71 @@ def _(spark, sf):
     return round_all(models.ablate(_full(spark, sf), BY, models.GROUPS, "y_logvol"))
 
 
+_TEXT_SIZES = (len(models.AR_ALL) + 64, 500)
+_TEXT_GROUPS = {
+    "AR_Only": range(25), "Vectors": range(25, 89), "TFIDF": range(89, 589), "AR_Vectors": range(89), "AR_TFIDF": [*range(25), *range(89, 589)], "AR_Both": range(589),
+}
+
+
+def _texts(spark, sf) -> DataFrame:
+    """(symbol, date, role, x, s, y): autoregressive columns and the day's mean vector, the day's terms, and the target; zeros and no terms on days without texts."""
+    p = _full(spark, sf).dropna(subset=[*models.AR_ALL, "y_logvol"])
+    joined = p.join(X.day_vectors(spark, sf), "date", "left").join(X.day_terms(spark, sf), "date", "left")
+    vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), 64))
+    return joined.select("symbol", "date", "role", F.concat(F.array(*[F.col(c).cast("double") for c in models.AR_ALL]), vec).alias("x"), "s", F.col("y_logvol").alias("y"))
+
+
+@query("h15_text_ablation")
+def _(spark, sf):
+    rows = X.kept(spark, _texts(spark, sf), "texts")
+    return gram.group_scores(rows, BY, {g: list(ix) for g, ix in _TEXT_GROUPS.items()}, *_TEXT_SIZES)
+
+
 @query("h16_marginal_sweep", _ablation_sql({"base": AR} | {f"+{x}": [*AR, x] for x in EXTRA}))
 def _(spark, sf):
     return round_all(models.marginal_sweep(_full(spark, sf), BY, AR, EXTRA, "y_logvol"))
 
 
+#: Groups that a refit chooses among.
+CHOICE = {g: models.GROUPS[g] for g in ("AR_Only", "AR_News", "F2", "F3", "F4", "F5", "Financial_Only", "No_News", "Full")}
+
+
+def _refit_sql() -> str:
+    """Ridge of every group on training rows, scored on validation rows; and on both, scored on test rows; of the best of the first the second."""
+    xs = sorted({x for g in CHOICE.values() for x in g})
+    part = lambda tag: linear_sql.scored("rows" + tag, "symbol", xs, "y_logvol", CHOICE, 1.0, tag)
+    rows = f"SELECT symbol, role, {', '.join(xs)}, y_logvol FROM fullp WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*xs, 'y_logvol'])}"
+    r2 = lambda tag: f"SELECT g AS symbol, name AS feature_group, {_GROUP_R2} AS r2 FROM scored{tag} GROUP BY ALL"
+    body = f"""SELECT v.symbol, v.feature_group, {r6('v.r2')} AS r2_valid, {r6('t.r2')} AS r2_test, CAST({len(CHOICE)} AS BIGINT) AS candidates
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r2 DESC NULLS LAST, feature_group) AS k FROM ({r2('_v')})) v JOIN ({r2('_t')}) t USING (symbol, feature_group) WHERE k = 1"""
+    whole = sql("/*fits*/" + body, "feats", "wide", fr=_FR, **_FULL, rows=rows,
+        rows_v="SELECT * REPLACE (CASE WHEN role = 'valid' THEN 'test' ELSE role END AS role) FROM rows WHERE role <> 'test'", rows_t="SELECT * REPLACE (CASE WHEN role = 'valid' THEN 'train' ELSE role END AS role) FROM rows")
+    return whole.replace("\n/*fits*/", ",\n" + part("_v") + ",\n" + part("_t") + "\n").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("h23_refit_train_valid", _refit_sql())
+def _(spark, sf):
+    return round_all(models.select_and_refit(_full(spark, sf), BY, CHOICE, "y_logvol"))
+
+
+#: 28 candidates of the nested choice: seven groups of columns with four penalties.
+CANDIDATES = [batched.Candidate(f"{g}/{c}", tuple(models.GROUPS[g]), c) for g in ("AR_Only", "AR_News", "News_Only", "F3", "Financial_Only", "No_News", "Full") for c in (0.001, 0.01, 0.1, 1.0)]
+
+
+def _outer(spark, sf) -> DataFrame:
+    """Rows with fold and role of eight walk-forward folds of the dates above their 35 % quantile, ten rows of embargo, every column known."""
+    xs = sorted({x for c in CANDIDATES for x in c.columns})
+    rows = _full(spark, sf).select("market", "symbol", "date", *xs, "y_dir").dropna()
+    rows = X.kept(spark, rows, "whole")
+    return X.kept(spark, splits.embargo(splits.assign_folds(rows, splits.date_quantile_folds(rows)), 10), "outer")
+
+
+@query("h13_nested_refit")
+def _(spark, sf):
+    chosen, preds = batched.nested(_outer(spark, sf), ["market", "fold"], "y_dir", CANDIDATES, ["symbol", "date", "y_dir"])
+    return preds.join(F.broadcast(chosen), ["market", "fold", "candidate"]).select("market", "fold", "symbol", "date", "y_dir", "candidate", "inner_score", "candidates", "p")
+
+
 @query("h17_mz_calibrate", sql(f"SELECT symbol, date, {r6('a + b * yhat_b')} AS yhat_cal FROM pr JOIN (SELECT symbol, regr_slope(y, yhat_b) AS b, regr_intercept(y, yhat_b) AS a FROM pr WHERE role = 'valid' GROUP BY symbol) USING (symbol) WHERE role = 'test'", "preds", pr=_PR))
 def _(spark, sf):
     return round_all(models.mz_calibrate(_preds(spark, sf), BY, "y", "yhat_b").select("symbol", "date", "yhat_cal"))
@@ -303,13 +381,6 @@ def _(spark, sf):
     return round_all(curve.withColumn("compared", (F.col("trial") + 1).isin(50, 100, 150)))
 
 
-@query("h23_refit_train_valid")
-def _(spark, sf):
-    d = _ar(spark, sf)
-    model = models.random_forest(d.where("role in ('train', 'valid')"), AR, trees=20, depth=5, min_leaf=20)
-    return metrics.r2(models.prediction(model, d.where("role = 'test'"), AR), BY)
-
-
 # Metrics.
 @query("i1_r2", sql(f"SELECT symbol, fold, {r6(_R2.format('yhat_b'))} AS r2, {r6('1 - sum((exp(y) - exp(yhat_b)) * (exp(y) - exp(yhat_b))) / (sum(exp(y) * exp(y)) - sum(exp(y)) * sum(exp(y)) / count(*))', 5)} AS r2_raw, COUNT(*) AS n FROM preds GROUP BY ALL", "preds"))
 def _(spark, sf):
@@ -508,10 +579,24 @@ def _(spark, sf):
     return calendar.stack_markets(*parts)
 
 
-@query("j10_verdict", sql("SELECT symbol, CASE WHEN auc > 0.5 AND auc - 0.5 > 0 AND auc - 0.52 > 0 THEN 'improved' WHEN auc > 0.5 THEN 'significant' ELSE 'none' END AS verdict FROM a", "preds", a=_AUC.format("symbol")))
+#: The forecast's interval, and its gain over two baselines: low volatility today, low volatility this week.
+_VERDICT = """SELECT symbol, CASE WHEN ci_lo > 0.5 AND a.auc - b.auc > 0 AND a.auc - c.auc > 0 THEN 'improved' WHEN ci_lo > 0.5 THEN 'significant' ELSE 'none' END AS verdict,
+{0} AS ci_lo, {1} AS gain_day, {2} AS gain_week FROM (SELECT symbol, quantile_cont(auc, 0.025) AS ci_lo FROM ba GROUP BY symbol) JOIN a USING (symbol) JOIN b USING (symbol) JOIN c USING (symbol)"""
+
+
+def _auc_of(e: str) -> str:
+    return _AUC.format("symbol").replace("FROM preds)", f"FROM (SELECT * REPLACE ({e} AS p) FROM preds))")
+
+
+@query("j10_verdict", sql(_VERDICT.format(r6("ci_lo", 5), r6("a.auc - b.auc"), r6("a.auc - c.auc")), "preds", draws=_draws(REPS, 10), ba=_BAUC, a=_AUC.format("symbol"), b=_auc_of("-yhat_a"), c=_auc_of("-yhat_b")))
 def _(spark, sf):
-    a = metrics.auc(X.predictions(spark, sf), BY, "y_dir", "p").withColumn("g1", F.col("auc") - 0.5).withColumn("g2", F.col("auc") - 0.52)
-    return inference.verdict(a, "auc", ("g1", "g2")).select("symbol", "verdict")
+    from ..functions.frames import rounded
+
+    d = X.predictions(spark, sf)
+    score = lambda e, out: metrics.auc(d.withColumn("p", e), BY, "y_dir", "p").withColumnRenamed("auc", out)
+    rows = inference.bootstrap_auc(d, BY, ["date"], "y_dir", "p", REPS).join(score(F.col("p"), "auc"), BY).join(score(-F.col("yhat_a"), "auc_day"), BY).join(score(-F.col("yhat_b"), "auc_week"), BY)
+    rows = rows.withColumns({"gain_day": F.col("auc") - F.col("auc_day"), "gain_week": F.col("auc") - F.col("auc_week")})
+    return inference.verdict(rows, "ci_lo", ("gain_day", "gain_week")).select("symbol", "verdict", rounded(F.col("ci_lo"), 5).alias("ci_lo"), rounded(F.col("gain_day")).alias("gain_day"), rounded(F.col("gain_week")).alias("gain_week"))
 
 
 @query("j11_jarque_bera", sql(f"SELECT symbol, {r6('s')} AS skewness, {r6('k')} AS kurtosis, {r6('n / 6.0 * (s * s + k * k / 4)', 3)} AS jarque_bera FROM (SELECT symbol, count(ret) AS n, avg(pow(ret - m, 3)) / pow(var_pop(ret), 1.5) AS s, avg(pow(ret - m, 4)) / pow(var_pop(ret), 2) - 3 AS k FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS m FROM rets) GROUP BY symbol)", "rets"))
@@ -606,13 +691,19 @@ def _(spark, sf):
     return f.select("market", "symbol", rounded(F.col("r2"), 5).alias("r2"), "n")
 
 
-@query("x1_daily_news_stream", """SELECT CAST(ts AS DATE) AS day, event_type AS section, COUNT(*) AS n, CASE WHEN abs(avg(value)) < 0.0000005 THEN 0.0 ELSE round(avg(value), 6) END AS mean_value FROM events
-WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events) GROUP BY ALL""")
+_C5 = X.VIEWS["sent"].replace("SELECT market, date, COUNT(*)", "SELECT day, topic, COUNT(*)").replace("GROUP BY market, date", "GROUP BY day, topic")
+_C5_COLUMNS = ("sent_pos_mean", "sent_neg_mean", "sent_neu_mean", "sent_score_mean", "sent_score_std", "sent_max_neg", "sent_pos_ratio", "sent_neg_ratio")
+
+
+@query("x1_daily_news_stream", sql(f"SELECT day, topic, news_volume, {', '.join(f'{r6(c)} AS {c}' for c in _C5_COLUMNS)} FROM c5 WHERE day < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events)",
+    scores=X.VIEWS["scores"].replace("'ALL' AS market, CAST(ts AS DATE) AS date", "event_type AS topic, CAST(ts AS DATE) AS day"), c5=_C5))
 def _(spark, sf):
     from ..streaming.daily_news import upsert
 
     e = spark.readStream.schema(X.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    rows = e.select("ts", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("url"), F.col("event_type").alias("section"), F.lit("").alias("headline"), "value")
+    k = F.col("event_id") % 100
+    pos, neg = (k + 1).cast("double") / 150.0, (100 - k).cast("double") / 300.0
+    rows = e.select("ts", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("url"), F.col("event_type").alias("topic"), F.lit("").alias("headline"), pos.alias("pos"), neg.alias("neg"), (1.0 - pos - neg).alias("neu"))
     path = X.scratch(spark, "stream")
     upsert(rows, f"{path}/out", f"{path}/check").awaitTermination()
-    return round_all(spark.read.parquet(f"{path}/out").select(F.col("day").cast("date").alias("day"), "section", "n", "mean_value"))
+    return round_all(spark.read.parquet(f"{path}/out").select(F.col("day").cast("date").alias("day"), "topic", "news_volume", *_C5_COLUMNS))

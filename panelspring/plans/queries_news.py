@@ -275,17 +275,8 @@ def _(spark, sf):
 
 @query("c2_tfidf_pca")
 def _(spark, sf):
-    w = text.term_weights(X.headlines(spark, sf), vocab=500, norm="l2", plus_one=True)
-    words = w.select("token").distinct().withColumn("i", F.row_number().over(F_window()) - 1)
-    rows = w.join(F.broadcast(words), "token").groupBy("headline_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    dense = rows.select("headline_id", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))
-    return text.apply_pca(dense, text.fit_pca(dense, 30)).select("headline_id", "pca")
-
-
-def F_window():
-    from pyspark.sql import Window
-
-    return Window.orderBy("token")
+    vectors = text.term_vectors(X.headlines(spark, sf))
+    return text.apply_pca(vectors, text.fit_pca(vectors, 30)).select("headline_id", "pca")
 
 
 def _scorer(series: pd.Series) -> pd.DataFrame:
