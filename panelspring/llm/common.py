@@ -82,6 +82,31 @@ def id_bucket(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
 
+#: Bits of a row key's hash; tests take fewer.
+KEY_BITS = 62
+
+
+def with_key(df: DataFrame, name: str, *cols: str) -> DataFrame:
+    """df with column `name`, a 64-bit number that two rows share only if they agree in cols (nulls are values of their own).
+
+    A hash, doubled. Where rows of different MD5 share it (in 10^10 rows a handful), they get odd numbers of their own instead,
+    so no two different rows ever share a key. The table is read once more, for the hashes alone.
+    """
+    text = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols])
+    digest, code = F.md5(text), F.shiftleft(F.xxhash64(*cols).bitwiseAND((1 << KEY_BITS) - 1), 1)
+    hashes = df.select(code.alias("__h"), digest.alias("__d"))
+    clash = hashes.groupBy("__h").agg(F.min("__d").alias("a"), F.max("__d").alias("b")).where("a != b").select("__h")
+    clash = write_shared(clash, "clash")
+    n = clash.count()
+    if not n:
+        drop_shared(clash)
+        return df.withColumn(name, code)
+    members = hashes.join(F.broadcast(clash) if n <= 100_000 else clash, "__h").distinct()
+    members = write_shared(members.withColumn("__k", F.shiftleft(F.monotonically_increasing_id(), 1) + 1), "members")
+    met = df.withColumns({"__h": code, "__d": digest}).join(F.broadcast(members) if n <= 100_000 else members, ["__h", "__d"], "left")
+    return met.select(*df.columns, F.coalesce("__k", "__h").alias(name))
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
 

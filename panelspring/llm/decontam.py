@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, write_shared
+from .common import drop_shared, with_key, write_shared
 
 #: Fixed masks: 1 counts, 0 is ignored. Chosen so that every stretch of 16 tokens with up to 4 substitutions has a hit.
 MASKS = ("101111", "1110011", "110010101", "11001001001")
@@ -110,6 +110,7 @@ def matches(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, w
         hashes = hashes.unionByName(part)
     hashes = write_shared(hashes.where("seed IS NOT NULL").select("item_id", "seed", F.col("pos").alias("item_at")).distinct(), "hashes")
     small = hashes.count() <= BROADCAST_ROWS
+    # Rows that happen to share this hash share their hits, which are then compared with each row's own tokens.
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     found = seeds(keyed.select("row_key", tokens(F.col("text")).alias("toks")), ("row_key",), tuple(known), tuple(range(len(known))))
     hits = found.join(F.broadcast(hashes) if small else hashes, "seed").groupBy("row_key", "item_id", (F.col("pos") - F.col("item_at")).cast("int").alias("shift")).agg(F.count("*").alias("hits"))
@@ -146,6 +147,6 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
     Rows without a token stay, null texts too; rows that repeat stay or go together.
     """
-    key = F.xxhash64("doc_id", "text")
-    found = matches(docs.select(key.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(docs.columns)
+    keyed = with_key(docs, "__key", "doc_id", "text")
+    found = matches(keyed.select(F.col("__key").alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(found, "__key", "left_anti").select(docs.columns)

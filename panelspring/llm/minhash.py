@@ -105,15 +105,16 @@ def set_digest(u: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles): the sorted distinct 64-bit shingle hashes of each row of docs (text), packed; id is its class."""
+    """(id, shingles): the sorted distinct 64-bit shingle hashes, packed, of each row of docs (id, digest, text) whose set has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for _, data, offsets in slices(batch, "text"):
+            for rows, data, offsets in slices(batch, "text"):
                 sets = [np.unique(h) for h in shingles(data, offsets)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_digest(u) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], ["digest", "shingles"])
+                own = [i for i, (u, d) in enumerate(zip(sets, rows.column("digest").to_pylist())) if set_digest(u) == d]
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", "shingles"])
 
-    return arrow(docs.select("text"), run, "digest binary, shingles binary").select(F.xxhash64("digest").alias("id"), "shingles")
+    return arrow(docs.select("id", "digest", "text"), run, "id long, shingles binary")
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -213,7 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sig = write_shared(signatures(docs, bands), "signatures")
     usable = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x"))
-    reps = write_shared(reps.select("digest", F.xxhash64("digest").alias("id"), "x.*"), "classes")
+    # A class is its 128-bit digest; its number is given once, as the table is written.
+    reps = write_shared(reps.select("digest", F.monotonically_increasing_id().alias("id"), "x.*"), "classes")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = write_shared(buckets.join(sizes, "bucket"), "members")
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     pairs = write_shared(pairs.where(differing_bits(F.col("x"), F.col("y")) <= most).select("a", "b"), "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = write_shared(shingle_sets(texts.join(reps.join(fame.select("id"), "id").select("doc_id"), "doc_id", "left_semi")), "sets")
+    sets = write_shared(shingle_sets(texts.join(reps.join(fame.select("id"), "id").select("doc_id", "id", "digest"), "doc_id")), "sets")
     if sets.count() != sets.select("id").distinct().count():
         sets = write_shared(sets.dropDuplicates(["id"]), "sets")
     links = write_shared(confirm(pairs, sets, percent), "links")

@@ -46,12 +46,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, rank, and keep): rank is the hexadecimal MD5 of the id as text, the order within a source."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("rank"), *keep)
+    """(doc_id, source, size, rank, tie, and keep): rank is the hexadecimal MD5 of the id as text, the order within a source.
+
+    Rows without an id are ranked by their text, so that many of them are not one bucket. tie is a hash of the text, which
+    orders rows that agree in all else.
+    """
+    by = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(by.cast("binary")).alias("rank"), F.xxhash64("text").alias("tie"), *keep)
 
 
 def running(rows: DataFrame, per_bucket: int = 20_000) -> DataFrame:
-    """rows with `before`: words of the same source that come first by rank, then id.
+    """rows with `before`: words of the same source that come first by rank, then id, size and tie.
 
     Buckets are ranges of the rank, so many that each has about per_bucket rows; bucket sums give each bucket's start.
     """
@@ -63,7 +68,7 @@ def running(rows: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     start = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("words").over(start), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(starts, rows.source.eqNullSafe(F.col("__s")) & (rows.bucket == F.col("__b"))).withColumn("before", F.col("start") + F.col("within")).drop("__s", "__b", "start", "within", "bucket")
 
@@ -79,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     t = targets.select(F.col("source").alias("__t"), "source_size", "weight", "target")
     out = running(rows)
-    out = out.join(t, out.source.eqNullSafe(F.col("__t"))).drop("__t", "rank")
+    out = out.join(t, out.source.eqNullSafe(F.col("__t"))).drop("__t", "rank", "tie")
     fits = [((2 * (p * F.col("source_size") + F.col("before")) + F.col("size")).cast("double") <= 2 * F.col("target")).cast("int") for p in range(limit)]
     out = out.withColumn("copies", sum(fits[1:], fits[0]))
     return out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))

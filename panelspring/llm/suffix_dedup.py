@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_shared, mix, pieces, prefix_hash, span_hash, write_shared
+from .common import arrow, drop_shared, mix, pieces, prefix_hash, span_hash, with_key, write_shared
 
 LENGTH = 200
 #: Bytes of the rolling window, and starts among which the trigger is chosen.
@@ -293,10 +293,12 @@ def _settle(entries: DataFrame) -> DataFrame:
     marked = varied.join(zones, ["core", "zone"])
     marked = marked.select("row_key", "at", "need", (F.col("copies") > 1).alias("settled"), (F.col("first") == place).alias("listed"))
     marked = marked.unionByName(several.where("NOT varied").select("row_key", "at", "need", F.lit(True).alias("settled"), F.lit(False).alias("listed")))
-    out = marked.where("(settled AND need) OR listed").groupBy("row_key").agg(
-        F.array_distinct(F.collect_list(F.when(F.col("settled") & F.col("need"), F.col("at")))).alias("whole"),
-        F.array_distinct(F.collect_list(F.when(F.col("listed"), F.col("at")))).alias("compare"),
-        F.array_distinct(F.collect_list(F.when(~F.col("settled") & F.col("need"), F.col("at")))).alias("need"),
+    # Rows that are equal share their key: each place counts once, however many there are.
+    once = marked.where("(settled AND need) OR listed").groupBy("row_key", "at").agg(F.max("need").alias("need"), F.max("settled").alias("settled"), F.max("listed").alias("listed"))
+    out = once.groupBy("row_key").agg(
+        F.collect_list(F.when(F.col("settled") & F.col("need"), F.col("at"))).alias("whole"),
+        F.collect_list(F.when(F.col("listed"), F.col("at"))).alias("compare"),
+        F.collect_list(F.when(~F.col("settled") & F.col("need"), F.col("at"))).alias("need"),
     )
     out = write_shared(out, "marks")
     drop_shared(several, zones)
@@ -304,8 +306,8 @@ def _settle(entries: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key, a 64-bit hash of the id and the text: rows equal in both share it and get equal results."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """docs with row_key, a number for the id and the text: rows equal in both share it and get equal results, others never do."""
+    return with_key(docs, "row_key", "doc_id", "text")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -343,15 +345,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character of which a part is cut goes whole. Rows with a null text stay as they are; rows that repeat are copies of
     one another, so of such texts of `length` bytes or more nothing is kept. An empty table gives an empty one.
     """
-    key = F.xxhash64("doc_id", "text")
-    found = repeated(docs.select(key.alias("row_key"), "text"), length).select("row_key", "kept").dropDuplicates(["row_key"])
+    own = with_key(docs.select("doc_id", "text", F.struct("*").alias("doc")), "row_key", "doc_id", "text")
+    found = repeated(own.select("row_key", "text"), length).select("row_key", "kept").dropDuplicates(["row_key"])
 
     def decode(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())], ["row_key", "kept"])
 
     texts = arrow(found, decode, "row_key long, kept string")
-    joined = docs.select(key.alias("row_key"), F.struct("*").alias("doc")).join(texts, "row_key", "left")
+    joined = own.select("row_key", "doc").join(texts, "row_key", "left")
     out = {"text": F.coalesce("kept", "doc.text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))

@@ -118,11 +118,14 @@ class Automaton:
 def count_tokens(docs: DataFrame, pieces: set[bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of docs with n_words and n_tokens of the whole text; null and empty texts have 0 of both.
 
+    A kept column named like a result gives way to it. Each row counts for itself, repeated rows alike; of equal texts the
+    counts are equal. An empty table gives an empty one.
+
     A word is a run of other bytes than ASCII white space; it is matched with a blank before it, so that pieces with a
     leading blank begin words and the others continue them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*[c for c in keep if c not in ("n_words", "n_tokens")], F.col("text").alias("__text"))
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_words long", "n_tokens long"])
 
     def count(batches):
