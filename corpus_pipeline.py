@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspring.llm import decontam, minhash, mixing, quality, suffix_dedup
-from panelspring.llm.common import drop_shared, id_bucket, write_shared
+from panelspring.llm.common import drop_shared, id_bucket, with_key, write_shared
 
 #: Per cent of two documents' shingles that near-duplicates have in common at least.
 SIMILARITY = 80
 
-#: A hash that tells the rows of a stage apart unless they are equal, whatever their ids.
+#: A number that tells the rows of a stage apart unless they are equal, whatever their ids.
 KEY = "__key"
 
 
@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts, whatever their ids (rows that share an id, or have none, are rows of their own); null, empty and blank texts
     have no duplicates and stay. No rows, none; other columns pass through.
     """
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    keyed = with_key(docs, KEY, "doc_id", "text")
     found = minhash.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), SIMILARITY).where("n_shingles > 0")
     found = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("__group"))
     rows = write_shared(found.join(keyed.select(KEY, "doc_id").distinct(), KEY), "rows")
@@ -80,7 +80,7 @@ def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows that repeat, share an id or have none are placed each for itself; a null source is one of its own, a null text has
     no words and comes with the copies around it. No rows, none.
     """
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "source", "text"))
+    keyed = with_key(docs, KEY, "doc_id", "source", "text")
     mixed = write_shared(mixing.mix(keyed, keep=(KEY,)), "mixed")
     order = mixing.curriculum(mixed, mixing.PHASES).select("doc_id", "source", "size", "copy", "position", KEY)
     texts = one_of_each(keyed.select(KEY, "text"), mixed)
