@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, minhash, mixing, quality, spelling, suffix_dedup, tokencount, trie, url_filter, warc
+from . import chat, decontam, fingerprint, langid, minhash, mixing, oracles, quality, spelling, suffix_dedup, tokencount, trie, url_filter, warc
 from .common import id_bucket, shared_dir, write_shared
 
 
@@ -119,7 +119,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6, "op7_decontamination": OP7, "op10_minhash": OP10}
+    return {
+        "op6_mixing": OP6, "op7_decontamination": OP7, "op10_minhash": OP10, "op11_prefix_trie": oracles.OP11, "op12_chat_format": oracles.OP12,
+        "op13_spelling_variants": oracles.OP13,
+    }
 
 
 OP6 = r"""

@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prefix_hash, slices, span_hash, words
+from .common import arrow, prefix_hash, slices, span_hash, word_pieces, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes of text that are matched at once, at least one word.
+PIECE = 2_000_000
 
 
 def read_vocabulary(path: str = VOCABULARY) -> set[bytes]:
@@ -115,6 +117,19 @@ class Automaton:
         return out
 
 
+def totals(auto: Automaton, data: np.ndarray, offsets: np.ndarray, most: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(words, tokens) of each document. A very long one that stands alone is counted in pieces that end between words."""
+    if len(offsets) == 2 and len(data) > 2 * most:
+        parts = [totals(auto, part, np.array([0, len(part)]), len(part)) for part in word_pieces(data, most, 0)]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+    start, end, first = words(data, offsets)
+    h = span_hash(prefix_hash(data), start, end)
+    _, one, back = np.unique(h, return_index=True, return_inverse=True)
+    n = auto.lengths(data, start[one], end[one])[back] if len(h) else np.zeros(0, np.int64)
+    total = np.concatenate(([0], np.cumsum(n)))
+    return np.diff(first).astype(np.int64), np.diff(total[first]).astype(np.int64)
+
+
 def count_tokens(docs: DataFrame, pieces: set[bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of docs with n_words and n_tokens of the whole text; null and empty texts have 0 of both.
 
@@ -131,12 +146,8 @@ def count_tokens(docs: DataFrame, pieces: set[bytes], keep: tuple[str, ...] = ("
     def count(batches):
         auto = shared.value
         for batch in batches:
-            for rows, data, offsets in slices(batch, "__text", 2_000_000):
-                start, end, first = words(data, offsets)
-                h = span_hash(prefix_hash(data), start, end)
-                _, one, back = np.unique(h, return_index=True, return_inverse=True)
-                n = auto.lengths(data, start[one], end[one])[back] if len(h) else np.zeros(0, np.int64)
-                total = np.concatenate(([0], np.cumsum(n)))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(total[first]).astype(np.int64))], [*rows.schema.names[:-1], "n_words", "n_tokens"])
+            for rows, data, offsets in slices(batch, "__text", PIECE):
+                n_words, n_tokens = totals(auto, data, offsets)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n_words), pa.array(n_tokens)], [*rows.schema.names[:-1], "n_words", "n_tokens"])
 
     return arrow(kept, count, out)

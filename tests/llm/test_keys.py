@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -72,3 +73,14 @@ def test_token_counts_of_clashing_columns(spark):
     assert got.columns == ["doc_id", "n_words", "n_tokens"]
     assert Counter(tuple(r) for r in got.collect()) == Counter({(1, 2, 4): 2, (2, 0, 0): 1})
     assert tokencount.count_tokens(df.where("doc_id > 5"), {b"a"}).count() == 0
+
+
+@pytest.mark.parametrize("text", ["ab " * 400 + "x" * 900 + "  yy\n" + "ab", " " * 700 + "a", "b" * 1500, "a\t" * 500 + " " * 300, " " * 1000])
+def test_tokens_of_a_long_text_in_pieces(text):
+    auto = tokencount.Automaton({b"ab", b" ab", b"x", b"xx", b" x", b"xxx"})
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = tokencount.totals(auto, data, np.array([0, len(data)]), len(data))
+    for most in (1, 7, 100):
+        part = tokencount.totals(auto, data, np.array([0, len(data)]), most)
+        assert [x.tolist() for x in part] == [x.tolist() for x in whole]
+    assert whole[0].tolist() == [len(text.split())]
