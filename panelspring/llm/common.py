@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -36,10 +38,23 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(str(archive))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, and they keep the memory of their largest one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand in the workers."""
+    """df.mapInArrow with this package at hand in the workers, which give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
