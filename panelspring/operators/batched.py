@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import metrics
 from ..functions.frames import KEYS
@@ -66,7 +66,7 @@ def _fit_part(rows: DataFrame, by: list[str], every: list[str], number: list[lis
     penalty = [1 / c.c for c in candidates]
     context = rows.sparkSession.sparkContext
     key_fields = [rows.schema[k] for k in by]
-    schema = StructType([*key_fields, StructField("m", LongType()), StructField("n", LongType()), StructField("objective", DoubleType()), *StructType.fromDDL("sums array<double>").fields])
+    schema = StructType([*key_fields, StructField("m", LongType()), StructField("n", LongType()), StructField("objective", DoubleType()), StructField("sums", BinaryType())])
     # Where a fit stands: coefficients, the intercept last; the point before and its objective, for halving.
     state: dict[tuple, tuple[np.ndarray, np.ndarray | None, float, int]] = {}
     done: dict[tuple, tuple[np.ndarray, int, int]] = {}
@@ -103,7 +103,7 @@ def _fit_part(rows: DataFrame, by: list[str], every: list[str], number: list[lis
                             total[key, m] = (n + len(at), before + loss, s + sums)
                         else:
                             total[key, m] = (len(at), loss, sums)
-            out = [(*key, m, n, loss, sums.tolist()) for (key, m), (n, loss, sums) in total.items()]
+            out = [(*key, m, n, loss, sums.tobytes()) for (key, m), (n, loss, sums) in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*by, "m", "n", "objective", "sums"])
 
         types = [pa.field("x", _arrow(f.dataType)).type for f in schema.fields]
@@ -112,7 +112,7 @@ def _fit_part(rows: DataFrame, by: list[str], every: list[str], number: list[lis
         held.destroy()
         following = {}
         for r in steps:
-            key, m, sums = tuple(r[k] for k in by), r["m"], np.array(r["sums"])
+            key, m, sums = tuple(r[k] for k in by), r["m"], np.frombuffer(r["sums"])
             p = len(number[m]) + 1
             w, back, best, tries = state.get((key, m), (np.zeros(p), None, np.inf, 0))
             ridge = np.full(p, penalty[m])
@@ -141,7 +141,7 @@ def _summed(by: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
         out["n"], out["objective"] = pdf["n"].sum(), pdf["objective"].sum()
-        out["sums"] = [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]
+        out["sums"] = [np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()]
         return out
 
     return run

@@ -30,14 +30,14 @@ ROWS = 2_000
 
 
 def blocks(df: DataFrame, by: list[str], dense: int, sparse: int, block: int = BLOCK) -> DataFrame:
-    """(by, i, j, n, mi, mj, m): for i <= j the count, the means of both blocks of columns, and the centred sums of their products.
+    """(by, i, j, n, mi, mj, m): for i <= j the count, the means of both blocks of columns, and the centred sums of their products, packed.
 
     df has by, x (array of `dense` numbers), s (array of (i, v), i below `sparse`, or null) and y; columns are those of x, of s, and y.
     """
     size = dense + sparse + 1
     starts = list(range(0, size, block))
     fields = [df.schema[k] for k in by]
-    schema = StructType([*fields, *StructType.fromDDL("i int, j int, n long, mi array<double>, mj array<double>, m array<double>").fields])
+    schema = StructType([*fields, *StructType.fromDDL("i int, j int, n long, mi binary, mj binary, m binary").fields])
     types = [to_arrow_type(f.dataType) for f in schema.fields]
     held, some = HELD, ROWS
 
@@ -49,7 +49,7 @@ def blocks(df: DataFrame, by: list[str], dense: int, sparse: int, block: int = B
             for key, (n, mean, m) in total.items():
                 for i, a in enumerate(starts):
                     for j, b in enumerate(starts[i:], i):
-                        out.append((*key, i, j, n, mean[a : a + block].tolist(), mean[b : b + block].tolist(), m[a : a + block, b : b + block].ravel().tolist()))
+                        out.append((*key, i, j, n, mean[a : a + block].tobytes(), mean[b : b + block].tobytes(), m[a : a + block, b : b + block].tobytes()))
             total.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=schema.names)
 
@@ -85,12 +85,12 @@ def blocks(df: DataFrame, by: list[str], dense: int, sparse: int, block: int = B
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         n, mi, mj, m = 0, 0.0, 0.0, 0.0
         for k, a, b, c in zip(pdf["n"], pdf["mi"], pdf["mj"], pdf["m"]):
-            a, b, c = np.asarray(a), np.asarray(b), np.asarray(c)
+            a, b, c = np.frombuffer(a), np.frombuffer(b), np.frombuffer(c)
             da, db = a - mi, b - mj
             m = m + c + np.outer(da, db).ravel() * (n * k / (n + k))
             mi, mj, n = mi + da * k / (n + k), mj + db * k / (n + k), n + k
         out = pdf.iloc[:1].copy()
-        out["n"], out["mi"], out["mj"], out["m"] = n, [mi], [mj], [m]
+        out["n"], out["mi"], out["mj"], out["m"] = n, [mi.tobytes()], [mj.tobytes()], [m.tobytes()]
         return out
 
     parts = df.where("y IS NOT NULL").mapInArrow(add, schema)
@@ -106,14 +106,14 @@ def solve(moments: DataFrame, by: list[str], groups: dict[str, list[int]], alpha
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
-        width = {**dict(zip(pdf["i"], map(len, pdf["mi"]))), **dict(zip(pdf["j"], map(len, pdf["mj"])))}
+        width = {k: len(x) // 8 for i, x in (("i", "mi"), ("j", "mj")) for k, x in zip(pdf[i], pdf[x])}
         start = dict(zip(sorted(width), np.cumsum([0, *[width[k] for k in sorted(width)]])))
         size = sum(width.values())
         mean, cov = np.zeros(size), np.zeros((size, size))
         for i, j, mi, mj, m in zip(pdf["i"], pdf["j"], pdf["mi"], pdf["mj"], pdf["m"]):
             a, b = slice(start[i], start[i] + width[i]), slice(start[j], start[j] + width[j])
-            mean[a], mean[b] = mi, mj
-            cov[a, b] = np.asarray(m).reshape(width[i], width[j]) / n
+            mean[a], mean[b] = np.frombuffer(mi), np.frombuffer(mj)
+            cov[a, b] = np.frombuffer(m).reshape(width[i], width[j]) / n
             cov[b, a] = cov[a, b].T
         out = []
         for name, use in groups.items():

@@ -82,6 +82,16 @@ def har_rv(df: DataFrame, by: list[str], y: str = "y_logvol", xs: tuple[str, ...
     return linear_predict(df.where(F.col("role") == "test"), linear_fit(df, by, list(xs), y), by, list(xs))
 
 
+#: Rows that one task of a tree learner takes; a learner runs thousands of short jobs, and more tasks than these need slow each.
+ROWS_PER_TASK = 100_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in no more partitions than its rows need."""
+    n = -(-df.count() // ROWS_PER_TASK)
+    return df.coalesce(max(1, n))
+
+
 def assemble(df: DataFrame, xs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="skip").transform(df)
 
@@ -107,14 +117,14 @@ def prediction(model, df: DataFrame, xs: list[str], out: str = "yhat") -> DataFr
 
 def random_forest(train: DataFrame, xs: list[str], y: str = "y", kind: str = "reg", trees: int = 100, depth: int = 15, min_leaf: int = 1, seed: int = 42):
     cls = RandomForestRegressor if kind == "reg" else RandomForestClassifier
-    return cls(featuresCol="features", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed).fit(assemble(train, xs))
+    return cls(featuresCol="features", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed).fit(assemble(dealt(train), xs))
 
 
 def boosted_trees(train: DataFrame, xs: list[str], y: str = "y", kind: str = "reg", trees: int = 100, depth: int = 3, rate: float = 0.04, subsample: float = 0.8, colsample: float = 0.6, validation: str | None = None, tolerance: float = 0.01, seed: int = 42):
     """Boosted trees. With `validation` (a boolean column) adding trees stops once its loss no longer falls by the tolerance."""
     cls = GBTRegressor if kind == "reg" else GBTClassifier
     stop = {"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {}
-    return cls(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed, **stop).fit(assemble(train, xs))
+    return cls(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed, **stop).fit(assemble(dealt(train), xs))
 
 
 def validation_curve(spark, model, df: DataFrame, xs: list[str], loss: str = "squared") -> DataFrame:
@@ -246,7 +256,7 @@ def search_space(n: int = 100, space: dict[str, list] = SPACE, seed: int = 7) ->
 
 def sweep(spark, train: DataFrame, valid: DataFrame, xs: list[str], y: str = "y", n: int = 100, space: dict[str, list] = SPACE, parallel: int = 4) -> DataFrame:
     """(trial, params, loss): validation RMSE of boosted trees at n points of the space, `parallel` fits at a time."""
-    fit, check = assemble(train, xs).cache(), assemble(valid, xs).cache()
+    fit, check = assemble(dealt(train), xs).cache(), assemble(dealt(valid), xs).cache()
 
     def one(p: dict) -> tuple[int, str, float]:
         model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"], subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]), minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=p["seed"]).fit(fit)
@@ -260,6 +270,11 @@ def sweep(spark, train: DataFrame, valid: DataFrame, xs: list[str], y: str = "y"
     return spark.createDataFrame(rows, "trial int, params string, loss double")
 
 
+def best_trial(trials: DataFrame):
+    """The row of trials with the least loss; of equal losses the first trial."""
+    return trials.where("loss IS NOT NULL").orderBy("loss", "trial").first()
+
+
 def sweep_curve(trials: DataFrame, per_range: int = 100_000) -> DataFrame:
     """trials with best_so_far by trial number.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import PCA, CountVectorizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +56,34 @@ def score_headlines(df: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
+def fit_scorer(df: DataFrame, text: str = "headline", label: str = "label", vocab: int = 5_000, reg: float = 0.01) -> Callable[[pd.Series], pd.DataFrame]:
+    """A scorer for score_headlines(), learned from rows with a label of 0 or 1 (others are left out).
+
+    Logistic regression on log counts of the `vocab` commonest tokens, fitted by Spark. pos and neg share by its probability what
+    neu leaves; neu is the share of a text's distinct tokens that the fit does not know, and 1 for a text without tokens.
+    The scorer holds the vocabulary and its weights, so its size is bounded by vocab.
+    """
+    rows = df.where(F.col(label).isin(0, 1)).select(tokens(F.col(text)).alias("__t"), F.col(label).cast("double").alias("__y"))
+    words = CountVectorizer(inputCol="__t", outputCol="__c", vocabSize=vocab).fit(rows)
+    # Log counts keep a long text from outweighing the others.
+    vectors = words.transform(rows).withColumn("__x", array_to_vector(F.transform(vector_to_array("__c"), lambda x: F.log1p(x))))
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=reg, maxIter=100).fit(vectors)
+    weights, base = dict(zip(words.vocabulary, (float(w) for w in model.coefficients.toArray()))), float(model.intercept)
+    pattern = re.compile("[a-zà-ÿ]+")
+
+    def scorer(series: pd.Series) -> pd.DataFrame:
+        out = []
+        for one in series:
+            counts = Counter(pattern.findall(one.lower()))
+            known = [t for t in counts if t in weights]
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, base + sum(weights[t] * math.log1p(counts[t]) for t in known)))))
+            neu = 1 - len(known) / len(counts) if counts else 1.0
+            out.append((p * (1 - neu), (1 - p) * (1 - neu), neu))
+        return pd.DataFrame(out, columns=["pos", "neg", "neu"], dtype=float)
+
+    return scorer
+
+
 def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "headline_id", text: str = "headline") -> DataFrame:
     """(key, n_tokens, n_hits, polarity): sum of token polarities; headlines without tokens are kept with zeros."""
     rows = df.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))

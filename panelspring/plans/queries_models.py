@@ -69,18 +69,41 @@ def _(spark, sf):
     return calendar.stack_markets(*parts)
 
 
+#: Settings of the registered tree learners.
+FOREST = {"trees": 100, "depth": 15, "min_leaf": 20}
+SHALLOW = {"trees": 300, "depth": 4, "min_leaf": 50}
+BOOSTED = {"trees": 50, "depth": 3}
+
+
+def _test_rows(spark, sf, fit, y: str, predict) -> DataFrame:
+    """symbol, date, y and what a model fitted on the training rows says of the test rows."""
+    d = _learned(spark, sf)
+    return predict(fit(d.where("role = 'train'")), d.where("role = 'test'"), AR).select("symbol", "date", y, "p" if y == "y_dir" else "yhat")
+
+
 @query("h4_random_forest")
 def _(spark, sf):
-    d = _learned(spark, sf)
-    model = models.random_forest(d.where("role = 'train'"), AR, trees=100, depth=15, min_leaf=20)
-    return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
+    return _test_rows(spark, sf, lambda t: models.random_forest(t, AR, **FOREST), "y", models.prediction)
+
+
+@query("h4_random_forest_shallow")
+def _(spark, sf):
+    return _test_rows(spark, sf, lambda t: models.random_forest(t, AR, **SHALLOW), "y", models.prediction)
+
+
+@query("h4_random_forest_direction")
+def _(spark, sf):
+    return _test_rows(spark, sf, lambda t: models.random_forest(t, AR, "y_dir", "clf", **SHALLOW), "y_dir", models.probability)
 
 
 @query("h5_boosted_trees")
 def _(spark, sf):
-    d = _learned(spark, sf)
-    model = models.boosted_trees(d.where("role = 'train'"), AR, trees=50)
-    return models.prediction(model, d.where("role = 'test'"), AR).select("symbol", "date", "y", "yhat")
+    return _test_rows(spark, sf, lambda t: models.boosted_trees(t, AR, **BOOSTED), "y", models.prediction)
+
+
+@query("h5_boosted_direction")
+def _(spark, sf):
+    return _test_rows(spark, sf, lambda t: models.boosted_trees(t, AR, "y_dir", "clf", trees=50, depth=2), "y_dir", models.probability)
 
 
 def _stacked(spark, sf, y: str, learners: dict, predict, meta: str) -> DataFrame:
@@ -96,8 +119,8 @@ def _stacked(spark, sf, y: str, learners: dict, predict, meta: str) -> DataFrame
 @query("h6_stacking")
 def _(spark, sf):
     learners = {
-        "forest": lambda t, xs: models.random_forest(t, xs, trees=15, depth=4, min_leaf=20),
-        "boosted": lambda t, xs: models.boosted_trees(t, xs, trees=8),
+        "forest": lambda t, xs: models.random_forest(t, xs, trees=100, depth=4, min_leaf=20),
+        "boosted": lambda t, xs: models.boosted_trees(t, xs, trees=25),
         "linear": lambda t, xs: models.linear_l2(t, xs),
     }
     return _stacked(spark, sf, "y", learners, models.prediction, "ridge")
@@ -106,8 +129,8 @@ def _(spark, sf):
 @query("h6_stacking_direction")
 def _(spark, sf):
     learners = {
-        "forest": lambda t, xs: models.random_forest(t, xs, kind="clf", trees=15, depth=4, min_leaf=20),
-        "boosted": lambda t, xs: models.boosted_trees(t, xs, kind="clf", trees=8),
+        "forest": lambda t, xs: models.random_forest(t, xs, kind="clf", trees=100, depth=4, min_leaf=20),
+        "boosted": lambda t, xs: models.boosted_trees(t, xs, kind="clf", trees=25),
         "logistic": lambda t, xs: models.logistic_l2(t, xs),
     }
     return _stacked(spark, sf, "y_dir", learners, models.probability, "logistic")
@@ -150,11 +173,16 @@ def _(spark, sf):
     return out.select("symbol", "date", F.round(F.col("variance") * 1e6, 4).alias("variance_e6"))
 
 
+#: Trials of the registered sweep (100 in the survey).
+TRIALS = 12
+
+
 @query("h9_sweep")
 def _(spark, sf):
     d = _learned(spark, sf)
     space = {**models.SPACE, "trees": [5, 10]}
-    return models.sweep(spark, d.where("role = 'train'"), d.where("role = 'valid'"), AR, n=8, space=space)
+    trials = models.sweep(spark, d.where("role = 'train'"), d.where("role = 'valid'"), AR, n=TRIALS, space=space)
+    return models.sweep_curve(trials).withColumn("chosen", F.col("trial") == models.best_trial(trials)["trial"])
 
 
 @query("h10_early_stop")
@@ -173,7 +201,7 @@ def _vhat(spark, sf) -> DataFrame:
     change = d.withColumn("y", F.col("vol_5") - F.col("rv5_past"))
     oof = splits.expanding_oof(change.where("role = 'train'").drop("role"), 3)
     whole = change.withColumn("fold", F.lit(9)).withColumn("role", F.when(F.col("role") == "train", "train").otherwise("test"))
-    vhat = models.out_of_fold(oof.unionByName(whole, allowMissingColumns=True), AR, lambda t, xs: models.boosted_trees(t, xs, trees=8), models.prediction, keys)
+    vhat = models.out_of_fold(oof.unionByName(whole, allowMissingColumns=True), AR, lambda t, xs: models.boosted_trees(t, xs, trees=25), models.prediction, keys)
     return d.join(vhat, keys).withColumn("vhat", F.col("vhat") + F.col("rv5_past"))
 
 
@@ -204,7 +232,7 @@ def _(spark, sf):
 @query("h14_feature_importance")
 def _(spark, sf):
     d = _learned(spark, sf)
-    return models.importances(spark, models.random_forest(d.where("role = 'train'"), AR, trees=20, depth=5), AR)
+    return models.importances(spark, models.random_forest(d.where("role = 'train'"), AR, **FOREST), AR)
 
 
 NEWS = [*text.SENTIMENT, *models.DYNAMICS, *models.INTENSITY, *models.SMOOTHED]

@@ -292,6 +292,15 @@ def _(spark, sf):
     return round_all(text.score_headlines(X.headlines(spark, sf).select("headline_id", "headline"), _scorer).select("headline_id", "pos", "neg", "neu"))
 
 
+@query("c3_learned_scores")
+def _(spark, sf):
+    """A scorer learned from the labels of documents whose id is even, toxic ones being negative, applied to all documents."""
+    h = X.headlines(spark, sf).select("headline_id", "headline")
+    labels = X.table(spark, sf, "labels").select(F.col("doc_id").alias("headline_id"), (1 - F.col("toxic")).alias("label"))
+    scorer = text.fit_scorer(h.join(labels.where("headline_id % 2 = 0"), "headline_id"))
+    return text.score_headlines(h, scorer).select("headline_id", "pos", "neg", "neu")
+
+
 @query("c4_lexicon_scores", sql(f"""SELECT headline_id, COUNT(t.token) AS n_tokens, COUNT(polarity) AS n_hits, {r6('coalesce(SUM(CAST(polarity AS DOUBLE)), 0.0)')} AS polarity
 FROM headlines LEFT JOIN tok t USING (headline_id) LEFT JOIN {_LEX} AS l(token, polarity) ON t.token = l.token GROUP BY headline_id""", "headlines", tok=_TOK))
 def _(spark, sf):

@@ -71,22 +71,25 @@ def test_logistic_regression_minimises_its_objective(spark, small):
 
 
 def test_trees_repeat_and_beat_the_mean_on_train_rows(spark, small):
-    """h4, h5 and h23: one prediction a test row, within the range of what was learned, the same when run again."""
+    """h4 and h5, forests and boosting, volatility and direction: one prediction a test row, the same as a fit at the registered settings gives, which beats the mean where it learned."""
     keys, role, _, y, _ = panel_rows(spark, small, models.AR)
     want = {k for k, r in zip(keys, role) if r == "test"}
     learned = y[role == "train"]
-    for name in ("h4_random_forest", "h5_boosted_trees"):
-        got = fitted(spark, small, name)
-        assert {(r["symbol"], r["date"]) for r in got} == want and all(abs(r["y"] - dict(zip(keys, y))[r["symbol"], r["date"]]) < 1e-12 for r in got)
-        assert learned.min() - 1 <= min(r["yhat"] for r in got) and max(r["yhat"] for r in got) <= learned.max() + 1
-        again = {(r["symbol"], r["date"]): r["yhat"] for r in fitted(spark, small, name)}
-        assert all(again[r["symbol"], r["date"]] == r["yhat"] for r in got)
-    d = queries_models._ar(spark, small)
-    model = models.random_forest(d.where("role = 'train'"), models.AR, trees=30, depth=6, min_leaf=20)
-    seen = [(r["y"], r["yhat"]) for r in models.prediction(model, d.where("role = 'train'"), models.AR).collect()]
-    assert np.mean([(a - b) ** 2 for a, b in seen]) < 0.9 * np.var([a for a, _ in seen])
-    refit = fitted(spark, small, "h23_refit_train_valid")
-    assert {r["symbol"] for r in refit} == {k[0] for k in want} and sum(r["n"] for r in refit) == len(want) and all(r["r2"] < 1 for r in refit)
+    d = queries_models._learned(spark, small)
+    train, test = d.where("role = 'train'"), d.where("role = 'test'")
+    fits = {"h4_random_forest": lambda: models.random_forest(train, models.AR, **queries_models.FOREST), "h4_random_forest_shallow": lambda: models.random_forest(train, models.AR, **queries_models.SHALLOW),
+            "h5_boosted_trees": lambda: models.boosted_trees(train, models.AR, **queries_models.BOOSTED)}
+    for name, fit in fits.items():
+        got = {(r["symbol"], r["date"]): r["yhat"] for r in fitted(spark, small, name)}
+        assert set(got) == want and learned.min() - 1 <= min(got.values()) and max(got.values()) <= learned.max() + 1
+        model = fit()
+        again = {(r["symbol"], r["date"]): r["yhat"] for r in models.prediction(model, test, models.AR).collect()}
+        assert all(again[k] == pytest.approx(got[k], abs=1e-9) for k in got)
+        seen = [(r["y"], r["yhat"]) for r in models.prediction(model, train, models.AR).collect()]
+        assert np.mean([(a - b) ** 2 for a, b in seen]) < 0.97 * np.var([a for a, _ in seen])
+    for name in ("h4_random_forest_direction", "h5_boosted_direction"):
+        got = {(r["symbol"], r["date"]): r["p"] for r in fitted(spark, small, name)}
+        assert set(got) == want and all(0 < p < 1 for p in got.values()) and len({round(p, 6) for p in got.values()}) > 5
 
 
 def test_stacking_is_one_meta_model_of_three_bases(spark, small):
@@ -104,12 +107,40 @@ def test_stacking_is_one_meta_model_of_three_bases(spark, small):
 
 
 def test_sweep_and_early_stopping(spark, small):
-    got = fitted(spark, small, "h9_sweep")
-    assert [r["trial"] for r in got] == list(range(len(got))) and len({r["params"] for r in got}) == len(got) and all(0 < r["loss"] < 5 for r in got)
+    """h9: distinct points, the one of least loss chosen, the curve of the least loss so far; h10: patience of 40 rounds over the curve."""
+    got = sorted(fitted(spark, small, "h9_sweep"), key=lambda r: r["trial"])
+    assert [r["trial"] for r in got] == list(range(queries_models.TRIALS)) and len({r["params"] for r in got}) == len(got) and all(0 < r["loss"] < 5 for r in got)
     names = [x.split("=")[0] for x in got[0]["params"].split(",")]
     assert names == list(models.SPACE) and len(names) == 8
+    least = min(r["loss"] for r in got)
+    assert [r["trial"] for r in got if r["chosen"]] == [next(r["trial"] for r in got if r["loss"] == least)]
+    assert [r["best_so_far"] for r in got] == np.minimum.accumulate([r["loss"] for r in got]).tolist()
+    # The chosen point, fitted alone, has the loss that the sweep reports.
+    best = next(r for r in got if r["chosen"])
+    p = dict(x.split("=") for x in best["params"].split(","))
+    d = queries_models._learned(spark, small)
+    model = models.GBTRegressor(featuresCol="features", labelCol="y", maxIter=int(p["trees"]), maxDepth=int(p["depth"]), stepSize=float(p["rate"]), subsamplingRate=float(p["subsample"]), featureSubsetStrategy=p["colsample"], minInstancesPerNode=int(p["min_leaf"]), maxBins=int(p["bins"]), seed=int(p["seed"])).fit(models.assemble(models.dealt(d.where("role = 'train'")), models.AR))
+    rows = models.prediction(model, d.where("role = 'valid'"), models.AR).collect()
+    assert best["loss"] == pytest.approx(np.sqrt(np.mean([(r["y"] - r["yhat"]) ** 2 for r in rows])), rel=1e-9)
     curve = sorted(fitted(spark, small, "h10_early_stop"), key=lambda r: r["trees"])
-    assert [r["trees"] for r in curve] == list(range(1, len(curve) + 1)) and 0 < min(r["loss"] for r in curve) <= curve[0]["loss"]
+    assert [r["trees"] for r in curve] == list(range(1, len(curve) + 1)) and len(curve) > 1
+    losses = [r["loss"] for r in curve]
+    top = next(r["trees"] for r in curve if r["best"])
+    assert losses[top - 1] == min(losses) and sum(r["best"] for r in curve) == 1 and (len(curve) == top + 40 or len(curve) == 100 < top + 40)
+
+
+def test_learned_scorer_knows_labels_that_it_did_not_see(spark, small):
+    """c3: classes sum to 1, texts without tokens are neutral, and labels of odd ids, which the fit never saw, are told apart."""
+    got = {r["headline_id"]: r for r in fitted(spark, small, "c3_learned_scores")}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert set(got) == set(texts) and all(r["pos"] + r["neg"] + r["neu"] == pytest.approx(1) for r in got.values())
+    assert all(got[i]["neu"] == 1.0 for i, t in texts.items() if not re.search("[a-zà-ÿ]", (t or "").lower()))
+    big = "/root/testdata/sf0.01"
+    held = {r["doc_id"]: 1 - r["toxic"] for r in spark.read.parquet(f"{big}/labels.parquet").where("doc_id % 2 = 1").collect()}
+    share = lambda r: r["pos"] / (r["pos"] + r["neg"]) if r["neu"] < 1 else 0.5
+    p = [(share(r), held[r["headline_id"]]) for r in fitted(spark, big, "c3_learned_scores") if r["headline_id"] in held]
+    good, bad = [s for s, q in p if q == 1], [s for s, q in p if q == 0]
+    assert len(bad) > 5 and np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.75
 
 
 def test_predicted_volatility_is_out_of_fold(spark, small):
