@@ -150,13 +150,49 @@ def _summed(by: list[str]):
 def predict_logistic(df: DataFrame, fits: DataFrame, by: list[str], candidates: list[Candidate], keep: list[str]) -> DataFrame:
     """(by, keep, candidate, p): each row of df with the probability of every fit that fits has for its key.
 
-    Rows with a null in any candidate's column are left out, as in fit_logistic(). Coefficients meet the rows by key, as one
-    row for each key, and stay expressions.
+    Rows with a null in any candidate's column are left out, as in fit_logistic(). Coefficients up to MOST_COEFFICIENTS are
+    broadcast and met by matrices; more of them meet the rows by key, as one row for each key, and stay expressions.
     """
     every = sorted({x for c in candidates for x in c.columns})
-    rows = df.dropna(subset=every)
+    names = list(dict.fromkeys([*by, *keep]))
+    size = fits.agg(F.coalesce(F.sum(F.size("beta") + 1), F.lit(0))).first()[0]
+    if size > MOST_COEFFICIENTS:
+        return _by_key(df.dropna(subset=every), fits, by, candidates, names, every)
+    columns = {c.name: [every.index(x) for x in c.columns] for c in candidates}
+    table: dict[tuple, tuple[list[str], list[np.ndarray]]] = {}
+    for r in fits.select(*by, "candidate", "beta", "intercept").collect():
+        w = np.zeros(len(every) + 1)
+        w[columns[r["candidate"]]], w[-1] = r["beta"], r["intercept"]
+        labels, weights = table.setdefault(tuple(r[k] for k in by), ([], []))
+        labels.append(r["candidate"])
+        weights.append(w)
+    held = df.sparkSession.sparkContext.broadcast({k: (labels, np.stack(w, axis=1)) for k, (labels, w) in table.items()})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(every))
+            known = ~np.isnan(x).any(1)
+            own: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*[batch.column(c).to_pylist() for c in by]) if by else [()] * batch.num_rows):
+                if known[i]:
+                    own.setdefault(k, []).append(i)
+            for key, at in own.items():
+                if key in held.value:
+                    labels, w = held.value[key]
+                    p = 1 / (1 + np.exp(-(x[at] @ w[:-1] + w[-1])))
+                    each = pa.array(np.repeat(at, len(labels)))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(each) for c in names], pa.array(labels * len(at), pa.string()), pa.array(p.ravel())], names=[*names, "candidate", "p"])
+
+    schema = StructType([*[df.schema[c] for c in names], StructField("candidate", StringType()), StructField("p", DoubleType())])
+    # Nulls are left out by the tasks: a filter over many derived columns is a plan too large to optimise.
+    return df.select(*names, F.array(*[F.col(x).cast("double") for x in every]).alias("__x")).mapInArrow(score, schema)
+
+
+def _by_key(rows: DataFrame, fits: DataFrame, by: list[str], candidates: list[Candidate], names: list[str], every: list[str]) -> DataFrame:
     wide = fits.groupBy(*by).agg(*[F.max(F.when(F.col("candidate") == c.name, F.struct("intercept", "beta"))).alias(f"__f{m}") for m, c in enumerate(candidates)])
-    met = ranges.same(rows.select(*dict.fromkeys([*by, *keep, *every])), wide, by, "inner")
+    met = ranges.same(rows.select(*dict.fromkeys([*names, *every])), wide, by, "inner")
 
     def p(m: int, c: Candidate):
         z = F.col(f"__f{m}.intercept")
@@ -165,7 +201,7 @@ def predict_logistic(df: DataFrame, fits: DataFrame, by: list[str], candidates:
         return 1 / (1 + F.exp(-z))
 
     cells = F.array(*[F.when(F.col(f"__f{m}").isNotNull(), F.struct(F.lit(c.name).alias("candidate"), p(m, c).alias("p"))) for m, c in enumerate(candidates)])
-    return met.select(*dict.fromkeys([*by, *keep]), F.inline(F.filter(cells, lambda x: x.isNotNull())))
+    return met.select(*names, F.inline(F.filter(cells, lambda x: x.isNotNull())))
 
 
 def refit_chosen(df: DataFrame, chosen: DataFrame, by: list[str], y: str, candidates: list[Candidate], keep: list[str], role: str = "role") -> DataFrame:

@@ -58,7 +58,9 @@ def test_fits_that_need_halving_and_keys_of_one_class(spark):
     assert batched.fit_logistic(spark.createDataFrame([], "k string, x double, y int"), ["k"], "y", [batched.Candidate("x", ("x",), 1.0)]).count() == 0
 
 
-def test_predictions_and_choice(labelled):
+@pytest.mark.parametrize("most", [batched.MOST_COEFFICIENTS, 3])
+def test_predictions_and_choice(labelled, most, monkeypatch):
+    monkeypatch.setattr(batched, "MOST_COEFFICIENTS", most)
     chosen = labelled.sparkSession.createDataFrame([("u", 0, "abc/1"), ("v", 1, "ab/0.01"), (None, 0, "c/100")], "k string, f int, candidate string")
     df = labelled.withColumn("role", F.when(F.col("i") < 100, "train").otherwise("test"))
     got = batched.refit_chosen(df, chosen, ["k", "f"], "y", CANDIDATES, ["i"]).collect()
