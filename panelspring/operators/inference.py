@@ -40,11 +40,14 @@ def block_starts(df: DataFrame, by: list[str], reps: int, length: int, seed: int
 
 
 def replicates(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], reps: int, length: int = 10, seed: int = 42) -> DataFrame:
-    """(by, rep, sums): for each replicate the sums over its blocks, joined as sums by block start, so rows are reps x blocks."""
+    """(by, rep, sums): for each replicate the sums over its blocks, joined as sums by block start, so rows are reps x blocks.
+
+    Spark takes the block starts for as small as the keys that they are exploded from and would broadcast them: the join is asked to sort both sides.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     ahead = w.rowsBetween(0, length - 1)
     blocks = df.select(*by, (F.row_number().over(w) - 1).cast("long").alias("start"), *[F.sum(e).over(ahead).alias(k) for k, e in sums.items()])
-    return block_starts(df, by, reps, length, seed).join(blocks, [*by, "start"]).groupBy(*by, "rep").agg(*[F.sum(k).alias(k) for k in sums])
+    return block_starts(df, by, reps, length, seed).hint("merge").join(blocks, [*by, "start"]).groupBy(*by, "rep").agg(*[F.sum(k).alias(k) for k in sums])
 
 
 def _r2_sums(y: str, yhat: str, tag: str = "") -> dict[str, Column]:

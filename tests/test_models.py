@@ -212,3 +212,10 @@ def test_every_headline_has_components(spark, small):
     got = {r["headline_id"]: np.array(r["vec"]) for r in text.term_vectors(odd, vocab=50).collect()}
     assert len(got) == 23 and all(len(v) == 50 for v in got.values()) and all(not got[k].any() for k in (-1, -2, -3))
     assert all(np.linalg.norm(v) == pytest.approx(1) for k, v in got.items() if k >= 0 and v.any()) and sum(v.any() for v in got.values()) > 10
+
+
+@pytest.mark.parametrize("name", ["j2_paired_bootstrap"])
+def test_block_starts_are_not_broadcast(spark, small, name):
+    """j2: draws are replicates x blocks, whatever Spark estimates; the driver must not collect them."""
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
