@@ -214,8 +214,8 @@ def test_every_headline_has_components(spark, small):
     assert all(np.linalg.norm(v) == pytest.approx(1) for k, v in got.items() if k >= 0 and v.any()) and sum(v.any() for v in got.values()) > 10
 
 
-@pytest.mark.parametrize("name", ["j2_paired_bootstrap"])
+@pytest.mark.parametrize("name", ["j2_paired_bootstrap", "j9_block_length"])
 def test_block_starts_are_not_broadcast(spark, small, name):
-    """j2: draws are replicates x blocks, whatever Spark estimates; the driver must not collect them."""
+    """j2, j9: draws are replicates x blocks, whatever Spark estimates; the driver must not collect them."""
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
