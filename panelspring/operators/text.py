@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, CountVectorizer, PCAModel
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +107,30 @@ def daily_sentiment(df: DataFrame) -> DataFrame:
     return df.groupBy("market", "date").agg(*sentiment_aggregates())
 
 
-def term_vectors(df: DataFrame, key: str = "headline_id", text: str = "headline", vocab: int = 500, out: str = "vec") -> DataFrame:
-    """(key, vec): TF-IDF of `vocab` terms, of length 1, as one array for each row of df; a text without any of the terms has zeros.
+def vocabulary(df: DataFrame, text: str = "headline", vocab: int = 500) -> list[str]:
+    """The `vocab` commonest tokens by number of occurrences, ties by token, in the order of their text; bounded by vocab, so it is collected."""
+    words = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("__all"))
+    return sorted(r["token"] for r in words.orderBy(F.col("__all").desc(), "token").limit(vocab).collect())
+
 
-    Keys are unique in df. Terms are numbered in the order of their text.
+def sparse_terms(df: DataFrame, text: str = "headline", vocab: int = 500, out: str = "vec") -> DataFrame:
+    """df without the text but with out: TF-IDF of `vocab` terms as a sparse vector of length 1, or empty for a text without any of the terms.
+
+    Weights are those of term_weights() with norm "l2" and plus_one. Terms are numbered in the order of their text. A row's vector
+    comes from its own text, so only counts of tokens are shuffled, and the vocabulary and its document frequencies collected.
     """
-    weights = term_weights(df, key, text, vocab, "l2", plus_one=True)
-    terms = weights.select("token").distinct().withColumn("i", F.row_number().over(Window.orderBy("token")) - 1)
-    found = weights.join(F.broadcast(terms), "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("__m"))
-    zero = F.lit(0.0)
-    # try_element_at: null for a term that the text does not have.
-    dense = F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), zero))
-    return df.select(key).join(found, key, "left").select(key, dense.alias(out))
+    words = vocabulary(df, text, vocab)
+    # Names that no token can have fill the vectors up to their size.
+    counter = CountVectorizerModel.from_vocabulary([*words, *[f"\0{i}" for i in range(vocab - len(words))]], "__t", "__c")
+    counts = counter.transform(df.withColumn("__t", tokens(F.col(text))))
+    idf = IDF(inputCol="__c", outputCol="__w").fit(counts).idf.toArray() if words else [0.0] * vocab
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense([float(w) + 1 for w in idf]), inputCol="__c", outputCol="__w").transform(counts)
+    return Normalizer(p=2.0, inputCol="__w", outputCol="__n").transform(weighted).select(*[c for c in df.columns if c not in (text, out)], F.col("__n").alias(out))
+
+
+def term_vectors(df: DataFrame, key: str = "headline_id", text: str = "headline", vocab: int = 500, out: str = "vec") -> DataFrame:
+    """(key, vec): sparse_terms() as one array for each row of df; a text without any of the terms has zeros."""
+    return sparse_terms(df.select(key, text), text, vocab, out).select(key, vector_to_array(out).alias(out))
 
 
 def sentiment_dynamics(daily: DataFrame) -> DataFrame:
@@ -184,15 +197,20 @@ def mean_vector(df: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
     return parts.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vec"))
 
 
+def _vector(df: DataFrame, c: str) -> Column:
+    """c, an array of numbers or a vector, as a vector."""
+    return F.col(c) if isinstance(df.schema[c].dataType, VectorUDT) else array_to_vector(F.col(c).cast("array<double>"))
+
+
 def fit_pca(train: DataFrame, k: int, vec: str = "vec") -> PCAModel:
-    return PCA(k=k, inputCol="__v", outputCol="__p").fit(train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("__v")))
+    return PCA(k=k, inputCol="__v", outputCol="__p").fit(train.select(_vector(train, vec).alias("__v")))
 
 
 def apply_pca(df: DataFrame, model: PCAModel, vec: str = "vec", out: str = "pca") -> DataFrame:
     """Components with the sign that makes each component's largest loading positive. The model knows training rows only."""
     loadings = model.pc.toArray()
     signs = [1.0 if abs(col.max()) >= abs(col.min()) else -1.0 for col in loadings.T]
-    scored = model.transform(df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))).withColumn("__a", vector_to_array("__p"))
+    scored = model.transform(df.withColumn("__v", _vector(df, vec))).withColumn("__a", vector_to_array("__p"))
     return scored.withColumn(out, F.array(*[F.col("__a")[i] * s for i, s in enumerate(signs)])).drop("__v", "__p", "__a")
 
 

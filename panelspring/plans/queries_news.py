@@ -275,7 +275,7 @@ def _(spark, sf):
 
 @query("c2_tfidf_pca")
 def _(spark, sf):
-    vectors = text.term_vectors(X.headlines(spark, sf))
+    vectors = X.kept(spark, text.sparse_terms(X.headlines(spark, sf).select("headline_id", "headline")), "terms")
     return text.apply_pca(vectors, text.fit_pca(vectors, 30)).select("headline_id", "pca")
 
 

@@ -219,3 +219,21 @@ def test_block_starts_are_not_broadcast(spark, small, name):
     """j2, j9: draws are replicates x blocks, whatever Spark estimates; the driver must not collect them."""
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_term_vectors_come_from_their_own_texts(spark, small):
+    """c2: weights are those of term_weights(), texts without terms and tables without tokens included, and no text or pair of text and token is shuffled."""
+    from panelspring.operators import text
+
+    h = fixtures.headlines(spark, small).select("headline_id", "headline").unionByName(spark.createDataFrame([(-1, None), (-2, "12")], "headline_id long, headline string"))
+    got = text.term_vectors(h, vocab=40)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    weights = text.term_weights(h, vocab=40, norm="l2", plus_one=True).collect()
+    at = {t: i for i, t in enumerate(sorted({r["token"] for r in weights}))}
+    want = {r["headline_id"]: np.zeros(40) for r in h.collect()}
+    for r in weights:
+        want[r["headline_id"]][at[r["token"]]] = r["weight"]
+    rows = got.collect()
+    assert len(rows) == len(want) and all(r["vec"] == pytest.approx(want[r["headline_id"]].tolist(), abs=1e-12) for r in rows)
+    none = text.term_vectors(h.where("headline_id < 0"), vocab=3)
+    assert sorted((r["headline_id"], r["vec"]) for r in none.collect()) == [(-2, [0.0] * 3), (-1, [0.0] * 3)] and not text.term_vectors(h.where("false"), vocab=3).collect()
