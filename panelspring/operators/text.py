@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.frames import by_date, full, mean, trailing
 from . import ranges
 
+#: Bytes of text that a scorer sees at once.
+SCORED = 2_000_000
 DAY = ("market",)
 SENTIMENT = ["news_volume", "sent_pos_mean", "sent_neg_mean", "sent_neu_mean", "sent_score_mean", "sent_score_std", "sent_max_neg", "sent_pos_ratio", "sent_neg_ratio"]
 
@@ -45,16 +55,32 @@ def term_weights(df: DataFrame, key: str = "headline_id", text: str = "headline"
 def score_headlines(df: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], text: str = "headline", with_vector: bool = False) -> DataFrame:
     """df with pos, neg, neu (and vec) from a batch scorer: a function from a series of texts to a frame of those columns.
 
-    The scorer travels to the executors once a task and sees Arrow batches; one call gives classes and vectors together.
+    The scorer travels to the executors once a task and sees the texts of an Arrow batch in runs of rows of at most SCORED bytes,
+    at least one row; one call gives classes and vectors together. Workers give memory back after each task.
     """
-    extra = ", pos double, neg double, neu double" + (", vec array<float>" if with_vector else "")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + extra
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.concat([pdf.reset_index(drop=True), scorer(pdf[text].fillna("")).reset_index(drop=True)], axis=1)
-
-    return df.mapInPandas(run, schema)
+    extra = StructType.fromDDL("pos double, neg double, neu double" + (", vec array<float>" if with_vector else ""))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in df.schema], *extra])
+    types = [(f.name, to_arrow_type(f.dataType)) for f in extra]
+    most = SCORED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                before = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+                batch, at = whole.slice(at, end - at), end
+                scores = scorer(pd.Series(batch.column(text).to_pylist(), dtype=object, name=text).fillna(""))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(scores[c], t, from_pandas=True) for c, t in types]], names=schema.names)
+            # Free before the next batch is read.
+            whole = batch = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def fit_scorer(df: DataFrame, text: str = "headline", label: str = "label", vocab: int = 5_000, reg: float = 0.01) -> Callable[[pd.Series], pd.DataFrame]:

@@ -237,3 +237,20 @@ def test_term_vectors_come_from_their_own_texts(spark, small):
     assert len(rows) == len(want) and all(r["vec"] == pytest.approx(want[r["headline_id"]].tolist(), abs=1e-12) for r in rows)
     none = text.term_vectors(h.where("headline_id < 0"), vocab=3)
     assert sorted((r["headline_id"], r["vec"]) for r in none.collect()) == [(-2, [0.0] * 3), (-1, [0.0] * 3)] and not text.term_vectors(h.where("false"), vocab=3).collect()
+
+
+def test_scorers_see_bounded_runs_of_texts(spark):
+    """c3: however long the texts of a batch are, a scorer gets few bytes or one row at a time; order, nulls, other columns and vectors stay."""
+    import pandas as pd
+
+    from panelspring.operators import text
+
+    def scorer(s):
+        return pd.DataFrame({"pos": s.str.len().astype(float), "neg": float(s.str.len().sum()), "neu": float(len(s)), "vec": [[float(len(x))] for x in s]})
+
+    sizes = [10, 900_000, 900_000, 900_000, 0, 5_000_000, 3] + [200_000] * 40
+    df = spark.createDataFrame([(i, None if n == 0 else n) for i, n in enumerate(sizes)], "headline_id int, n int").coalesce(1).selectExpr("headline_id", "repeat('é', n) AS headline", "headline_id % 3 = 0 AS odd")
+    rows = text.score_headlines(df, scorer, with_vector=True).select("headline_id", "odd", "pos", "neg", "neu", "vec", F.length("headline").alias("n")).collect()
+    assert [(r["headline_id"], r["odd"], r["pos"], r["vec"], r["n"]) for r in rows] == [(i, i % 3 == 0, float(n), [float(n)], n or None) for i, n in enumerate(sizes)]
+    assert all(2 * r["neg"] <= text.SCORED or r["neu"] == 1 for r in rows) and any(r["neu"] > 3 for r in rows)
+    assert not text.score_headlines(df.where("false"), scorer, with_vector=True).collect()
