@@ -73,11 +73,10 @@ def day_terms(spark: SparkSession, sf: str, vocab: int = 500) -> DataFrame:
     """(date, s): the day's mean TF-IDF of its headlines as (i, v) of the terms that it has; terms are numbered in the order of their text."""
     from ..operators import text
 
-    h = headlines(spark, sf)
-    weights = text.term_weights(h, vocab=vocab, norm="l2", plus_one=True)
-    terms = weights.select("token").distinct().withColumn("i", F.row_number().over(Window.orderBy("token")) - 1)
+    h = headlines(spark, sf).select("date", "headline")
+    terms = text.sparse_terms(h, vocab=vocab).select("date", F.unwrap_udt("vec").alias("vec"))
+    sums = terms.select("date", F.inline(F.arrays_zip(F.col("vec.indices").alias("i"), F.col("vec.values").alias("w")))).groupBy("date", "i").agg(F.sum("w").alias("w"))
     sizes = h.groupBy("date").agg(F.count("*").alias("n"))
-    sums = weights.join(F.broadcast(terms), "token").join(h.select("headline_id", "date"), "headline_id").groupBy("date", "i").agg(F.sum("weight").alias("w"))
     return sums.join(sizes, "date").groupBy("date").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("w") / F.col("n")).alias("v")))).alias("s"))
 
 

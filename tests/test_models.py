@@ -254,3 +254,21 @@ def test_scorers_see_bounded_runs_of_texts(spark):
     assert [(r["headline_id"], r["odd"], r["pos"], r["vec"], r["n"]) for r in rows] == [(i, i % 3 == 0, float(n), [float(n)], n or None) for i, n in enumerate(sizes)]
     assert all(2 * r["neg"] <= text.SCORED or r["neu"] == 1 for r in rows) and any(r["neu"] > 3 for r in rows)
     assert not text.score_headlines(df.where("false"), scorer, with_vector=True).collect()
+
+
+def test_day_terms_shuffle_sums_of_days_only(spark, small):
+    """h15: the day's mean of term_weights(), from sums by day and term; neither headlines nor their tokens are shuffled."""
+    from panelspring.operators import text
+
+    got = fixtures.day_terms(spark, small, vocab=30)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(date" in plan and not any(x in plan for x in ("token", "Exchange hashpartitioning(headline_id", "Window"))
+    days = {r["headline_id"]: r["date"] for r in fixtures.headlines(spark, small).collect()}
+    weights = text.term_weights(fixtures.headlines(spark, small), vocab=30, norm="l2", plus_one=True).collect()
+    at = {t: i for i, t in enumerate(sorted({r["token"] for r in weights}))}
+    want: dict = {}
+    for r in weights:
+        day = want.setdefault(days[r["headline_id"]], {})
+        day[at[r["token"]]] = day.get(at[r["token"]], 0.0) + r["weight"] / list(days.values()).count(days[r["headline_id"]])
+    rows = {r["date"]: r["s"] for r in got.collect()}
+    assert rows.keys() == want.keys() and all([e["i"] for e in s] == sorted(want[d]) and [e["v"] for e in s] == pytest.approx([want[d][i] for i in sorted(want[d])]) for d, s in rows.items())
