@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -91,10 +91,13 @@ def fit_scorer(df: DataFrame, text: str = "headline", label: str = "label", voca
     The scorer holds the vocabulary and its weights, so its size is bounded by vocab.
     """
     rows = df.where(F.col(label).isin(0, 1)).select(tokens(F.col(text)).alias("__t"), F.col(label).cast("double").alias("__y"))
-    words = CountVectorizer(inputCol="__t", outputCol="__c", vocabSize=vocab).fit(rows)
-    # Log counts keep a long text from outweighing the others.
-    vectors = words.transform(rows).withColumn("__x", array_to_vector(F.transform(vector_to_array("__c"), lambda x: F.log1p(x))))
+    words = CountVectorizerModel.from_vocabulary(vocabulary(df.where(F.col(label).isin(0, 1)), text, vocab), "__t", "__c")
+    # Log counts keep a long text from outweighing the others; they stay sparse, as a row of `vocab` numbers is larger than its text.
+    logs = F.udf(lambda v: Vectors.sparse(v.size, v.indices, np.log1p(v.values)), VectorUDT())
+    # The fit reads them twice before it keeps blocks of its own.
+    vectors = words.transform(rows).select("__y", logs("__c").alias("__x")).persist()
     model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=reg, maxIter=100).fit(vectors)
+    vectors.unpersist()
     weights, base = dict(zip(words.vocabulary, (float(w) for w in model.coefficients.toArray()))), float(model.intercept)
     pattern = re.compile("[a-zà-ÿ]+")
 

@@ -297,7 +297,8 @@ def _(spark, sf):
     """A scorer learned from the labels of documents whose id is even, toxic ones being negative, applied to all documents."""
     h = X.headlines(spark, sf).select("headline_id", "headline")
     labels = X.table(spark, sf, "labels").select(F.col("doc_id").alias("headline_id"), (1 - F.col("toxic")).alias("label"))
-    scorer = text.fit_scorer(h.join(labels.where("headline_id % 2 = 0"), "headline_id"))
+    known = X.kept(spark, h.where("headline_id % 2 = 0").join(labels, "headline_id"), "labelled")
+    scorer = text.fit_scorer(known)
     return text.score_headlines(h, scorer).select("headline_id", "pos", "neg", "neu")
 
 

@@ -272,3 +272,18 @@ def test_day_terms_shuffle_sums_of_days_only(spark, small):
         day[at[r["token"]]] = day.get(at[r["token"]], 0.0) + r["weight"] / list(days.values()).count(days[r["headline_id"]])
     rows = {r["date"]: r["s"] for r in got.collect()}
     assert rows.keys() == want.keys() and all([e["i"] for e in s] == sorted(want[d]) and [e["v"] for e in s] == pytest.approx([want[d][i] for i in sorted(want[d])]) for d, s in rows.items())
+
+
+def test_scorer_fits_on_sparse_counts_that_are_read_once(spark, monkeypatch):
+    """c3: log counts reach the fit sparse and persisted; of tokens that are equally common the first ones are taken."""
+    from panelspring.operators import text
+
+    seen, fit = [], text.LogisticRegression.fit
+    monkeypatch.setattr(text.LogisticRegression, "fit", lambda self, d: (seen.append((d, d.storageLevel.useMemory, [r[0] for r in d.select("__x").collect()])), fit(self, d))[1])
+    df = spark.createDataFrame([("dd bb aa", 1), ("cc aa", 0), ("bb cc dd aa", 1), ("zz", None)], "headline string, label int")
+    scorer = text.fit_scorer(df, vocab=3)
+    (vectors, stored, xs), = seen
+    assert stored and not vectors.storageLevel.useMemory and all(type(x).__name__ == "SparseVector" for x in xs)
+    import pandas as pd
+
+    assert scorer(pd.Series(["aa", "bb", "cc", "dd", "zz", ""]))["neu"].tolist() == [0, 0, 0, 1, 1, 1]
