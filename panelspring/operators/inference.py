@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +28,29 @@ def draw(rep: Column, blk: Column, seed: int) -> Column:
     return F.aggregate(rounds, first, lambda x, _: (x * x + M1 * x + M2 * (blk + 1) + rep + 1) % P)
 
 
-def block_starts(df: DataFrame, by: list[str], reps: int, length: int, seed: int = 42) -> DataFrame:
-    """(by, rep, start): ceil(n / length) block starts for each replicate and group; starts count from 0."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= length)
+def block_starts(df: DataFrame, by: list[str], reps: int, lengths: Sequence[int], seed: int = 42) -> DataFrame:
+    """(by, block_length, rep, start): ceil(n / length) block starts for each length, replicate and group; starts count from 0."""
+    length = F.col("block_length")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("block_length", F.explode(F.array(*[F.lit(k) for k in lengths]))).where(F.col("n") >= length)
     rows = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
     # A few rows become millions: dealt by replicate first, so that the work is spread.
     rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "rep")
     rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / length) - 1)))
     rows = rows.withColumn("x", draw(F.col("rep"), F.col("blk"), seed))
-    return rows.select(*by, "rep", (F.col("x") % (F.col("n") - length + 1)).alias("start"))
+    return rows.select(*by, "block_length", "rep", (F.col("x") % (F.col("n") - length + 1)).alias("start"))
 
 
-def replicates(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], reps: int, length: int = 10, seed: int = 42) -> DataFrame:
-    """(by, rep, sums): for each replicate the sums over its blocks, joined as sums by block start, so rows are reps x blocks.
+def replicates(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], reps: int, lengths: Sequence[int] = (10,), seed: int = 42) -> DataFrame:
+    """(by, block_length, rep, sums): for each replicate the sums over its blocks, joined as sums by block start, so rows are reps x blocks.
 
-    Spark takes the block starts for as small as the keys that they are exploded from and would broadcast them: the join is asked to sort both sides.
+    All lengths share one read of the rows and one join: a plan for each of them would be kept by the driver at once. Spark takes the block starts for as small as the keys that they are exploded from and would broadcast them: the join is asked to sort both sides.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    ahead = w.rowsBetween(0, length - 1)
-    blocks = df.select(*by, (F.row_number().over(w) - 1).cast("long").alias("start"), *[F.sum(e).over(ahead).alias(k) for k, e in sums.items()])
-    return block_starts(df, by, reps, length, seed).hint("merge").join(blocks, [*by, "start"]).groupBy(*by, "rep").agg(*[F.sum(k).alias(k) for k in sums])
+    ahead = lambda length: F.struct(F.lit(length).alias("block_length"), *[F.sum(e).over(w.rowsBetween(0, length - 1)).alias(k) for k, e in sums.items()])
+    blocks = df.select(*by, (F.row_number().over(w) - 1).cast("long").alias("start"), F.array(*[ahead(k) for k in lengths]).alias("__sums"))
+    blocks = blocks.select(*by, "start", F.inline("__sums"))
+    starts = block_starts(df, by, reps, lengths, seed)
+    return starts.hint("merge").join(blocks, [*by, "block_length", "start"]).groupBy(*by, "block_length", "rep").agg(*[F.sum(k).alias(k) for k in sums])
 
 
 def _r2_sums(y: str, yhat: str, tag: str = "") -> dict[str, Column]:
@@ -66,15 +69,20 @@ def interval(c: str) -> list[Column]:
 
 def bootstrap_r2(df: DataFrame, by: list[str], order: list[str], y: str = "y", yhat: str = "yhat", reps: int = 5000, length: int = 10, seed: int = 42) -> DataFrame:
     """95 % percentile interval of R2 under contiguous blocks."""
+    return bootstrap_r2_lengths(df, by, order, y, yhat, reps, [length], seed).drop("block_length")
+
+
+def bootstrap_r2_lengths(df: DataFrame, by: list[str], order: list[str], y: str = "y", yhat: str = "yhat", reps: int = 5000, lengths: Sequence[int] = (5, 10, 15, 20), seed: int = 42) -> DataFrame:
+    """bootstrap_r2() for each of several block lengths, with `block_length`; a group has no row for a length that it is shorter than."""
     rows = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    r = replicates(rows, by, order, _r2_sums(y, yhat), reps, length, seed).select(*by, _r2().alias("r2"))
-    return r.groupBy(*by).agg(*interval("r2"), F.count("*").alias("reps"))
+    r = replicates(rows, by, order, _r2_sums(y, yhat), reps, sorted(set(lengths)), seed).select(*by, "block_length", _r2().alias("r2"))
+    return r.groupBy(*by, "block_length").agg(*interval("r2"), F.count("*").alias("reps"))
 
 
 def paired_bootstrap_r2(df: DataFrame, by: list[str], order: list[str], a: str, b: str, y: str = "y", reps: int = 10000, length: int = 10, seed: int = 42) -> DataFrame:
     """Interval of R2(a) - R2(b) on the same draws, and whether it leaves out 0."""
     rows = df.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = replicates(rows, by, order, _r2_sums(y, a, "_a") | _r2_sums(y, b, "_b"), reps, length, seed).select(*by, (_r2("_a") - _r2("_b")).alias("d"))
+    r = replicates(rows, by, order, _r2_sums(y, a, "_a") | _r2_sums(y, b, "_b"), reps, [length], seed).select(*by, (_r2("_a") - _r2("_b")).alias("d"))
     out = r.groupBy(*by).agg(*interval("d"))
     return out.withColumn("differs", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 

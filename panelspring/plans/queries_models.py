@@ -603,8 +603,8 @@ _LENGTHS = (5, 10, 15, 20, 40)
 
 @query("j9_block_length", " UNION ALL ".join(f"SELECT * FROM ({sql(f'''SELECT symbol, {n} AS length, {r6('quantile_cont(rb, 0.025)', 5)} AS ci_lo, {r6('quantile_cont(rb, 0.975)', 5)} AS ci_hi FROM rep GROUP BY symbol''', 'preds', draws=_draws(REPS, n), blk=_BLK.format(n - 1), rep=_REP)})" for n in _LENGTHS))
 def _(spark, sf):
-    parts = [round_all(inference.bootstrap_r2(X.predictions(spark, sf), BY, ["date"], "y", "yhat_b", REPS, n), 5).select("symbol", F.lit(n).alias("length"), "ci_lo", "ci_hi") for n in _LENGTHS]
-    return calendar.stack_markets(*parts)
+    r = inference.bootstrap_r2_lengths(X.predictions(spark, sf), BY, ["date"], "y", "yhat_b", REPS, _LENGTHS)
+    return round_all(r, 5).select("symbol", F.col("block_length").alias("length"), "ci_lo", "ci_hi")
 
 
 #: The forecast's interval, and its gain over two baselines: low volatility today, low volatility this week.

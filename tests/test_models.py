@@ -1,11 +1,13 @@
 """Batched fits, block covariances, early stopping and nested choice, against solves by numpy."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 
-from panelspring.operators import batched, gram, models
+from panelspring.operators import batched, gram, inference, models
 from panelspring.plans import fixtures, queries_models, queries_news  # noqa: F401  they register
 from panelspring.plans.queries_features import QUERIES
 
@@ -221,6 +223,35 @@ def test_block_starts_are_not_broadcast(spark, small, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_block_lengths_share_one_plan(spark, small):
+    """j9: all lengths come from one read and one join, or the driver holds a plan for each; intervals are those of a bootstrap for each length, groups shorter than a block have none."""
+    plan = QUERIES["j9_block_length"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(v), float(v + e) if i % 7 else None) for g, n in (("a", 90), ("b", 14)) for i, (v, e) in enumerate(zip(rng.normal(size=n), rng.normal(size=n)))]
+    df = spark.createDataFrame(rows, "g string, i int, y double, yhat double")
+    got = {(r["g"], r["block_length"]): (r["ci_lo"], r["ci_hi"], r["reps"]) for r in inference.bootstrap_r2_lengths(df, ["g"], ["i"], reps=60, lengths=(12, 5, 20, 5)).collect()}
+    want = {}
+    for g, n in itertools.product("ab", (5, 12, 20)):
+        pairs = np.array([(y, p) for k, _, y, p in rows if k == g and p is not None])
+        if len(pairs) < n:
+            continue
+        r2 = []
+        for rep in range(60):
+            at = []
+            for blk in range(-(-len(pairs) // n)):
+                x = (inference.M1 * (rep + 1) + inference.M2 * (blk + 1) + 42) % inference.P
+                for _ in range(4):
+                    x = (x * x + inference.M1 * x + inference.M2 * (blk + 1) + rep + 1) % inference.P
+                at += range(x % (len(pairs) - n + 1), x % (len(pairs) - n + 1) + n)
+            y, p = pairs[at].T
+            r2.append(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+        want[g, n] = (*np.quantile(r2, [0.025, 0.975]), 60)
+    assert got.keys() == want.keys() == {("a", 5), ("a", 12), ("a", 20), ("b", 5), ("b", 12)} and all(got[k] == pytest.approx(want[k]) for k in want)
+    for n in (5, 20):
+        assert all(got[r["g"], n] == pytest.approx((r["ci_lo"], r["ci_hi"], r["reps"])) for r in inference.bootstrap_r2(df, ["g"], ["i"], reps=60, length=n).collect())
+
+
 def test_term_vectors_come_from_their_own_texts(spark, small):
     """c2: weights are those of term_weights(), texts without terms and tables without tokens included, and no text or pair of text and token is shuffled."""
     from panelspring.operators import text
