@@ -152,10 +152,13 @@ def _apart(a: str, b: str) -> tuple[str, str] | None:
 
 
 def neighbours(vectors: DataFrame, parts: list[str]) -> DataFrame:
-    """(a, b, x, y) of distinct multisets a, b of vectors (letters): b is a with a letter x replaced by y, a < b; or with y added, x ''."""
+    """(a, b, x, y) of distinct multisets a, b of vectors (letters): b is a with a letter x replaced by y, a < b; or with y added, x ''.
+
+    Spark takes signatures for as small as the vectors that they are exploded from and would broadcast them through the driver: joins are asked to sort both sides.
+    """
     two, short, long = signatures(vectors, parts)
-    pairs = two.withColumnRenamed("letters", "a").join(two.withColumnRenamed("letters", "b"), "key").where("a < b").select("a", "b")
-    pairs = pairs.unionByName(short.withColumnRenamed("letters", "a").join(long.withColumnRenamed("letters", "b"), "key").select("a", "b"))
+    pairs = two.withColumnRenamed("letters", "a").hint("merge").join(two.withColumnRenamed("letters", "b"), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(short.withColumnRenamed("letters", "a").hint("merge").join(long.withColumnRenamed("letters", "b"), "key").select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -177,15 +180,17 @@ def near_words(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): ordered pairs of words (word, n) that differ by one inserted, deleted or replaced code point.
 
     Multisets that are neighbours meet with their words in blocks of about BLOCK; within two blocks, words of one are looked
-    up among words of the other with the letter in question taken out, so the work is linear in the blocks' words.
+    up among words of the other with the letter in question taken out, so the work is linear in the blocks' words. Tables that
+    grow with the vocabulary are joined by sorting, here and in variants(): broadcast, they would fill the driver.
     """
     vectors = words.select("word", "n", letters_of(F.col("word")).alias("letters"))
     sizes = vectors.groupBy("letters").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = write_shared(sizes, "vectors")
     found = neighbours(sizes.select("letters"), alphabet_parts(sizes))
-    of = vectors.join(sizes, "letters").groupBy("letters", F.pmod(F.xxhash64("word"), "blocks").alias("block"))
+    of = vectors.hint("merge").join(sizes, "letters").groupBy("letters", F.pmod(F.xxhash64("word"), "blocks").alias("block"))
     of = write_shared(of.agg(F.collect_list(F.struct("word", "n")).alias("words")).select("letters", "words"), "anagrams")
-    met = found.join(of.select(F.col("letters").alias("a"), F.col("words").alias("of_a")), "a").join(of.select(F.col("letters").alias("b"), F.col("words").alias("of_b")), "b")
+    of_a, of_b = (of.select(F.col("letters").alias(c), F.col("words").alias(f"of_{c}")) for c in "ab")
+    met = found.hint("merge").join(of_a, "a").hint("merge").join(of_b, "b")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -219,19 +224,19 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best)
     near = write_shared(near.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n")), "near")
     named = F.col("form_n") >= factor * F.col("n")
-    rows = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(named, F.col("form")).alias("form"), F.when(named, F.col("form_n")).alias("form_n"))
+    rows = words.hint("merge").join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(named, F.col("form")).alias("form"), F.when(named, F.col("form_n")).alias("form_n"))
     rows = write_shared(rows, "forms")
     drop_shared(near, words)
     roots = write_shared(rows.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         up = roots.select(F.col("word").alias("root"), F.col("root").alias("up"))
-        moved = write_shared(roots.join(up, "root", "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+        moved = write_shared(roots.hint("merge").join(up, "root", "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
         drop_shared(roots)
         roots = moved.select("word", "root")
         roots._shared_path = moved._shared_path
         if moved.where("moved").isEmpty():
             break
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, slips: int | None = None, letters: int = LEAST_LETTERS, count: int = LEAST_COUNT, factor: int = FACTOR) -> DataFrame:

@@ -203,6 +203,18 @@ def test_variants_of_few_letters(spark, seed, monkeypatch):
     assert got_variants(got) == plain_variants(counts)
 
 
+def test_vocabulary_is_not_broadcast(spark, monkeypatch):
+    """Signatures are 44 rows for each multiset, whatever Spark estimates, and all tables grow with the vocabulary; the driver must not collect them."""
+    plans, write = [], spelling.write_shared
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "write_shared", lambda df, name: (seen(df), write(df, name))[1])
+    counts = {"colour": 200, "colours": 30, "colous": 2, "coluor": 1, "valley": 9, "volley": 45}
+    got = spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    seen(got)
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
+    assert got_variants(got) == plain_variants(counts)
+
+
 def test_spelling_on_odd_rows(spark, monkeypatch):
     """Nulls, empty texts, repeated rows, runs longer than a piece, characters beside the letters, an empty table."""
     monkeypatch.setattr(spelling, "PIECE", 50)
